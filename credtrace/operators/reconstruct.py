@@ -139,7 +139,7 @@ def _reportable(d: Column) -> Column:
                                  & F.exists(parts, lambda p: p["frag"]))
 
 
-def resolve(defs: Column) -> Column:
+def resolve(defs: Column, keep_unread: bool = False) -> Column:
     """struct(symbols, recons): every definition's value and the rebuilt values, in statement order."""
     used = F.array_distinct(F.flatten(F.transform(
         defs, lambda d: F.transform(F.filter(d["v"]["parts"], lambda p: p["k"] == "name"), lambda p: p["t"]))))
@@ -197,7 +197,7 @@ def resolve(defs: Column) -> Column:
         return T.bind(F.transform(d["v"]["parts"], look_up), finish)
 
     # Definitions nobody reads and that are no assembly themselves cannot change a result.
-    relevant = F.filter(defs, lambda d: F.array_contains(used, d["target"]) | _reportable(d))
+    relevant = defs if keep_unread else F.filter(defs, lambda d: F.array_contains(used, d["target"]) | _reportable(d))
     return T.bind(F.aggregate(relevant, zero, step), lambda a: F.struct(a["symbols"].alias("symbols"),
                                                                         a["recons"].alias("recons")))
 
@@ -241,15 +241,6 @@ def symbols(files: DataFrame) -> DataFrame:
     """Every resolved definition: variable, value, line and how it was defined."""
     defs = (files.withColumn("lines", F.split("content", "\n", -1))
             .withColumn("defs", definitions(S.statement_array(F.col("lines"), F.col("language")), F.col("language"))))
-    every = F.transform(F.col("defs"), lambda d: d)
-    return (defs.withColumn("symbols", resolve_all(every))
+    return (defs.withColumn("symbols", resolve(F.col("defs"), keep_unread=True)["symbols"])
             .select("scan_id", "file_path", F.explode_outer("symbols").alias("s"))
             .filter(F.col("s").isNotNull()).select("scan_id", "file_path", "s.*"))
-
-
-def resolve_all(defs: Column) -> Column:
-    """Like ``resolve`` but keeps definitions nobody reads."""
-    reads_itself = F.transform(defs, lambda d: d.withField("v", d["v"].withField("parts", F.array_append(
-        d["v"]["parts"], _part("name", d["target"], False)))))
-    del reads_itself
-    return resolve(defs)["symbols"]

@@ -16,7 +16,7 @@ from credtrace.functions import text as T
 
 NAME = r"[A-Za-z_$][A-Za-z0-9_$]*"
 BLOCK_STRING = r'"""(?s:.*?)"""' + r"|'''(?s:.*?)'''"
-PLAIN_STRING = r'"(?:[^"\\]++|\\.)*+"' + r"|'(?:[^'\\]++|\\.)*+'"
+PLAIN_STRING = r'(?!""")"(?:[^"\\]++|\\.)*+"' + r"|(?!''')'(?:[^'\\]++|\\.)*+'"
 TICK_STRING = r"`(?:[^`\\]++|\\.)*+`"
 STRING = f"(?:{BLOCK_STRING}|{PLAIN_STRING}|{TICK_STRING})"
 PREFIXED = f"(?:[rRbBuUfF]{{0,2}}{STRING})"
@@ -118,9 +118,7 @@ def assignment(text: Column, language: Column) -> Column:
     """struct(target, value); empty target when the statement is no single-name assignment."""
     python = is_python(language)
     py, js = rf"^({NAME})\s*=(?!=)\s*(\S.*)$", rf"^(?:(?:const|let|var|export)\s+)*({NAME})\s*(?::[^=]+)?=(?![=>])\s*(\S.*)$"
-    pattern = F.when(python, F.lit(py)).otherwise(F.lit(js))
-    return F.struct(F.regexp_extract(text, py, 1).alias("target"),
-                    F.regexp_extract(text, py, 2).alias("value")) if pattern is None else F.struct(
+    return F.struct(
         F.when(python, F.regexp_extract(text, py, 1)).otherwise(F.regexp_extract(text, js, 1)).alias("target"),
         unwrap(F.when(python, F.regexp_extract(text, py, 2)).otherwise(F.regexp_extract(text, js, 2))).alias("value"))
 
@@ -144,8 +142,3 @@ def names_in(expr: Column) -> Column:
     """Distinct variable names an expression mentions, left to right; attributes and keywords are not variables."""
     return F.array_distinct(F.regexp_extract_all(
         strip_strings(expr), F.lit(rf"(?<![A-Za-z0-9_.$])({NAME})(?!\s*=(?!=))"), F.lit(1)))
-
-
-def with_statements(files: DataFrame) -> DataFrame:
-    """``files`` (with ``lines``) plus the ``statements`` array."""
-    return files.withColumn("statements", statement_array(F.col("lines"), F.col("language")))
