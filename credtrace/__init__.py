@@ -1,0 +1 @@
+"""Credential-exposure analytics on Spark: from files to scored, safe findings and their rollups."""

@@ -11,7 +11,7 @@ WORD = r"[A-Za-z0-9_]"
 QS = "\"'"
 Q = f"[{QS}]"
 
-DETECTION_RULES = [
+DETECTION_RULES = (
     ("AWS Access Key", 0.9, 0, r"(?:A3T[A-Z0-9]|AKIA|AGPA|AIDA|AROA|AIPA|ANPA|ANVA|ASIA)[A-Z0-9]{16}"),
     ("AWS Secret Key", 0.85, 1,
      rf"(?i)aws[_-]?secret[_-]?(?:access[_-]?)?key{WS}*[=:]{WS}*{Q}?([A-Za-z0-9/+=]{{40}}){Q}?"),
@@ -39,7 +39,7 @@ DETECTION_RULES = [
     ("Twilio API Key", 0.7, 0, r"SK[0-9a-fA-F]{32}"),
     ("Access Token", 0.65, 1,
      rf"(?i)(?:token|access_token|auth_token){WS}*[=:]{WS}*{Q}([A-Za-z0-9_.-]{{20,}}){Q}"),
-]
+)
 
 # Value prefixes that name a provider whatever rule matched.
 PROVIDER_PREFIXES = [

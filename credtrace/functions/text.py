@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,24 @@ from credtrace.functions import catalog as C
 STRIP = " \t\r\n\f\x0b"
 
 
+def cached(build):
+    """Keep what ``build`` returns per argument tuple, for columns that depend on plain values only.
+
+    The larger expressions here take thousands of calls into the JVM to put together; a column is not tied to a
+    DataFrame, so it is built once per JVM and used in every plan.
+    """
+    store = {}
+
+    @functools.wraps(build)
+    def lookup(*args):
+        key = (id(SparkContext._gateway), args)
+        if key not in store:
+            store[key] = build(*args)
+        return store[key]
+
+    return lookup
+
+
 def bind(value: Column, body) -> Column:
     """Evaluate ``value`` once and hand it to ``body``; a local name inside one expression."""
     return F.element_at(F.transform(F.array(value), body), 1)

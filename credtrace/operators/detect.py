@@ -129,17 +129,31 @@ def filter_candidates(candidates: Column, path: Column, allow_test_files: bool =
     return F.filter(F.transform(real, weighted), lambda c: c["confidence"] >= F.lit(0.15))
 
 
+@T.cached
+def _hits(rules: tuple) -> Column:
+    return hit_lines(F.col("lines"), rules)
+
+
+@T.cached
+def _candidates(rules: tuple) -> Column:
+    return F.concat(rule_candidates(F.col("hits"), F.col("lines"), rules),
+                    entropy_candidates(F.col("hits"), F.col("lines")))
+
+
+@T.cached
+def _filtered(allow_test_files: bool) -> Column:
+    return filter_candidates(F.col("candidates"), F.col("file_path"), allow_test_files)
+
+
 def with_candidates(files: DataFrame, rules=C.DETECTION_RULES) -> DataFrame:
     """``files`` plus ``lines`` and the raw ``candidates`` array, rules before entropy."""
-    hits = with_lines(files).withColumn("hits", hit_lines(F.col("lines"), rules))
-    return hits.withColumn("candidates", F.concat(
-        rule_candidates(F.col("hits"), F.col("lines"), rules),
-        entropy_candidates(F.col("hits"), F.col("lines")))).drop("hits")
+    rules = tuple(tuple(r) for r in rules)
+    hits = with_lines(files).withColumn("hits", _hits(rules))
+    return hits.withColumn("candidates", _candidates(rules)).drop("hits")
 
 
 def with_filtered(files: DataFrame, rules=C.DETECTION_RULES, allow_test_files: bool = False) -> DataFrame:
-    return with_candidates(files, rules).withColumn(
-        "candidates", filter_candidates(F.col("candidates"), F.col("file_path"), allow_test_files))
+    return with_candidates(files, rules).withColumn("candidates", _filtered(allow_test_files))
 
 
 def exploded(files: DataFrame) -> DataFrame:

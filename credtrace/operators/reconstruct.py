@@ -202,35 +202,50 @@ def resolve(defs: Column, keep_unread: bool = False) -> Column:
                                                                         a["recons"].alias("recons")))
 
 
-def with_definitions(files: DataFrame) -> DataFrame:
-    """``files`` (with ``lines``) plus the ``defs`` array; empty where the text cannot assemble anything."""
-    possible = F.col("content").rlike(ASSEMBLY) & F.contains(F.col("content"), F.lit("="))
-    return (files.withColumn("assembly", possible)
-            .withColumn("statements", F.when(F.col("assembly"), S.statement_array(F.col("lines"), F.col("language"))))
-            .withColumn("defs", definitions(F.col("statements"), F.col("language"))))
+@T.cached
+def statements_column() -> Column:
+    return S.statement_array(F.col("lines"), F.col("language"))
+
+
+@T.cached
+def definitions_column() -> Column:
+    return definitions(F.col("statements"), F.col("language"))
+
+
+@T.cached
+def resolved_column(keep_unread: bool) -> Column:
+    return resolve(F.col("defs"), keep_unread)
 
 
-def validated(recons: Column) -> Column:
-    """Rebuilt values that look like secrets, with confidence and type."""
-    checked = F.transform(recons, lambda r: r.withField(
+@T.cached
+def checked_column() -> Column:
+    """``recons`` with the verdict of the validator."""
+    return F.transform("recons", lambda r: r.withField(
         "check", T.validate_reconstructed(r["value"], r["target"], r["statement"], r["status"])))
-    return F.filter(checked, lambda r: r["check"]["is_secret"])
 
 
 def with_reconstructions(files: DataFrame) -> DataFrame:
-    """``files`` (with ``lines``) plus ``recons`` (all) and ``secrets`` (validated)."""
-    return (with_definitions(files)
-            .withColumn("recons", F.coalesce(resolve(F.col("defs"))["recons"], T.empty_array(f"array<{RECON}>")))
-            .withColumn("secrets", validated(F.col("recons")))
-            .drop("assembly", "statements", "defs"))
+    """``files`` (with ``lines``) plus ``recons`` (all, with their check) and ``secrets`` (those accepted).
+
+    Statements are only built for files whose text can assemble a value.
+    """
+    possible = F.col("content").rlike(ASSEMBLY) & F.contains(F.col("content"), F.lit("="))
+    return (files.withColumn("statements", F.when(possible, statements_column()))
+            .withColumn("defs", definitions_column())
+            .withColumn("recons", F.coalesce(resolved_column(False)["recons"], T.empty_array(f"array<{RECON}>")))
+            .withColumn("recons", checked_column())
+            .withColumn("secrets", F.filter("recons", lambda r: r["check"]["is_secret"]))
+            .drop("statements", "defs"))
+
+
+def _with_lines(files: DataFrame) -> DataFrame:
+    return files.withColumn("lines", F.split("content", "\n", -1))
 
 
 def reconstructions(files: DataFrame) -> DataFrame:
     """One row per rebuilt value with its validation."""
-    with_all = with_reconstructions(files.withColumn("lines", F.split("content", "\n", -1)))
-    checked = F.transform(F.col("recons"), lambda r: r.withField(
-        "check", T.validate_reconstructed(r["value"], r["target"], r["statement"], r["status"])))
-    return (with_all.select("scan_id", "file_path", F.posexplode_outer(checked).alias("ord", "r"))
+    return (with_reconstructions(_with_lines(files))
+            .select("scan_id", "file_path", F.posexplode_outer("recons").alias("ord", "r"))
             .filter(F.col("ord").isNotNull())
             .select("scan_id", "file_path", "ord", "r.target", "r.line_no", "r.value", "r.status", "r.kind",
                     "r.fragments", "r.check.is_secret", "r.check.confidence", "r.check.secret_type",
@@ -239,8 +254,8 @@ def reconstructions(files: DataFrame) -> DataFrame:
 
 def symbols(files: DataFrame) -> DataFrame:
     """Every resolved definition: variable, value, line and how it was defined."""
-    defs = (files.withColumn("lines", F.split("content", "\n", -1))
-            .withColumn("defs", definitions(S.statement_array(F.col("lines"), F.col("language")), F.col("language"))))
-    return (defs.withColumn("symbols", resolve(F.col("defs"), keep_unread=True)["symbols"])
+    return (_with_lines(files).withColumn("statements", statements_column())
+            .withColumn("defs", definitions_column())
+            .withColumn("symbols", resolved_column(True)["symbols"])
             .select("scan_id", "file_path", F.explode_outer("symbols").alias("s"))
             .filter(F.col("s").isNotNull()).select("scan_id", "file_path", "s.*"))

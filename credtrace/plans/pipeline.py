@@ -31,8 +31,8 @@ def secret_files(files: DataFrame, rules=C.DETECTION_RULES, allow_test_files: bo
             .filter(F.col("f").isNotNull()).select("scan_id", "file_path", "f.*"))
 
 
-def with_seeds(found: DataFrame) -> DataFrame:
-    """Secret variables of a file and the line each starts on; a later seed for a variable replaces an earlier one."""
+@T.cached
+def _seeds() -> Column:
     seeds = F.concat(
         F.transform("secrets", lambda r: F.struct(r["target"].alias("variable"), r["line_no"].cast("int").alias("line"),
                                                   r["value"].alias("value"))),
@@ -44,42 +44,62 @@ def with_seeds(found: DataFrame) -> DataFrame:
         names = F.transform(rev, lambda s: s["variable"])
         return T.bind(names, lambda ns: F.filter(rev, lambda s, i: F.array_position(ns, s["variable"]) == i + 1))
 
-    return found.withColumn("seeds", F.reverse(T.bind(F.reverse(seeds), latest)))
+    return F.reverse(T.bind(F.reverse(seeds), latest))
+
+
+def with_seeds(found: DataFrame) -> DataFrame:
+    """Secret variables of a file and the line each starts on; a later seed for a variable replaces an earlier one."""
+    return found.withColumn("seeds", _seeds())
+
+
+@T.cached
+def _table() -> Column:
+    return F.when(F.size("seeds") > 0, D.line_table(F.col("lines"))).otherwise(T.empty_array(D.LINES))
+
+
+@T.cached
+def _parsed() -> Column:
+    language = F.col("language")
+    return F.when((F.size("seeds") > 0) & S.is_python(language), D.parsed(S.statement_array(F.col("lines"), language)))
+
+
+@T.cached
+def _facts() -> Column:
+    python = S.is_python(F.col("language"))
+    facts = F.when(python, D.statement_facts(F.col("parsed"))).otherwise(
+        D.line_facts(F.col("table"), F.transform("seeds", lambda s: s["variable"])))
+    return F.coalesce(D.numbered(facts, ~python), F.array())
+
+
+@T.cached
+def _walk() -> Column:
+    return F.coalesce(D.numbered(D.sink_facts(F.col("parsed")), F.lit(False)), F.array())
 
 
 def with_facts(found: DataFrame) -> DataFrame:
     """Facts of the files that have a seed: ``table`` for every language, statement facts for Python."""
-    seeded = F.size("seeds") > 0
-    python = S.is_python(F.col("language"))
-    return (found
-            .withColumn("table", F.when(seeded, D.line_table(F.col("lines"))).otherwise(T.empty_array(D.LINES)))
-            .withColumn("parsed", F.when(seeded & python, D.parsed(S.statement_array(F.col("lines"), F.col("language")))))
-            .withColumn("facts", F.coalesce(D.numbered(F.when(python, D.statement_facts(F.col("parsed"))).otherwise(
-                D.line_facts(F.col("table"), F.transform("seeds", lambda s: s["variable"]))), ~python), F.array()))
-            .withColumn("walk", F.coalesce(D.numbered(D.sink_facts(F.col("parsed")), F.lit(False)), F.array()))
-            .drop("parsed"))
+    return (found.withColumn("table", _table()).withColumn("parsed", _parsed())
+            .withColumn("facts", _facts()).withColumn("walk", _walk()).drop("parsed"))
 
 
-def with_flows(found: DataFrame) -> DataFrame:
-    """``flows``: per seed variable its graph nodes, its sinks and the sink that counts."""
+@T.cached
+def _flows() -> Column:
     python = S.is_python(F.col("language"))
-    origin_snippet = lambda s: T.strip(F.element_at(F.col("lines"), s["line"]))
+    missing = F.lit(None).cast("string")
 
     def nodes(s: Column) -> Column:
+        snippet = T.strip(F.element_at(F.col("lines"), s["line"]))
         origin = F.array(F.struct(
             s["variable"].alias("variable"), s["line"].alias("line"), F.lit("assignment").alias("operation"),
-            origin_snippet(s).alias("snippet"), F.lit(None).cast("string").alias("source"),
-            F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("edge"))).cast(D.NODES)
+            snippet.alias("snippet"), missing.alias("source"), missing.alias("target"), missing.alias("edge"))
+        ).cast(D.NODES)
         start = F.when(python, F.lit(0)).otherwise(s["line"])
         return F.concat(origin, D.trace(F.col("facts"), s["variable"], start, ~python))
 
     def direct(s: Column) -> Column:
         v = s["variable"]
-        return sinks.unique_sinks(F.concat(D_statement(v), sinks.line_sinks(F.col("table"), v),
-                                           sinks.container_sinks(F.col("table"), v)))
-
-    def D_statement(v: Column) -> Column:
-        return sinks.statement_sinks(F.col("walk"), v)
+        return T.bind(F.concat(sinks.statement_sinks(F.col("walk"), v), sinks.line_sinks(F.col("table"), v),
+                               sinks.container_sinks(F.col("table"), v)), sinks.unique_sinks)
 
     def flow(s: Column) -> Column:
         return T.bind(F.struct(nodes(s).alias("nodes"), direct(s).alias("direct")), lambda x: T.bind(
@@ -88,65 +108,80 @@ def with_flows(found: DataFrame) -> DataFrame:
                 x["nodes"].alias("nodes"), x["direct"].alias("direct"), g.alias("from_graph"),
                 sinks.best_of(x["direct"], g).alias("sink"))))
 
-    return found.withColumn("flows", F.transform("seeds", flow)).drop("facts", "walk", "table")
+    return F.transform("seeds", flow)
 
 
-def with_redaction(found: DataFrame) -> DataFrame:
-    """``known``: every raw value of the file that must not leave it, longest first."""
+def with_flows(found: DataFrame) -> DataFrame:
+    """``flows``: per seed variable its graph nodes, its sinks and the sink that counts."""
+    return found.withColumn("flows", _flows()).drop("facts", "walk", "table")
+
+
+@T.cached
+def _known() -> Column:
     fragments = F.flatten(F.transform("secrets", lambda r: F.transform(
         F.filter(r["fragments"], lambda g: g["resolved"] & (F.length(g["value"]) >= 4)), lambda g: g["value"])))
     values = F.concat(F.transform("candidates", lambda c: c["value"]), F.transform("secrets", lambda r: r["value"]),
                       fragments)
-    return found.withColumn("known", T.longest_first(F.filter(values, lambda v: F.length(v) > 0)))
+    return T.longest_first(F.filter(values, lambda v: F.length(v) > 0))
 
 
-def raw_findings(found: DataFrame) -> DataFrame:
-    """One row per rebuilt secret and per candidate with its flow, its merge group and redacted code."""
-    names = F.col("names")
-    fragment_type = "array<struct<variable:string,value:string,line:int,resolved:boolean>>"
+def with_redaction(found: DataFrame) -> DataFrame:
+    """``known``: every raw value of the file that must not leave it, longest first."""
+    return found.withColumn("known", _known())
+
 
-    def flow_of(variable: Column) -> Column:
-        return F.try_element_at(F.col("flows"), F.array_position(names, variable).cast("int"))
+@T.cached
+def _finding_rows() -> Column:
+    names = F.transform("flows", lambda f: f["variable"])
 
-    def row(i: Column, value, line, kind, method: str, confidence, entropy, status, fragments, variable, context):
-        flow = F.when(F.array_contains(names, variable), flow_of(variable))
+    def row(i: Column, value, line, kind, method, confidence, entropy, status, fragments, variable, context):
+        flow = F.try_element_at(F.col("flows"), F.nullif(F.array_position(names, variable).cast("int"), F.lit(0)))
         return F.struct(
             i.cast("long").alias("ord"), value.alias("secret"), line.cast("int").alias("line_number"),
-            kind.alias("secret_type"), (F.lit(method) if isinstance(method, str) else method).alias("method"),
-            confidence.alias("confidence"), entropy.alias("entropy_score"), status.alias("status"),
-            fragments.cast(fragment_type).alias("fragments"), variable.alias("variable"), context.alias("context"),
-            flow["nodes"].alias("nodes"), flow["sink"].alias("sink"))
+            kind.alias("secret_type"), method.alias("method"), confidence.alias("confidence"),
+            entropy.alias("entropy_score"), status.alias("status"), fragments.cast(reconstruct.FRAGMENTS)
+            .alias("fragments"), variable.alias("variable"), context.alias("context"), flow.alias("flow"))
 
     def from_secret(r: Column, i: Column) -> Column:
-        return row(i, r["value"], r["line_no"], r["check"]["secret_type"], "reconstruction", r["check"]["confidence"],
-                   F.lit(0.0), r["status"], r["fragments"], r["target"], T.line_window(F.col("lines"), r["line_no"]))
+        return row(i, r["value"], r["line_no"], r["check"]["secret_type"], F.lit("reconstruction"),
+                   r["check"]["confidence"], F.lit(0.0), r["status"], r["fragments"], r["target"],
+                   T.line_window(F.col("lines"), r["line_no"]))
 
     def from_candidate(c: Column, i: Column) -> Column:
         return row(i + F.size("secrets"), c["value"], c["line_number"], c["secret_type"], c["detection_method"],
                    c["confidence"], c["entropy_score"], F.lit("NONE"), F.lit(None), c["context_variable"],
                    c["code_context"])
 
-    rows = F.concat(F.transform("secrets", from_secret), F.transform("candidates", from_candidate))
-    flat = (found.withColumn("names", F.transform("flows", lambda f: f["variable"]))
-            .withColumn("heads", _group_heads())
-            .select("scan_id", "file_path", "repository", "heads", "known", F.explode_outer(rows).alias("r"))
-            .filter(F.col("r").isNotNull()))
-    prefix = F.substring(F.col("r.secret"), 1, C.DEDUP_PREFIX)
-    contained = F.when(
-        (F.col("r.secret_type") == "High Entropy String") & (F.length("r.secret") >= 8),
-        F.try_element_at(F.filter("heads", lambda h: F.contains(h, F.col("r.secret")) & (h != F.col("r.secret"))),
-                         F.lit(1)))
-    clean = lambda c: T.redact(c, F.col("known"))
-    return flat.select(
-        "scan_id", "file_path", "repository", "r.ord", "r.secret", "r.line_number", "r.secret_type", "r.method",
-        "r.confidence", "r.entropy_score", "r.status", "r.fragments", "r.variable",
-        F.coalesce(F.substring(contained, 1, C.DEDUP_PREFIX), prefix).alias("group_key"),
+    return F.concat(F.transform("secrets", from_secret), F.transform("candidates", from_candidate))
+
+
+@T.cached
+def _finding_columns() -> list[Column]:
+    def clean(text: Column) -> Column:
+        return T.redact(text, F.col("known"))
+
+    secret = F.col("r.secret")
+    contained = F.when((F.col("r.secret_type") == "High Entropy String") & (F.length(secret) >= 8), F.try_element_at(
+        F.filter("heads", lambda h: F.contains(h, secret) & (h != secret)), F.lit(1)))
+    sink = F.col("r.flow.sink")
+    return [
+        *[F.col(c) for c in ("scan_id", "file_path", "repository", "r.ord", "r.secret", "r.line_number", "r.secret_type",
+                             "r.method", "r.confidence", "r.entropy_score", "r.status", "r.fragments", "r.variable")],
+        F.substring(F.coalesce(contained, secret), 1, C.DEDUP_PREFIX).alias("group_key"),
         clean(F.col("r.context")).alias("code_context"),
-        F.transform("r.nodes", lambda n: n.withField("snippet", clean(n["snippet"]))).alias("nodes"),
-        F.when(F.col("r.sink").isNotNull(), F.col("r.sink").withField("code", clean(F.col("r.sink.code"))))
-        .alias("sink"))
+        F.transform("r.flow.nodes", lambda n: n.withField("snippet", clean(n["snippet"]))).alias("nodes"),
+        F.when(sink.isNotNull(), sink.withField("code", clean(sink["code"]))).alias("sink")]
+
+
+def raw_findings(found: DataFrame) -> DataFrame:
+    """One row per rebuilt secret and per candidate with its flow, its merge group and redacted code."""
+    return (found.withColumn("heads", _group_heads())
+            .select("scan_id", "file_path", "repository", "heads", "known",
+                    F.explode_outer(_finding_rows()).alias("r"))
+            .filter(F.col("r").isNotNull()).select(*_finding_columns()))
 
 
+@T.cached
 def _group_heads() -> Column:
     """The first rebuilt value of every merge group, in order; entropy fragments are looked up in these."""
     def firsts(values: Column) -> Column:

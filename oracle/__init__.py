@@ -1,0 +1 @@
+"""Reference answers in DuckDB SQL, written independently of the Spark plans."""
