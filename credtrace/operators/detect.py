@@ -37,47 +37,36 @@ def hit_lines(lines: Column, rules=C.DETECTION_RULES) -> Column:
     return F.filter(numbered, lambda x: x["line"].rlike(_line_filter(rules)))
 
 
-def _rule_matches(hit: Column, lines: Column, rule) -> Column:
-    """All non-overlapping matches of one rule on one line.
+def rule_candidates(hits: Column, lines: Column, rules=C.DETECTION_RULES) -> Column:
+    """All non-overlapping matches of every rule, rule by rule, then by line and position.
 
     Spark has no function for match offsets: the pieces between the matches give them, because pieces and matches
     alternate and together make up the line.
     """
-    kind, confidence, group, pattern = rule
-    line = hit["line"]
-
-    def rows(found: Column) -> Column:
-        whole, values, pieces = found["whole"], found["val"], found["pieces"]
-
-        def length_of(parts: Column, n: Column) -> Column:
-            return F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda acc, p: acc + F.length(p))
-
-        def row(w: Column, i: Column) -> Column:
-            value = F.element_at(values, i + 1)
-            return F.struct(
-                value.alias("value"), hit["n"].alias("line_number"),
-                (length_of(pieces, i + 1) + length_of(whole, i) + 1).alias("column"),
-                T.provider_type(value, F.lit(kind)).alias("secret_type"), F.lit("regex").alias("detection_method"),
-                F.lit(float(confidence)).alias("confidence"), F.lit(0.0).alias("entropy_score"),
-                T.assigned_variable(line).alias("context_variable"),
-                T.line_window(lines, hit["n"]).alias("code_context"))
-
-        return F.transform(whole, row)
-
-    found = F.struct(F.regexp_extract_all(line, F.lit(pattern), F.lit(0)).alias("whole"),
-                     F.regexp_extract_all(line, F.lit(pattern), F.lit(group)).alias("val"),
-                     F.split(line, pattern, -1).alias("pieces"))
-    return T.bind(found, rows)
-
-
-def rule_candidates(hits: Column, lines: Column, rules=C.DETECTION_RULES) -> Column:
-    """Matches of every rule, rule by rule, then by line and position."""
     def of(rule) -> Column:
-        matching = F.filter(hits, lambda h: h["line"].rlike(rule[3]))
-        return F.flatten(F.transform(matching, lambda h: _rule_matches(h, lines, rule)))
-
-    per_rule = [of(rule) for rule in rules]
-    return F.concat(*per_rule).cast(CANDIDATES)
+        kind, confidence, group, pattern = rule
+        return F.transform(F.filter(hits, lambda h: h["line"].rlike(pattern)), lambda h: F.struct(
+            F.lit(kind).alias("kind"), F.lit(float(confidence)).alias("confidence"), h["n"].alias("n"),
+            h["line"].alias("line"), F.regexp_extract_all(h["line"], F.lit(pattern), F.lit(0)).alias("whole"),
+            F.regexp_extract_all(h["line"], F.lit(pattern), F.lit(group)).alias("values"),
+            F.split(h["line"], pattern, -1).alias("pieces")))
+
+    def length_of(parts: Column, n: Column) -> Column:
+        return F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda acc, p: acc + F.length(p))
+
+    def rows(m: Column) -> Column:
+        def row(whole: Column, i: Column) -> Column:
+            value = F.element_at(m["values"], i + 1)
+            return F.struct(
+                value.alias("value"), m["n"].alias("line_number"),
+                (length_of(m["pieces"], i + 1) + length_of(m["whole"], i) + 1).alias("column"),
+                T.provider_type(value, m["kind"]).alias("secret_type"), F.lit("regex").alias("detection_method"),
+                m["confidence"].alias("confidence"), F.lit(0.0).alias("entropy_score"),
+                T.assigned_variable(m["line"]).alias("context_variable"),
+                T.line_window(lines, m["n"]).alias("code_context"))
+        return F.transform(m["whole"], row)
+
+    return F.flatten(F.transform(F.concat(*[of(rule) for rule in rules]), rows)).cast(CANDIDATES)
 
 
 def entropy_candidates(hits: Column, lines: Column, hex_threshold=C.HEX_THRESHOLD,

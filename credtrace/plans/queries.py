@@ -141,8 +141,6 @@ Q["p9_string_class"] = lambda spark, d: _words(spark, d).select(
 Q["p10_literals"] = lambda spark, d: corpus.lines(pages(spark, d)).select(
     "file_path", F.col("line_no").cast("bigint").alias("line_no"),
     F.explode(F.regexp_extract_all("line", F.lit(C.QUOTED_LITERAL), F.lit(1))).alias("value"))
-Q["p11_comment_lines"] = lambda spark, d: corpus.lines(documents(spark, d)).filter(
-    T.is_comment_line(F.col("line"))).select("file_path", F.col("line_no").cast("bigint").alias("line_no"))
 Q["p12_credential_keywords"] = lambda spark, d: corpus.lines(documents(spark, d)).select(
     "file_path", F.col("line_no").cast("bigint").alias("line_no"),
     T.has_credential_keyword(F.col("line")).cast("int").alias("has_keyword"))
@@ -189,6 +187,8 @@ def _contexts(spark, d):
 
 Q["p16_documentation_context"] = lambda spark, d: _contexts(spark, d).select(
     "c_custkey", "context", T.is_documentation(F.col("context")).cast("int").alias("documentation"))
+Q["p11_comment_lines"] = lambda spark, d: _contexts(spark, d).select(
+    "c_custkey", F.explode(F.split("context", "\n", -1)).alias("line")).filter(T.is_comment_line(F.col("line")))
 Q["p17_test_path"] = lambda spark, d: paths(spark, d).select(
     "file_path", T.is_test_path(F.col("file_path")).cast("int").alias("test_path"))
 Q["p18_config_variable"] = lambda spark, d: corpus.read(spark, d, "customer").select(
@@ -277,7 +277,28 @@ def _nodes(spark, d, *operations, python=True):
 
 Q["d2_assign_edges"] = lambda spark, d: _nodes(spark, d, "assignment")
 Q["d3_dict_edges"] = lambda spark, d: _nodes(spark, d, "dict_value")
-Q["d4_d5_subscript_concat_edges"] = lambda spark, d: _nodes(spark, d, "subscript_assignment", "concatenation")
+
+
+def woven(spark: SparkSession, d: str) -> DataFrame:
+    """One Python file per customer whose secret runs through every kind of statement edge."""
+    text = F.concat_ws("\n", F.concat(F.lit('api_key = "'), F.md5("c_name"), F.lit('"')), F.lit("alias = api_key"),
+                       F.lit('headers["X-Key"] = alias'), F.lit('full = "a" + "b" + alias'),
+                       F.lit("both = full + api_key + alias"), F.lit("app.sink.push(headers, both)"),
+                       F.lit("out = send(1, **both)"), F.lit("other = out"))
+    rows = corpus.spread(corpus.read(spark, d, "customer").select("c_custkey", "c_name"))
+    return corpus.gate(corpus.as_files(rows, F.lit("woven"), F.lit("r"), F.concat(
+        F.lit("w"), F.col("c_custkey").cast("string"), F.lit(".py")), text))
+
+
+@query("d4_d5_woven_edges")
+def _(spark, d):
+    flows = P.with_flows(P.with_facts(P.with_seeds(P.secret_files(woven(spark, d)))))
+    return (flows.select("file_path", F.explode_outer("flows").alias("x")).filter("x.variable = 'api_key'")
+            .select("file_path", F.posexplode("x.nodes").alias("ord", "n")).filter(F.col("n.source").isNotNull())
+            .select("file_path", F.col("ord").cast("bigint").alias("ord"), F.col("n.line").cast("bigint").alias("line"),
+                    "n.variable", "n.operation", "n.source", "n.target", "n.edge", "n.snippet"))
+
+
 Q["d6_d8_argument_edges"] = lambda spark, d: _nodes(spark, d, "function_argument")
 Q["d7_keyword_edges"] = lambda spark, d: _nodes(spark, d, "keyword_argument")
 Q["d9_line_edges"] = lambda spark, d: _nodes(spark, d, python=False)

@@ -63,9 +63,6 @@ ORACLE["p9_string_class"] = WORDS + (
 ORACLE["r13_value_type"] = WORDS + f"SELECT c_custkey, value, {O.reconstructed_type('value')} AS secret_type FROM words"
 ORACLE["p10_literals"] = query(
     f"SELECT file_path, line_no, unnest(regexp_extract_all(line, {lit(C.QUOTED_LITERAL)}, 1)) AS value FROM lines", "lines", "pages")
-ORACLE["p11_comment_lines"] = query(
-    f"SELECT file_path, line_no FROM lines WHERE starts_with({O.trim('line')}, '#') OR starts_with({O.trim('line')}, '//') OR starts_with({O.trim('line')}, '*')",
-    "lines", "documents")
 ORACLE["p12_credential_keywords"] = query(
     f"SELECT file_path, line_no, {O.has_any('lower(line)', C.CREDENTIAL_KEYWORDS)}::INT AS has_keyword FROM lines", "lines", "documents")
 ORACLE["p13_entropy_candidates"] = query(f"SELECT {CANDIDATE} FROM raw WHERE detection_method = 'entropy'", "raw")
@@ -89,6 +86,10 @@ ORACLE["p16_documentation_context"] = (
         _L, _j("# Example: use this", _L), _j('"""doc', _L), _j('"""doc"""', _L), _j("/* open", _L, "x"), _j("/* open */", _L),
         _j("a", "b", "// e.g. a demo", _L, "c"), _j(">>> run()", _L), _j("* @param x", _L), _j("# TODO later", _L), _j("'''", "'''", _L),
         _j("plain", _L, "plain")) + " AS context FROM customer)")
+_CONTEXTS = ORACLE["p16_documentation_context"].split("FROM (", 1)[1]
+ORACLE["p11_comment_lines"] = (
+    f"SELECT c_custkey, line FROM (SELECT c_custkey, unnest(string_split(context, {NL})) AS line FROM ({_CONTEXTS}) WHERE "
+    f"starts_with({O.trim('line')}, '#') OR starts_with({O.trim('line')}, '//') OR starts_with({O.trim('line')}, '*')")
 ORACLE["p18_config_variable"] = (
     "SELECT c_custkey, name, " + match("name", C.CONFIG_VARIABLE) + "::INT AS config FROM (SELECT c_custkey, " + _varied(
         "lower(c_mktsegment)", "'default_' || c_mktsegment", "'MockKey'", "'api_key'", "'my_Template'") + " AS name FROM customer)")
@@ -127,13 +128,12 @@ def _nodes(where: str) -> str:
 
 
 for _n, _ops in (("d2_assign_edges", ["assignment"]), ("d3_dict_edges", ["dict_value"]),
-                 ("d4_d5_subscript_concat_edges", ["subscript_assignment", "concatenation"]),
                  ("d6_d8_argument_edges", ["function_argument"]), ("d7_keyword_edges", ["keyword_argument"])):
     ORACLE[_n] = _nodes(f"language = 'Python' AND operation IN {O.one_of(_ops)}")
 ORACLE["d9_line_edges"] = _nodes("language <> 'Python'")
 ORACLE["d10_taint_closure"] = query("SELECT scan_id, file_path, seed, name FROM taint", "taint")
 ORACLE["d11_paths"] = query("SELECT scan_id, file_path, seed, array_to_string(path, ' → ') AS path, len(path) AS length FROM paths", "paths")
-FUNCTIONS = (", called AS (SELECT DISTINCT fn FROM line_calls), fns AS (SELECT DISTINCT unnest([fn, 'x.' || fn, fn || '.more', upper(fn), "
+FUNCTIONS = (f", called AS (SELECT DISTINCT unnest(regexp_extract_all(line, {lit(O.LINE_CALL)}, 1)) AS fn FROM lines), fns AS (SELECT DISTINCT unnest([fn, 'x.' || fn, fn || '.more', upper(fn), "
              "'a.b.' || string_split(fn, '.')[-1]]) AS function FROM called) ")
 
 
@@ -159,6 +159,20 @@ ORACLE["k6_container_sinks"] = " UNION ALL ".join(
     f"SELECT 'c' || c_custkey || '.rb' AS file_path, 'api_key' AS seed, {lit(k)} AS sink_type, '{fn}' AS function, {line} AS line FROM customer"
     for k, fn, line in ((C.NETWORK, "client.post", 4), (C.LOG, "print", 5)))
 
+# Edges of the woven files follow from how they are written.
+_EDGES = (
+    ("d2_assign_edges", 2, "alias", "assignment", "api_key", "alias", "assignment", "alias = api_key"),
+    ("d4_subscript", 3, "headers[X-Key]", "subscript_assignment", "alias", "headers[X-Key]", "subscript_assignment", 'headers["X-Key"] = alias'),
+    ("d5_concat", 4, "full", "concatenation", "alias", "full", "concatenation", 'full = "a" + "b" + alias'),
+    ("d5_concat", 5, "both", "concatenation", "alias", "both", "concatenation", "both = full + api_key + alias"),
+    ("d6_argument", 6, "...push(headers)", "function_argument", "headers", "...push()", "parameter_pass", "app.sink.push(headers, both)"),
+    ("d6_argument", 6, "...push(both)", "function_argument", "both", "...push()", "parameter_pass", "app.sink.push(headers, both)"),
+    ("d7_keyword", 7, "send(**kwargs=both)", "keyword_argument", "both", "send(**kwargs=)", "parameter_pass", "out = send(1, **both)"))
+ORACLE["d4_d5_woven_edges"] = " UNION ALL ".join(
+    f"SELECT 'w' || c_custkey || '.py' AS file_path, {i} AS ord, {line}::BIGINT AS line, {lit(v)} AS variable, {lit(op)} AS operation, "
+    f"{lit(src)} AS source, {lit(tgt)} AS target, {lit(edge)} AS edge, {lit(code)} AS snippet FROM customer"
+    for i, (_n, line, v, op, src, tgt, edge, code) in enumerate(_EDGES, 1))
+
 # ---- findings ----
 ORACLE["j2_j3_findings_with_flow"] = query(
     "SELECT scan_id, file_path, method, secret, line_number, variable, coalesce(array_to_string(path, ' → '), '') AS path, "
@@ -242,7 +256,7 @@ ORACLE["q9_history"] = query(
 WORKLIST = (f"SELECT * FROM (SELECT *, {ID}, row_number() OVER (PARTITION BY scan_id ORDER BY risk_score DESC, file_path, ord) AS rank FROM scored WHERE risk_score >= 30) WHERE rank <= 10")
 ORACLE["q10_advisory_worklist"] = query(f"SELECT scan_id, file_path, finding_id, risk_score, rank FROM ({WORKLIST})", "scored")
 ORACLE["q11_advisory_merge"] = query(
-    f"SELECT s.finding_id, CASE WHEN w.finding_id IS NULL THEN '' ELSE s.secret_type END AS ai_explanation, CASE WHEN w.finding_id IS NULL THEN '' ELSE 'rotate' END AS ai_remediation, "
+    f"SELECT s.finding_id, CASE WHEN w.finding_id IS NULL THEN '' ELSE s.secret_type || chr(10) || 'REMEDIATION: rotate' END AS ai_explanation, CASE WHEN w.finding_id IS NULL THEN '' ELSE 'rotate' END AS ai_remediation, "
     f"'' AS ai_impact, CASE WHEN w.finding_id IS NULL THEN 'pending' ELSE 'completed' END AS ai_analysis_status FROM (SELECT *, {ID} FROM scored) s LEFT JOIN ({WORKLIST}) w USING (finding_id)", "scored")
 ORACLE["q12_report_header"] = query(
     "SELECT scan_id, repository, status, findings_count AS total_findings, printf('%.1f/100', risk_score) AS average_risk_score, files_scanned, total_lines AS lines_analyzed, "
