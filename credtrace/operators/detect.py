@@ -21,20 +21,28 @@ def with_lines(files: DataFrame) -> DataFrame:
     return files.withColumn("lines", F.split("content", "\n", -1))
 
 
-def _needs_quote(pattern: str) -> bool:
-    """True when every match of a rule holds a quote character, so that unquoted lines can be skipped."""
-    return C.Q in pattern.replace(C.Q + "?", "")
+def _matches(line: Column, rule) -> Column:
+    """Whether a rule matches a line; a plain text search spares most lines the pattern."""
+    found = line.rlike(rule[3])
+    return F.contains(line, F.lit(rule[4])) & found if len(rule) > 4 else found
 
 
-def _line_filter(rules) -> str:
-    loose = [p for _, _, _, p in rules if not _needs_quote(p)]
-    return "|".join(["[\"'`]"] + [f"(?:{p})" for p in loose])
+def _needs_quote(rule) -> bool:
+    """True when every match of a rule holds a quote character."""
+    return C.Q in rule[3].replace(C.Q + "?", "")
 
 
 def hit_lines(lines: Column, rules=C.DETECTION_RULES) -> Column:
-    """Lines that may hold a candidate, with their 1-based number."""
+    """Lines that may hold a candidate, with their 1-based number: any quote, or a rule that needs none."""
+    def may_hold(line: Column) -> Column:
+        hit = line.rlike("[\"'`]")
+        for rule in rules:
+            if not _needs_quote(rule):
+                hit = hit | _matches(line, rule)
+        return hit
+
     numbered = F.transform(lines, lambda l, i: F.struct((i + 1).alias("n"), l.alias("line")))
-    return F.filter(numbered, lambda x: x["line"].rlike(_line_filter(rules)))
+    return F.filter(numbered, lambda x: may_hold(x["line"]))
 
 
 def rule_candidates(hits: Column, lines: Column, rules=C.DETECTION_RULES) -> Column:
@@ -44,8 +52,8 @@ def rule_candidates(hits: Column, lines: Column, rules=C.DETECTION_RULES) -> Col
     alternate and together make up the line.
     """
     def of(rule) -> Column:
-        kind, confidence, group, pattern = rule
-        return F.transform(F.filter(hits, lambda h: h["line"].rlike(pattern)), lambda h: F.struct(
+        kind, confidence, group, pattern = rule[:4]
+        return F.transform(F.filter(hits, lambda h: _matches(h["line"], rule)), lambda h: F.struct(
             F.lit(kind).alias("kind"), F.lit(float(confidence)).alias("confidence"), h["n"].alias("n"),
             h["line"].alias("line"), F.regexp_extract_all(h["line"], F.lit(pattern), F.lit(0)).alias("whole"),
             F.regexp_extract_all(h["line"], F.lit(pattern), F.lit(group)).alias("values"),

@@ -191,7 +191,8 @@ LINES = (f"SELECT scan_id, repository, file_path, language, line_no, ls[line_no]
 
 def _rules(rules) -> str:
     parts = []
-    for i, (kind, conf, group, pattern) in enumerate(rules):
+    for i, rule in enumerate(rules):
+        kind, conf, group, pattern = rule[:4]
         p = lit(pattern)
         parts.append(
             f"SELECT scan_id, repository, file_path, 0 AS phase, {i} AS rule, line_no, line, ctx, {lit(kind)} AS kind, "
