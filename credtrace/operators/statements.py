@@ -48,7 +48,8 @@ def _code_line(line: Column, python: Column) -> Column:
     text = F.when(python, hash_free).otherwise(slash_free)
 
     def measured(t: Column) -> Column:
-        bare = F.regexp_replace(t, STRING, "")
+        # Complete strings go, the opening of a block string stays.
+        bare = F.regexp_replace(t, rf"(?:{BLOCK_STRING})|(\"\"\"|''')|(?:{PLAIN_STRING}|{TICK_STRING})", "$1")
         marker = F.when(python, F.lit("\"\"\"|'''")).otherwise(F.lit(r"`|/\*"))
         head = F.regexp_replace(bare, F.when(python, F.lit("(?:\"\"\"|''').*$")).otherwise(F.lit(r"(?:`|/\*(?!.*\*/)).*$")),
                                 F.lit(""))

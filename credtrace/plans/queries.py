@@ -218,6 +218,11 @@ for _name, _kind in (("r3_concatenation", "concat"), ("r4_r8_templates", "templa
         F.col("kind") == kind))
 
 
+def _made(rows: DataFrame, scan_id: str) -> DataFrame:
+    """Gated files from rendered paths (``p``) and texts (``t``)."""
+    return corpus.gate(corpus.as_files(corpus.settled(rows), F.lit(scan_id), F.lit("r"), F.col("p"), F.col("t")))
+
+
 def assembled(spark: SparkSession, d: str) -> DataFrame:
     """One Python and one JavaScript file per customer that build a value with format, join and ``+``."""
     h = F.md5("c_name")
@@ -230,8 +235,8 @@ def assembled(spark: SparkSession, d: str) -> DataFrame:
     rows = corpus.spread(corpus.read(spark, d, "customer").select("c_custkey", "c_name")).select(
         F.col("c_custkey").cast("string").alias("k"), F.explode(F.array(
             F.struct(F.lit("py").alias("e"), py.alias("t")), F.struct(F.lit("js").alias("e"), js.alias("t")))).alias("f"))
-    return corpus.gate(corpus.as_files(rows, F.lit("assembled"), F.lit("r"),
-                                       F.concat(F.lit("m"), F.col("k"), F.lit("."), F.col("f.e")), F.col("f.t")))
+    return _made(rows.select(F.concat(F.lit("m"), F.col("k"), F.lit("."), F.col("f.e")).alias("p"), F.col("f.t")
+                             .alias("t")), "assembled")
 
 
 Q["r5_format_r6_join_r9_languages"] = lambda spark, d: reconstruct.reconstructions(assembled(spark, d)).select(
@@ -286,8 +291,8 @@ def woven(spark: SparkSession, d: str) -> DataFrame:
                        F.lit("both = full + api_key + alias"), F.lit("app.sink.push(headers, both)"),
                        F.lit("out = send(1, **both)"), F.lit("other = out"))
     rows = corpus.spread(corpus.read(spark, d, "customer").select("c_custkey", "c_name"))
-    return corpus.gate(corpus.as_files(rows, F.lit("woven"), F.lit("r"), F.concat(
-        F.lit("w"), F.col("c_custkey").cast("string"), F.lit(".py")), text))
+    return _made(rows.select(F.concat(F.lit("w"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("p"),
+                             text.alias("t")), "woven")
 
 
 @query("d4_d5_woven_edges")
@@ -371,8 +376,8 @@ def contained(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat_ws("\n", F.concat(F.lit('api_key = "'), h, F.lit('"')), F.lit('opts = {"key": api_key}'),
                        F.lit('more = {"token": api_key}'), F.lit("client.post(url, opts)"), F.lit("print(more)"))
     rows = corpus.spread(corpus.read(spark, d, "customer").select("c_custkey", "c_name"))
-    return corpus.gate(corpus.as_files(rows, F.lit("contained"), F.lit("r"), F.concat(
-        F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".rb")), text))
+    return _made(rows.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".rb")).alias("p"),
+                             text.alias("t")), "contained")
 
 
 @query("k6_container_sinks")

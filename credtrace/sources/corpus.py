@@ -5,6 +5,11 @@ files(scan_id, repository, file_path, language, size, line_count, content)
 
 from __future__ import annotations
 
+import os
+import re
+from urllib.parse import urlparse
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,21 +80,89 @@ def gate(files: DataFrame, max_line_count: int = C.MAX_LINE_COUNT, max_file_size
                         & (F.col("line_count") <= max_line_count))
 
 
+def settled(table: DataFrame) -> DataFrame:
+    """Stop later filters from being pushed below the computed columns of ``table`` and evaluating them again."""
+    return table.select(F.explode_outer(F.array(F.struct("*"))).alias("row")).select("row.*")
+
+
+LISTING = "path string, name string, is_dir boolean, size long"
+
+
+def _list_directories(batches):
+    """Entries of every directory in the batch; directories that cannot be read have none."""
+    for batch in batches:
+        for directory in batch["path"]:
+            try:
+                with os.scandir(directory) as entries:
+                    rows = [(e.path, e.name, e.is_dir(follow_symlinks=False),
+                             0 if e.is_dir() or not os.path.exists(e.path) else e.stat().st_size) for e in entries]
+            except OSError:
+                continue
+            yield pd.DataFrame(rows, columns=["path", "name", "is_dir", "size"])
+
+
+def _read_files(batches):
+    """Bytes of every file in the batch, a few files at a time; files that cannot be read are left out."""
+    for batch in batches:
+        for start in range(0, len(batch), 32):
+            part = batch.iloc[start:start + 32].copy()
+            contents = []
+            for path in part["path"]:
+                try:
+                    with open(path, "rb") as f:
+                        contents.append(f.read())
+                except OSError:
+                    contents.append(None)
+            part["content"] = contents
+            yield part[part["content"].notna()]
+
+
+def _mounted_tree(spark: SparkSession, root: str, skip_dirs: list[str], max_file_size: int) -> DataFrame:
+    """Files of a tree every executor has mounted, listed level by level.
+
+    Spark's own reader leaves out names that start with a dot or an underscore, and with them ``.env`` files and
+    ``__init__.py``. Each round lists one level in parallel, so a directory that holds much of the tree does not
+    become one task; skipped directories are not entered.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    skip = [d.lower() for d in C.SKIP_DIRECTORIES + list(skip_dirs)]
+    frontier = spark.createDataFrame([(root,)], "path string")
+    levels = []
+    while True:
+        level = frontier.repartition(cores).mapInPandas(_list_directories, LISTING).persist()
+        levels.append(level.filter(~F.col("is_dir") & F.col("size").between(1, max_file_size)))
+        frontier = level.filter(F.col("is_dir") & ~F.lower("name").isin(skip)).select("path")
+        if frontier.isEmpty():
+            break
+    files = levels[0]
+    for level in levels[1:]:
+        files = files.unionByName(level)
+    kept = files.filter(is_supported(F.col("path"))).select("path", F.col("size").alias("length"))
+    return kept.repartition(cores).mapInPandas(_read_files, "path string, length long, content binary")
+
+
 def scan_directory(spark: SparkSession, root: str, scan_id: str, repository: str,
                    skip_dirs: list[str] = (), max_file_size: int = C.MAX_FILE_SIZE,
                    max_line_count: int = C.MAX_LINE_COUNT) -> DataFrame:
-    """Every readable source file below ``root``; size and path tests run before any content is read."""
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-           .filter(F.col("length").between(1, max_file_size)))
-    prefix = root.rstrip("/") + "/"
-    rel = F.substring_index(F.col("path"), prefix, -1)
-    kept = raw.withColumn("file_path", rel).filter(
-        is_supported(F.col("file_path")) & ~in_skipped_directory(F.col("file_path"), skip_dirs)
+    """Every readable source file below ``root``; path and size tests run before any content is read.
+
+    A plain path is walked as a mounted tree; a URI goes through Spark's binary reader, which does not see names
+    that start with a dot or an underscore.
+    """
+    remote = re.match(r"^[A-Za-z][A-Za-z0-9+.-]*://", root) is not None
+    base = (urlparse(root).path if remote else os.path.abspath(root)).rstrip("/")
+    if remote:
+        raw = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+               .filter(F.col("length").between(1, max_file_size)))
+    else:
+        raw = _mounted_tree(spark, base, list(skip_dirs), max_file_size)
+    kept = raw.withColumn("file_path", F.regexp_replace("path", "^.*?" + re.escape(base) + "/", "")).filter(
+        is_supported(F.col("file_path")) & ~in_skipped_directory(F.col("file_path"), list(skip_dirs))
         & ~is_binary(F.col("content")))
-    return gate(kept.select(F.lit(scan_id).alias("scan_id"), F.lit(repository).alias("repository"), "file_path",
+    text = settled(kept.select("file_path", "length", decode_text(F.col("content")).alias("content")))
+    return gate(text.select(F.lit(scan_id).alias("scan_id"), F.lit(repository).alias("repository"), "file_path",
                             language_of(F.col("file_path")).alias("language"), F.col("length").alias("size"),
-                            decode_text(F.col("content")).alias("content"))
-                .withColumn("line_count", line_count(F.col("content"))), max_line_count, max_file_size)
+                            line_count(F.col("content")).alias("line_count"), "content"), max_line_count, max_file_size)
 
 
 def as_files(table: DataFrame, scan_id: Column, repository: Column, file_path: Column, content: Column) -> DataFrame:
@@ -183,8 +256,11 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
         content = F.when(k % 12 == i, text) if content is None else content.when(k % 12 == i, text)
     customers = spread(read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"))
     nations = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    both = customers.join(nations, customers.c_nationkey == nations.n_nationkey)
-    return as_files(both, F.concat(F.lit("scan-"), F.col("n_nationkey").cast("string")), F.col("n_name"), path, content)
+    # Nations are a fixed list of 25.
+    both = customers.join(F.broadcast(nations), customers.c_nationkey == nations.n_nationkey)
+    files = settled(both.select(F.concat(F.lit("scan-"), F.col("n_nationkey").cast("string")).alias("scan_id"),
+                                F.col("n_name").alias("repository"), path.alias("file_path"), content.alias("content")))
+    return as_files(files, *(F.col(c) for c in ("scan_id", "repository", "file_path", "content")))
 
 
 def lines(files: DataFrame) -> DataFrame:
