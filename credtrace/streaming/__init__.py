@@ -1,0 +1 @@
+"""Empty on purpose: a scan is one batch over files, and nothing it reproduces works on streams."""
