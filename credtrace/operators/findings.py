@@ -10,7 +10,7 @@ from credtrace.functions import catalog as C
 FILE = ["scan_id", "file_path"]
 
 
-def merge_findings(raw: DataFrame, prefix: int = C.DEDUP_PREFIX) -> DataFrame:
+def merge_findings(raw: DataFrame) -> DataFrame:
     """One finding per (file, group); every pick is a min_by or max_by, so it combines before the shuffle.
 
     ``ord`` is the order within the file, rebuilt values first; ties go to the lower ``ord``.

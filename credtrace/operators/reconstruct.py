@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from credtrace.functions import catalog as C
 from credtrace.functions import text as T
 from credtrace.operators import statements as S
 
@@ -164,7 +165,10 @@ def resolve(defs: Column, keep_unread: bool = False) -> Column:
         def finish(parts: Column) -> Column:
             fragments = F.filter(parts, lambda p: p["frag"])
             resolved = F.size(F.filter(fragments, lambda p: p["value"].isNotNull()))
-            joined = F.array_join(F.transform(parts, lambda p: F.coalesce(p["value"], F.lit(""))), "")
+            # A value longer than a whole file may be (sums of sums double) counts as unresolved.
+            total = F.aggregate(parts, F.lit(0).cast("long"), lambda n, p: n + F.coalesce(F.length(p["value"]), F.lit(0)))
+            joined = F.when(total <= C.MAX_FILE_SIZE, F.array_join(
+                F.transform(parts, lambda p: F.coalesce(p["value"], F.lit(""))), ""))
             decoded = F.replace(F.make_valid_utf8(F.try_to_binary(joined, F.lit("base64")).cast("string")),
                                 F.lit("�"), F.lit(""))
             value = F.when(kind == "decode", decoded).otherwise(joined)

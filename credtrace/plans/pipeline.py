@@ -7,7 +7,7 @@ merge, once by scan for the rollup.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credtrace.functions import catalog as C
@@ -231,7 +231,7 @@ def compare_scans(full: DataFrame, baseline: DataFrame) -> DataFrame:
         F.count_if(l & F.col("rebuilt")).alias("rebuilt_baseline"))
 
 
-def scan_summary(files: DataFrame, scored: DataFrame, created_at: DataFrame = None) -> DataFrame:
+def scan_summary(files: DataFrame, scored: DataFrame) -> DataFrame:
     """One row per scan: files, lines, findings, severities, mean risk; scans without findings keep zeros."""
     summary = corpus.file_summary(corpus.gate(files))
     return (summary.join(findings.severity_counts(scored), "scan_id", "left")
@@ -248,7 +248,6 @@ def stage_counts(files: DataFrame) -> DataFrame:
 def ranked(scored: DataFrame) -> DataFrame:
     """Findings of a scan by descending risk; ties by file and order within the file.
 
-    One global sort key per scan would put a huge scan into one task, so the rank comes from a range-partitioned
-    sort only where a caller asks for it; here the order itself is the result.
+    A range-partitioned sort, so one huge scan is spread over tasks; a rank window per scan would not be.
     """
     return scored.orderBy("scan_id", F.col("risk_score").desc(), "file_path", "ord")
