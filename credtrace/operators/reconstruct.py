@@ -1,7 +1,7 @@
 """Reconstruction of values assembled from fragments: constant propagation over the statements of a file.
 
 One fold over the statements keeps the last definition of every variable, so chains of any length resolve in a
-single pass and nothing is joined or shuffled. Decided here, because the reference leaves it open: look-up takes the
+single pass and nothing is joined or shuffled. Rules fixed here: look-up takes the
 last definition before the use, an unresolved part adds nothing to the value, names and literals of ``+`` and of
 ``join`` are fragments, in templates only the interpolations are.
 """
