@@ -11,7 +11,8 @@ QUICK = ["s9_language_tag", "s6_decode", "p14_placeholders", "p16_documentation_
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    from credtrace.plans.queries import Q
+    assert set(Q) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
