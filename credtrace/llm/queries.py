@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credtrace.llm import decontaminate, line_dedup, mixing, quality
+from credtrace.llm import decontaminate, line_dedup, mixing, ngram_join, quality
 from credtrace.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedupe(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "n_chars", "n_removed")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids")
 
@@ -24,5 +28,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
-Q = {f.__name__: f for f in (op3_line_dedup, op5_decontamination, op7_mixing, op9_quality)}
+Q = {f.__name__: f for f in (op3_line_dedup, op4_ngram_join, op5_decontamination, op7_mixing, op9_quality)}
 ORACLE = {"op5_decontamination": decontaminate.SQL, "op7_mixing": mixing.sql(), "op9_quality": quality.SQL}
