@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credtrace.llm import decontaminate, line_dedup, mixing, ngram_join, quality
+from credtrace.llm import decontaminate, language_id, line_dedup, mixing, ngram_join, quality, toxicity
 from credtrace.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.training_order(mixing.mix(table(spark, sf_dir, "documents")))
 
@@ -28,5 +32,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
-Q = {f.__name__: f for f in (op3_line_dedup, op4_ngram_join, op5_decontamination, op7_mixing, op9_quality)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+Q = {f.__name__: f for f in (op3_line_dedup, op4_ngram_join, op5_decontamination, op6_language_id,
+                               op7_mixing, op9_quality, op10_toxicity)}
 ORACLE = {"op5_decontamination": decontaminate.SQL, "op7_mixing": mixing.sql(), "op9_quality": quality.SQL}
