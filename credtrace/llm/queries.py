@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credtrace.llm import decontaminate, language_id, line_dedup, mixing, ngram_join, quality, toxicity
+from credtrace.llm import decontaminate, html_text, language_id, line_dedup, mixing, ngram_join, quality, toxicity
 from credtrace.llm.common import table
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedupe(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "n_chars", "n_removed")
 
@@ -36,6 +40,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-Q = {f.__name__: f for f in (op3_line_dedup, op4_ngram_join, op5_decontamination, op6_language_id,
+Q = {f.__name__: f for f in (op1_html_text, op3_line_dedup, op4_ngram_join, op5_decontamination, op6_language_id,
                                op7_mixing, op9_quality, op10_toxicity)}
 ORACLE = {"op5_decontamination": decontaminate.SQL, "op7_mixing": mixing.sql(), "op9_quality": quality.SQL}

@@ -82,8 +82,9 @@ def chosen_buckets(clean: np.ndarray, toxic: np.ndarray, sizes: np.ndarray, feat
 
 
 def fitted(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, truth: np.ndarray, weight: np.ndarray, n: int,
-           penalty: float = 1e-4, steps: int = 200) -> tuple[np.ndarray, float]:
-    """Logistic regression on sparse rows by Adam over the whole sample."""
+           penalty: float = 3.0, steps: int = 200) -> tuple[np.ndarray, float]:
+    """Logistic regression on sparse rows by Adam over the whole sample; the penalty counts as so many rows."""
+    penalty = penalty / len(truth)
     w, slow, fast, rate = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1), 0.05
     share = (weight * truth).sum() / weight.sum()
     w[n] = np.log(share / (1 - share))
