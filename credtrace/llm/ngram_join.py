@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from credtrace.llm.common import written
+from credtrace.llm.common import text_hash, written
 from credtrace.llm.components import components
 from credtrace.llm.shingles import mixed, shingle_sets
 from credtrace.llm.signature_tree import links
@@ -187,3 +187,19 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     return narrow.join(named, (F.col("one") == F.col("of_one")) & (F.col("two") == F.col("of_two")) & (
         F.col("n_shingles") == F.col("of_n")) & F.col("doc_id").isNotNull(), "left").select(
         "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """One document of each component, the one with the smallest doc_id, columns unchanged.
+
+    Of rows that share this doc_id the one with the smallest text hash stays. Documents without words or without a
+    doc_id all stay.
+    """
+    found = classes(docs, size, percent).where("n_shingles > 0 AND doc_id IS NOT NULL").select(
+        F.col("doc_id").alias("__id"), "component_id").groupBy("__id").agg(F.max("component_id").alias("__component"))
+    tagged = docs.withColumn("__key", F.col("doc_id").cast("long")).join(found, F.col("__key") == F.col("__id"), "left")
+    kept = tagged.where("__component IS NULL OR __component = __key").withColumn("__text", text_hash(F.col("text")))
+    alone = kept.where("__component IS NULL")
+    rank = F.row_number().over(Window.partitionBy("__key").orderBy("__text"))
+    first = kept.where("__component IS NOT NULL").withColumn("__rank", rank).where("__rank = 1")
+    return alone.select(*docs.columns).unionByName(first.select(*docs.columns))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credtrace.llm import decontaminate, html_text, language_id, line_dedup, mixing, ngram_join, quality, toxicity
+from credtrace.llm import chat, decontaminate, html_text, language_id, licences, line_dedup, mixing, ngram_join, quality, toxicity
 from credtrace.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"), licences.document_path())
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedupe(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "n_chars", "n_removed")
 
@@ -32,6 +36,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.training_order(mixing.mix(table(spark, sf_dir, "documents")))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chat(table(spark, sf_dir, "conversations"), chat.no_tools(spark))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -40,6 +48,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-Q = {f.__name__: f for f in (op1_html_text, op3_line_dedup, op4_ngram_join, op5_decontamination, op6_language_id,
-                               op7_mixing, op9_quality, op10_toxicity)}
-ORACLE = {"op5_decontamination": decontaminate.SQL, "op7_mixing": mixing.sql(), "op9_quality": quality.SQL}
+Q = {f.__name__: f for f in (op1_html_text, op2_licences, op3_line_dedup, op4_ngram_join, op5_decontamination, op6_language_id,
+                               op7_mixing, op8_chat, op9_quality, op10_toxicity)}
+ORACLE = {"op2_licences": licences.sql(), "op5_decontamination": decontaminate.SQL, "op7_mixing": mixing.sql(), "op9_quality": quality.SQL}
