@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credtrace.llm import decontaminate, line_dedup, mixing
+from credtrace.llm import decontaminate, line_dedup, mixing, ngram_join, toxicity
 from credtrace.llm.common import table, written
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier does not reject."""
+    return toxicity.reject(docs, table(spark, sf_dir, "labels"))
+
+
 def cross_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their cross-site boilerplate lines; every document stays."""
     return line_dedup.dedupe(docs).drop("n_removed")
 
 
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that five-word shingles link at a similarity of 0.8 or more."""
+    return ngram_join.one_of_each(docs, 5, 80)
+
+
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of the benchmark."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
@@ -23,7 +33,9 @@ def training_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixing.training_order(mixing.mix(docs))
 
 
-STAGES = [("line_dedup", cross_site_lines), ("decontamination", without_benchmark), ("mixing", training_mix)]
+STAGES = [("toxicity", without_toxic), ("line_dedup", cross_site_lines), ("near_copies", without_near_copies),
+          ("decontamination", without_benchmark), ("mixing", training_mix)]
+#: Neither the classifier nor the written intermediate tables can be put into SQL; the tests hold each stage to a brute-force version.
 ORACLE_SQL = None
 
 
