@@ -62,8 +62,9 @@ def dedupe(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, mi
     kept = bind(gone_mask(F.col("__gone")), lambda mask: F.array_join(F.filter(
         F.split("text", "\n"), lambda x, i: F.substring(mask, i + 1, F.lit(1)) != F.lit(b"1")), "\n"))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
-    columns = {c: F.col(c) for c in docs.columns} | {"text": text}
+    joined = joined.withColumn("__text", text)
+    columns = {c: F.col(c) for c in docs.columns} | {"text": F.col("__text")}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(
-            F.length(text).cast(docs.schema["n_chars"].dataType))
+            F.length("__text").cast(docs.schema["n_chars"].dataType))
     return joined.select(*[v.alias(c) for c, v in columns.items()], F.coalesce(F.size("__gone"), F.lit(0)).alias("n_removed"))

@@ -123,16 +123,16 @@ def star_tasks(members: DataFrame, sets: DataFrame) -> DataFrame:
 def rest_tasks(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """What the stars leave open: groups that still hold several components.
 
-    In a group, the members of the first member's component are the settled ones and the others are open. Open members
-    meet the settled ones and each other, part by part; settled ones never meet again. Groups with the same members are
-    taken once.
+    In a group, the members of the smallest member's component are the settled ones and the others are open. Open members
+    meet the settled ones and each other, part by part; settled ones never meet again, and the smallest member, which has
+    met all, is left out. Groups with the same members are taken once.
     """
-    named = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").join(
+    named = members.where("cid <> pivot").join(labels.withColumnRenamed("node", "cid"), "cid", "left").join(
         labels.select(F.col("node").alias("pivot"), F.col("label").alias("pivot_label")), "pivot", "left").select(
         "key", "cid", F.coalesce("label", "cid").alias("label"), F.coalesce("pivot_label", "pivot").alias("pivot_label"))
     named = written(named.withColumn("open", (F.col("label") != F.col("pivot_label")).cast("int")))
     groups = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("open").alias("n_open"), F.min("cid").alias("low"),
-                                      F.max("cid").alias("high"), F.bit_xor(F.xxhash64("cid")).alias("mark")).where("n_open > 0")
+                                      F.max("cid").alias("high"), F.bit_xor(F.xxhash64("cid")).alias("mark")).where("n_open > 0 AND n > 1")
     chosen = groups.groupBy("n", "n_open", "low", "high", "mark").agg(F.min("key").alias("key"))
     rows = named.join(chosen.select("key", (F.col("n") - F.col("n_open")).alias("n_settled"), "n_open"), "key")
     settled_parts, open_parts = parts(F.col("n_settled"), TASK_SETS), parts(F.col("n_open"), TASK_SETS)
