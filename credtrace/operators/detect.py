@@ -28,8 +28,8 @@ def _matches(line: Column, rule) -> Column:
 
 
 def _needs_quote(rule) -> bool:
-    """True when every match of a rule holds a quote character."""
-    return C.Q in rule[3].replace(C.Q + "?", "")
+    """True for the given rules whose every match holds a quote; a rule of one's own is never taken for one."""
+    return rule in C.DETECTION_RULES and rule[0] in C.QUOTED_RULES
 
 
 def hit_lines(lines: Column, rules=C.DETECTION_RULES) -> Column:
@@ -150,7 +150,9 @@ def with_candidates(files: DataFrame, rules=C.DETECTION_RULES) -> DataFrame:
 
 
 def with_filtered(files: DataFrame, rules=C.DETECTION_RULES, allow_test_files: bool = False) -> DataFrame:
-    return with_candidates(files, rules).withColumn("candidates", _filtered(allow_test_files))
+    """``candidates`` are what the filter keeps; ``raw_values`` are the values of all, for redaction."""
+    return (with_candidates(files, rules).withColumn("raw_values", F.array_distinct(F.transform("candidates", lambda c: c["value"])))
+            .withColumn("candidates", _filtered(allow_test_files)))
 
 
 def exploded(files: DataFrame) -> DataFrame:

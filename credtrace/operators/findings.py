@@ -40,7 +40,7 @@ def merge_findings(raw: DataFrame) -> DataFrame:
         "entropy_score", methods.alias("methods"), F.coalesce("rebuild.status", F.lit("NONE")).alias("status"),
         F.col("rebuild.fragments").alias("fragments"), F.col("rebuild.value").alias("rebuilt_value"), "nodes",
         F.transform("nodes", lambda n: n["variable"]).alias("path"), "sink", "code_context",
-        F.substring(F.sha2(F.concat_ws("|", "scan_id", "file_path", "group_key"), 256), 1, 16).alias("finding_id"))
+        F.substring(F.sha2(F.concat_ws("|", "scan_id", "file_path", F.col("ord").cast("string")), 256), 1, 16).alias("finding_id"))
 
 
 def _weight(column: Column, table: dict, default: int) -> Column:

@@ -24,7 +24,7 @@ RECON = (f"struct<target:string,line_no:int,value:string,status:string,kind:stri
 NAME_ONLY = rf"^{S.NAME}$"
 LITERAL_ONLY = rf"^(?:[rRuUbB]{{0,2}}{S.STRING}\s*)++$"
 # A value can only be assembled in a file that has one of these texts.
-ASSEMBLY = r"\+|[fF][\"']|\.format\(|\.join\(|b64decode|\$\{"
+ASSEMBLY = r"\+|[fF][rR]?[\"']|\.format\(|\.join\(|b64decode|\$\{"
 
 
 def _part(kind, text: Column, fragment) -> Column:
@@ -165,10 +165,11 @@ def resolve(defs: Column, keep_unread: bool = False) -> Column:
         def finish(parts: Column) -> Column:
             fragments = F.filter(parts, lambda p: p["frag"])
             resolved = F.size(F.filter(fragments, lambda p: p["value"].isNotNull()))
-            # A value longer than a whole file may be (sums of sums double) counts as unresolved.
-            total = F.aggregate(parts, F.lit(0).cast("long"), lambda n, p: n + F.coalesce(F.length(p["value"]), F.lit(0)))
-            joined = F.when(total <= C.MAX_FILE_SIZE, F.array_join(
-                F.transform(parts, lambda p: F.coalesce(p["value"], F.lit(""))), ""))
+            # Sums of sums double: of a value longer than a whole file may be, its first mebibyte is kept.
+            texts = F.transform(parts, lambda p: F.coalesce(p["value"], F.lit("")))
+            total = F.aggregate(texts, F.lit(0).cast("long"), lambda n, t: n + F.length(t))
+            joined = F.when(total <= C.MAX_FILE_SIZE, F.array_join(texts, "")).otherwise(F.aggregate(
+                texts, F.lit(""), lambda acc, t: F.left(F.concat(acc, t), F.lit(C.MAX_FILE_SIZE))))
             decoded = F.replace(F.make_valid_utf8(F.try_to_binary(joined, F.lit("base64")).cast("string")),
                                 F.lit("�"), F.lit(""))
             value = F.when(kind == "decode", decoded).otherwise(joined)

@@ -4,7 +4,7 @@ A statement starts on a line where no bracket, string block or line continuation
 out of the lines; the text of a statement is then one slice. Strings, brackets and operands are recognised with
 possessive patterns, which the regex engine runs as loops, so long statements need no deep stack.
 
-Known limits: brackets nested deeper than eight, several statements on one line, code behind a closing block string.
+Known limits: brackets nested deeper than forty-eight, several statements on one line, code behind a closing block string.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ def _balanced(depth: int) -> str:
     return group
 
 
-GROUP = _balanced(8)
+GROUP = _balanced(48)
 ITEM = rf"(?:[^,()\[\]{{}}\"'`]++|{STRING}|{GROUP})++"
 OPERAND = rf"(?:[^+()\[\]{{}}\"'`]++|{STRING}|{GROUP})++"
 

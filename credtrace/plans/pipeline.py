@@ -25,7 +25,7 @@ def secret_files(files: DataFrame, rules=C.DETECTION_RULES, allow_test_files: bo
     detection and evaluate it twice.
     """
     scanned = reconstruct.with_reconstructions(detect.with_filtered(files, rules, allow_test_files))
-    row = F.struct("repository", "language", "lines", "candidates", "secrets")
+    row = F.struct("repository", "language", "lines", "candidates", "raw_values", "secrets")
     kept = F.when((F.size("candidates") > 0) | (F.size("secrets") > 0), F.array(row))
     return (scanned.select("scan_id", "file_path", F.explode_outer(kept).alias("f"))
             .filter(F.col("f").isNotNull()).select("scan_id", "file_path", "f.*"))
@@ -120,13 +120,15 @@ def with_flows(found: DataFrame) -> DataFrame:
 def _known() -> Column:
     fragments = F.flatten(F.transform("secrets", lambda r: F.transform(
         F.filter(r["fragments"], lambda g: g["resolved"] & (F.length(g["value"]) >= 4)), lambda g: g["value"])))
-    values = F.concat(F.transform("candidates", lambda c: c["value"]), F.transform("secrets", lambda r: r["value"]),
-                      fragments)
+    values = F.concat(F.col("raw_values"), F.transform("secrets", lambda r: r["value"]), fragments)
     return T.longest_first(F.filter(values, lambda v: F.length(v) > 0))
 
 
 def with_redaction(found: DataFrame) -> DataFrame:
-    """``known``: every raw value of the file that must not leave it, longest first."""
+    """``known``: every raw value of the file that must not leave it, longest first.
+
+    Candidates that the context filter drops are among them: a real token may stand next to an environment look-up.
+    """
     return found.withColumn("known", _known())
 
 
@@ -196,14 +198,13 @@ def analysed(files: DataFrame, rules=C.DETECTION_RULES, allow_test_files: bool =
 
 
 def full_scan(files: DataFrame, rules=C.DETECTION_RULES, allow_test_files: bool = False) -> DataFrame:
-    """Scored findings of the full pipeline. ``secret`` and ``rebuilt_value`` are raw; see ``serving.safe``."""
-    gated = corpus.gate(files)
-    return findings.score_findings(findings.merge_findings(raw_findings(analysed(gated, rules, allow_test_files))))
+    """Scored findings of the full pipeline over all of ``files``; limits belong to the source. ``secret`` and ``rebuilt_value`` are raw; see ``serving.safe``."""
+    return findings.score_findings(findings.merge_findings(raw_findings(analysed(files, rules, allow_test_files))))
 
 
 def baseline_scan(files: DataFrame, rules=C.DETECTION_RULES) -> DataFrame:
     """Rules and entropy only: distinct by (file, line, first ten characters), scored without sink or path."""
-    rows = detect.filtered(corpus.gate(files), rules)
+    rows = detect.filtered(files, rules)
     key = ["scan_id", "file_path", "line_number", "prefix"]
     picked = (rows.withColumn("prefix", F.substring("value", 1, C.BASELINE_PREFIX))
               .groupBy(*key).agg(F.first("repository").alias("repository"), F.min_by(
@@ -233,14 +234,14 @@ def compare_scans(full: DataFrame, baseline: DataFrame) -> DataFrame:
 
 def scan_summary(files: DataFrame, scored: DataFrame) -> DataFrame:
     """One row per scan: files, lines, findings, severities, mean risk; scans without findings keep zeros."""
-    summary = corpus.file_summary(corpus.gate(files))
+    summary = corpus.file_summary(files)
     return (summary.join(findings.severity_counts(scored), "scan_id", "left")
             .na.fill(0, ["findings_count", "critical", "high", "medium", "low"]).na.fill(0.0, ["risk_score"]))
 
 
 def stage_counts(files: DataFrame) -> DataFrame:
     """Per scan: candidates after the filter and validated rebuilt values, before merging."""
-    found = secret_files(corpus.gate(files))
+    found = secret_files(files)
     return found.groupBy("scan_id").agg(F.sum(F.size("candidates")).alias("candidates_found"),
                                         F.sum(F.size("secrets")).alias("secrets_reconstructed"))
 

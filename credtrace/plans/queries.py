@@ -28,7 +28,7 @@ def query(name: str):
 
 
 def corpora(name: str):
-    return lambda spark, d: corpus.gate(getattr(corpus, name)(spark, d))
+    return lambda spark, d: getattr(corpus, name)(spark, d)
 
 
 rendered, documents, pages, conversations = (corpora(n) for n in ("rendered", "documents", "pages", "conversations"))
@@ -74,7 +74,7 @@ def _bytes(spark: SparkSession, d: str) -> DataFrame:
     """Documents as raw bytes: Windows line ends, a bad byte at the end, a NUL in front of every fifth."""
     text = F.encode(F.replace(F.col("text"), F.lit("\n"), F.lit("\r\n")), "utf-8")
     body = F.concat(text, F.lit(bytes([0xFF])))
-    return corpus.spread(corpus.read(spark, d, "documents").select("doc_id", "text")).select(
+    return corpus.read(spark, d, "documents").select(
         "doc_id", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(bytes([0])), body)).otherwise(body).alias("content"))
 
 
@@ -221,8 +221,8 @@ for _name, _kind in (("r3_concatenation", "concat"), ("r4_r8_templates", "templa
 
 
 def _made(rows: DataFrame, scan_id: str) -> DataFrame:
-    """Gated files from rendered paths (``p``) and texts (``t``)."""
-    return corpus.gate(corpus.as_files(corpus.settled(rows), F.lit(scan_id), F.lit("r"), F.col("p"), F.col("t")))
+    """Files from rendered paths (``p``) and texts (``t``)."""
+    return corpus.as_files(corpus.settled(rows), F.lit(scan_id), F.lit("r"), F.col("p"), F.col("t"))
 
 
 def assembled(spark: SparkSession, d: str) -> DataFrame:
@@ -234,7 +234,7 @@ def assembled(spark: SparkSession, d: str) -> DataFrame:
                      F.lit("chain = by_join"), F.lit("late = chain + missing"), F.lit("nothing = gone + lost"))
     js = F.concat_ws("\n", F.concat(F.lit("const left = '"), a, F.lit("';")), F.concat(F.lit('let right = "'), b, F.lit('";')),
                      F.lit("export const both = left + '.' + right;"), F.lit("const wrapped = `<${both}>`;"))
-    rows = corpus.spread(corpus.read(spark, d, "customer").select("c_custkey", "c_name")).select(
+    rows = corpus.dealt(corpus.read(spark, d, "customer").select("c_custkey", "c_name")).select(
         F.col("c_custkey").cast("string").alias("k"), F.explode(F.array(
             F.struct(F.lit("py").alias("e"), py.alias("t")), F.struct(F.lit("js").alias("e"), js.alias("t")))).alias("f"))
     return _made(rows.select(F.concat(F.lit("m"), F.col("k"), F.lit("."), F.col("f.e")).alias("p"), F.col("f.t")
@@ -292,7 +292,7 @@ def woven(spark: SparkSession, d: str) -> DataFrame:
                        F.lit('headers["X-Key"] = alias'), F.lit('full = "a" + "b" + alias'),
                        F.lit("both = full + api_key + alias"), F.lit("app.sink.push(headers, both)"),
                        F.lit("out = send(1, **both)"), F.lit("other = out"))
-    rows = corpus.spread(corpus.read(spark, d, "customer").select("c_custkey", "c_name"))
+    rows = corpus.dealt(corpus.read(spark, d, "customer").select("c_custkey", "c_name"))
     return _made(rows.select(F.concat(F.lit("w"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("p"),
                              text.alias("t")), "woven")
 
@@ -377,7 +377,7 @@ def contained(spark: SparkSession, d: str) -> DataFrame:
     h = F.md5("c_name")
     text = F.concat_ws("\n", F.concat(F.lit('api_key = "'), h, F.lit('"')), F.lit('opts = {"key": api_key}'),
                        F.lit('more = {"token": api_key}'), F.lit("client.post(url, opts)"), F.lit("print(more)"))
-    rows = corpus.spread(corpus.read(spark, d, "customer").select("c_custkey", "c_name"))
+    rows = corpus.dealt(corpus.read(spark, d, "customer").select("c_custkey", "c_name"))
     return _made(rows.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".rb")).alias("p"),
                              text.alias("t")), "contained")
 
@@ -509,8 +509,8 @@ Q["q3_findings_of_scan"] = lambda spark, d: serving.findings_of_scan(_safe(spark
     *KEY, "finding_id", "secret_type", "risk_score", "severity")
 Q["q4_finding_by_id"] = lambda spark, d: serving.finding_by_id(_safe(spark, d), FINDING_ID).select(
     *KEY, "finding_id", "secret_type", "masked_secret")
-# sha2 of "scan-2|src/aws_0.py|AKIA83791D50", first sixteen digits.
-FINDING_ID = hashlib.sha256(b"scan-2|src/aws_0.py|AKIA83791D50").hexdigest()[:16]
+# sha2 of scan, file and place in the file, first sixteen digits.
+FINDING_ID = hashlib.sha256(b"scan-2|src/aws_0.py|0").hexdigest()[:16]
 Q["q5_severity_filter"] = lambda spark, d: serving.by_severity(_safe(spark, d), "CRITICAL").select(
     *KEY, "finding_id", "severity")
 Q["q6_portfolio_totals"] = lambda spark, d: serving.portfolio_totals(_scans(spark, d)).withColumn(

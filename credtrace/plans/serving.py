@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from credtrace.functions import catalog as C
@@ -216,31 +216,66 @@ def report_rows(findings: DataFrame) -> DataFrame:
 
 # ---- sinks ----
 
-def write_findings(findings: DataFrame, path: str) -> None:
-    """Write safe findings by scan; a scan written again replaces its own partition only."""
+def _write_by_scan(rows: DataFrame, path: str) -> None:
+    """Replace the partitions of the scans that occur in the rows. Rows are gathered by scan first, a huge one split."""
+    (rows.hint("rebalance", "scan_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("scan_id").parquet(path))
+
+
+def write_findings(findings: DataFrame, path: str, covered: DataFrame | None = None) -> None:
+    """Write safe findings by scan; a scan written again replaces its own partition only.
+
+    ``covered`` has the scan_id of every scan that was run. Each leaves a row without a finding, so that a scan that finds
+    nothing any more clears what it found before; ``read_findings`` leaves these rows out.
+    """
     leaked = {"secret", "rebuilt_value", "known"} & set(findings.columns)
     if leaked:
         raise ValueError(f"raw values must not be written: {sorted(leaked)}")
-    (findings.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan_id").parquet(path))
+    if covered is not None:
+        findings = findings.unionByName(covered.select("scan_id").distinct(), allowMissingColumns=True)
+    _write_by_scan(findings, path)
+
+
+def read_findings(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).filter(F.col("finding_id").isNotNull())
 
 
 def write_scans(scan_table: DataFrame, path: str) -> None:
-    (scan_table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan_id").parquet(path))
+    _write_by_scan(scan_table, path)
+
+
+def read_scans(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def store_advisories(spark: SparkSession, responses: DataFrame, path: str) -> None:
+    """Put advisory responses (finding_id, response) onto the stored findings of their scans and write those scans back."""
+    stored = spark.read.parquet(path)
+    touched = stored.join(responses.select("finding_id"), "finding_id", "left_semi").select("scan_id").distinct()
+    rows = stored.drop(*[c for c in stored.columns if c.startswith("ai_")]).join(touched, "scan_id", "left_semi")
+    merged = merge_advisories(rows, split_response(responses))
+    _write_by_scan(merged, path)
 
 
 def audit_events(scan_table: DataFrame) -> DataFrame:
-    """A created and, for finished scans, a completed event per scan."""
-    created = scan_table.select(F.lit("scan_created").alias("action"), "scan_id",
-                                F.concat(F.lit("Repository: "), F.col("repository")).alias("details"), "created_at")
+    """A created event per scan and one for its end, with the error where it failed (column ``error``, if there is one)."""
+    error = F.coalesce(F.col("error"), F.lit("")) if "error" in scan_table.columns else F.lit("")
+    created = scan_table.select(
+        F.lit("scan_created").alias("action"), "scan_id", F.concat(F.lit("Repository: "), F.col("repository")).alias("details"),
+        "created_at", F.lit("success").alias("status"), F.lit("").alias("error"))
     done = scan_table.filter(F.col("status") == "completed").select(
         F.lit("scan_completed").alias("action"), "scan_id",
         F.concat(F.lit("Found "), F.col("findings_count").cast("string"), F.lit(" findings")).alias("details"),
-        "created_at")
-    return created.unionByName(done).withColumns({"status": F.lit("success"), "error": F.lit("")})
+        "created_at", F.lit("success").alias("status"), F.lit("").alias("error"))
+    failed = scan_table.filter(F.col("status") == "failed").select(
+        F.lit("scan_failed").alias("action"), "scan_id", F.lit("Scan failed").alias("details"), "created_at",
+        F.lit("failed").alias("status"), error.alias("error"))
+    return created.unionByName(done).unionByName(failed)
 
 
-def append_audit(events: DataFrame, path: str) -> None:
-    events.write.mode("append").parquet(path)
+def write_audit(events: DataFrame, path: str) -> None:
+    """Write events by scan. A retry replaces the events of its scans, so none is there twice."""
+    _write_by_scan(events, path)
 
 
 def audit_counts(events: DataFrame) -> DataFrame:

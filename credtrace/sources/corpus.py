@@ -7,9 +7,9 @@ from __future__ import annotations
 
 import os
 import re
-from urllib.parse import urlparse
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,7 +73,7 @@ def is_minified(content: Column) -> Column:
 def gate(files: DataFrame, max_line_count: int = C.MAX_LINE_COUNT, max_file_size: int = C.MAX_FILE_SIZE) -> DataFrame:
     """Drop what the scanner does not read: empty, oversized, minified or overlong files.
 
-    This is also what bounds every later per-file step to one mebibyte of text.
+    For sources of files: what a scan reads from a tree. Text tables are taken as they are.
     """
     return files.filter(within_size(F.col("size"), max_file_size)
                         & ~is_minified(F.col("content"))
@@ -86,50 +86,71 @@ def settled(table: DataFrame) -> DataFrame:
 
 
 LISTING = "path string, name string, is_dir boolean, size long"
+READ_BYTES = 128 << 20
 
 
-def _list_directories(batches):
-    """Entries of every directory in the batch; directories that cannot be read have none."""
-    for batch in batches:
-        for directory in batch["path"]:
-            try:
-                with os.scandir(directory) as entries:
-                    rows = [(e.path, e.name, e.is_dir(follow_symlinks=False),
-                             0 if e.is_dir() or not os.path.exists(e.path) else e.stat().st_size) for e in entries]
-            except OSError:
-                continue
-            yield pd.DataFrame(rows, columns=["path", "name", "is_dir", "size"])
-
-
-def _read_files(batches):
-    """Bytes of every file in the batch, a few files at a time; files that cannot be read are left out."""
-    for batch in batches:
-        for start in range(0, len(batch), 32):
-            part = batch.iloc[start:start + 32].copy()
-            contents = []
-            for path in part["path"]:
+def is_uri(root: str) -> bool:
+    return re.match(r"^[A-Za-z][A-Za-z0-9+.-]*://", root) is not None
+
+
+def _mounted(directory: str) -> list[tuple]:
+    with os.scandir(directory) as entries:
+        return [(e.path, e.name, e.is_dir(follow_symlinks=False),
+                 0 if e.is_dir() or not os.path.exists(e.path) else e.stat().st_size) for e in entries]
+
+
+def _stored(system: fs.FileSystem, directory: str) -> list[tuple]:
+    return [(e.path, e.base_name, e.type == fs.FileType.Directory, e.size or 0)
+            for e in system.get_file_info(fs.FileSelector(directory))]
+
+
+def _lister(root: str):
+    """Entries of every directory in a batch; directories that cannot be read have none."""
+    def batches_of(batches):
+        system = fs.FileSystem.from_uri(root)[0] if is_uri(root) else None
+        for batch in batches:
+            for directory in batch["path"]:
                 try:
-                    with open(path, "rb") as f:
-                        contents.append(f.read())
+                    rows = _stored(system, directory) if system else _mounted(directory)
                 except OSError:
-                    contents.append(None)
-            part["content"] = contents
-            yield part[part["content"].notna()]
+                    continue
+                yield pd.DataFrame(rows, columns=["path", "name", "is_dir", "size"])
+    return batches_of
 
 
-def _mounted_tree(spark: SparkSession, root: str, skip_dirs: list[str], max_file_size: int) -> DataFrame:
-    """Files of a tree every executor has mounted, listed level by level.
+def _reader(root: str):
+    """Bytes of every file in a batch, a few files at a time; files that cannot be read are left out."""
+    def one(system, path):
+        try:
+            with (system.open_input_file(path) if system else open(path, "rb")) as f:
+                return f.read()
+        except OSError:
+            return None
+
+    def batches_of(batches):
+        system = fs.FileSystem.from_uri(root)[0] if is_uri(root) else None
+        for batch in batches:
+            for start in range(0, len(batch), 32):
+                part = batch.iloc[start:start + 32].copy()
+                part["content"] = [one(system, path) for path in part["path"]]
+                yield part[part["content"].notna()]
+    return batches_of
+
+
+def _tree(spark: SparkSession, root: str, base: str, skip_dirs: list[str], max_file_size: int) -> DataFrame:
+    """Files of a tree, listed level by level on the executors, mounted or in a store.
 
     Spark's own reader leaves out names that start with a dot or an underscore, and with them ``.env`` files and
-    ``__init__.py``. Each round lists one level in parallel, so a directory that holds much of the tree does not
-    become one task; skipped directories are not entered.
+    ``__init__.py``, and lists on the driver. Each round lists one level in parallel, so a directory that holds much of
+    the tree does not become one task; skipped directories are not entered, and only kept files are read, about
+    READ_BYTES to a partition.
     """
     cores = spark.sparkContext.defaultParallelism
     skip = [d.lower() for d in C.SKIP_DIRECTORIES + list(skip_dirs)]
-    frontier = spark.createDataFrame([(root,)], "path string")
+    frontier = spark.createDataFrame([(base,)], "path string")
     levels = []
     while True:
-        level = frontier.repartition(cores).mapInPandas(_list_directories, LISTING).persist()
+        level = frontier.repartition(cores).mapInPandas(_lister(root), LISTING).persist()
         levels.append(level.filter(~F.col("is_dir") & F.col("size").between(1, max_file_size)))
         frontier = level.filter(F.col("is_dir") & ~F.lower("name").isin(skip)).select("path")
         if frontier.isEmpty():
@@ -138,7 +159,8 @@ def _mounted_tree(spark: SparkSession, root: str, skip_dirs: list[str], max_file
     for level in levels[1:]:
         files = files.unionByName(level)
     kept = files.filter(is_supported(F.col("path"))).select("path", F.col("size").alias("length"))
-    return kept.repartition(cores).mapInPandas(_read_files, "path string, length long, content binary")
+    total = kept.agg(F.sum("length")).first()[0] or 0
+    return kept.repartition(max(cores, -(-total // READ_BYTES))).mapInPandas(_reader(root), "path string, length long, content binary")
 
 
 def scan_directory(spark: SparkSession, root: str, scan_id: str, repository: str,
@@ -146,17 +168,12 @@ def scan_directory(spark: SparkSession, root: str, scan_id: str, repository: str
                    max_line_count: int = C.MAX_LINE_COUNT) -> DataFrame:
     """Every readable source file below ``root``; path and size tests run before any content is read.
 
-    A plain path is walked as a mounted tree; a URI goes through Spark's binary reader, which does not see names
-    that start with a dot or an underscore.
+    A plain path is a tree that every executor has mounted; a URI is read through Arrow's file systems. The limits hold
+    for this source only: scans take what it gives whole.
     """
-    remote = re.match(r"^[A-Za-z][A-Za-z0-9+.-]*://", root) is not None
-    base = (urlparse(root).path if remote else os.path.abspath(root)).rstrip("/")
-    if remote:
-        raw = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-               .filter(F.col("length").between(1, max_file_size)))
-    else:
-        raw = _mounted_tree(spark, base, list(skip_dirs), max_file_size)
-    kept = raw.withColumn("file_path", F.regexp_replace("path", "^.*?" + re.escape(base) + "/", "")).filter(
+    base = (fs.FileSystem.from_uri(root)[1] if is_uri(root) else os.path.abspath(root)).rstrip("/")
+    raw = _tree(spark, root, base, list(skip_dirs), max_file_size)
+    kept = raw.withColumn("file_path", F.substring(F.col("path"), len(base) + 2, 1 << 20)).filter(
         is_supported(F.col("file_path")) & ~in_skipped_directory(F.col("file_path"), list(skip_dirs))
         & ~is_binary(F.col("content")))
     text = settled(kept.select("file_path", "length", decode_text(F.col("content")).alias("content")))
@@ -177,29 +194,25 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(table: DataFrame) -> DataFrame:
-    """Give a table that comes in fewer splits than there are cores one partition per core.
-
-    Large tables have far more splits than cores and pass unchanged, so nothing is shuffled at scale.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+def dealt(rows: DataFrame) -> DataFrame:
+    """Short rows from which files are rendered, hashed over the shuffle partitions."""
+    return rows.repartition("c_custkey")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spread(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return as_files(d, F.lit("documents"), F.col("source"),
                     F.concat(F.lit("doc-"), F.col("doc_id").cast("string")), F.col("text"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spread(read(spark, sf_dir, "pages"))
+    p = read(spark, sf_dir, "pages")
     return as_files(p, F.lit("pages"), F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1),
                     F.concat(F.lit("page-"), F.col("page_id").cast("string")), F.col("html"))
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spread(read(spark, sf_dir, "conversations"))
+    c = read(spark, sf_dir, "conversations")
     return as_files(c, F.lit("conversations"), F.col("role"),
                     F.format_string("conv-%d-%d", F.col("conv_id"), F.col("turn")), F.col("text"))
 
@@ -254,7 +267,8 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
         p = F.concat(F.lit(f"src/{stem}_"), k.cast("string"), F.lit(f".{ext}"))
         path = F.when(k % 12 == i, p) if path is None else path.when(k % 12 == i, p)
         content = F.when(k % 12 == i, text) if content is None else content.when(k % 12 == i, text)
-    customers = spread(read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"))
+    # Rows become files a hundred times their size: they are dealt out before, not after.
+    customers = dealt(read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"))
     nations = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     # Nations are a fixed list of 25.
     both = customers.join(F.broadcast(nations), customers.c_nationkey == nations.n_nationkey)

@@ -34,10 +34,10 @@ ORACLE["s6_decode"] = "SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE
 ORACLE["s7_minified_gate"] = query(
     "SELECT file_path, (len(ls) >= 3 AND list_sum(list_transform(ls, lambda x: len(x)))::DOUBLE / len(ls) > 500)::INT AS minified FROM all_files",
     "all_files", "documents")
-ORACLE["s8_line_count_gate"] = query("SELECT file_path, line_count FROM files WHERE line_count <= 8", "files", "documents")
+ORACLE["s8_line_count_gate"] = query(f"SELECT file_path, line_count FROM ({O.GATED}) WHERE line_count <= 8", "all_files", "documents")
 ORACLE["s10_lines"] = query("SELECT file_path, line_no, line FROM lines", "lines", "documents")
 ORACLE["a12_file_summary"] = (
-    f"WITH corpus AS (({O.CORPORA['rendered']}) UNION ALL ({O.CORPORA['documents']}) UNION ALL ({O.CORPORA['pages']})), all_files AS ({O.FILES}), files AS ({O.GATED}), "
+    f"WITH corpus AS (({O.CORPORA['rendered']}) UNION ALL ({O.CORPORA['documents']}) UNION ALL ({O.CORPORA['pages']})), all_files AS ({O.FILES}), files AS (SELECT * FROM all_files), "
     "per AS (SELECT scan_id, language, count(*) AS n, sum(line_count) AS l, sum(size) AS b FROM files GROUP BY scan_id, language) "
     "SELECT scan_id, sum(n)::BIGINT AS total_files, sum(l)::BIGINT AS total_lines, sum(b)::BIGINT AS total_bytes, "
     "string_agg(language || '=' || n, ',' ORDER BY language) AS languages FROM per GROUP BY scan_id")
@@ -180,7 +180,7 @@ ORACLE["j2_j3_findings_with_flow"] = query(
 ORACLE["j4_a1_merge_groups"] = query("SELECT scan_id, file_path, method, secret, line_number, group_key FROM raw_findings", "raw_findings")
 FINDING = ("scan_id, file_path, repository, secret, line_number, secret_type, round(confidence, 6) AS confidence, round(entropy_score, 6) AS entropy_score, "
            "array_to_string(methods, ',') AS methods, status, coalesce(array_to_string(path, ' → '), '') AS path, coalesce(sink.sink_type, '') AS sink_type")
-ID = "left(sha256(scan_id || '|' || file_path || '|' || group_key), 16) AS finding_id"
+ID = "left(sha256(scan_id || '|' || file_path || '|' || CAST(ord AS VARCHAR)), 16) AS finding_id"
 SCORES = ", ".join(S.SCORES)
 ORACLE["a2_merged_findings"] = query(f"SELECT {FINDING}, group_key, {ID} FROM merged", "merged")
 ORACLE["a3_a8_full_scan"] = query(f"SELECT {FINDING}, {SCORES} FROM scored", "scored")

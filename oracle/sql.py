@@ -500,7 +500,7 @@ ORDER = [
 
 def tables(corpus: str, rules) -> dict[str, str]:
     return {
-        "corpus": CORPORA[corpus], "all_files": FILES, "files": GATED, "lines": LINES, "rule_lines": _rules(rules), "rule_rows": RULE_ROWS, "entropy_rows": ENTROPY_ROWS,
+        "corpus": CORPORA[corpus], "all_files": FILES, "files": "SELECT * FROM all_files", "lines": LINES, "rule_lines": _rules(rules), "rule_rows": RULE_ROWS, "entropy_rows": ENTROPY_ROWS,
         "raw": RAW, "filtered": _filtered(), "stmts": STATEMENTS, "defs": DEFS, "parts": PARTS, "links": LINKS, "level0": LEVEL0,
         "level1": _level("level0"), "level2": _level("level1"), "level3": _level("level2"), "recons": RECONS, "checked": _checked(), "secrets": SECRETS, "fragments": FRAGMENTS,
         "seeds": SEEDS, "py_facts": PY_FACTS, "line_calls": LINE_CALLS, "line_pairs": LINE_PAIRS, "js_facts": JS_FACTS, "fact_srcs": FACT_SRCS, "reach": REACH, "taint": TAINT,

@@ -91,3 +91,10 @@ def test_result_does_not_depend_on_partitions(spark):
     one = sorted(map(str, detect.filtered(frame(spark).coalesce(1)).collect()))
     many = sorted(map(str, detect.filtered(frame(spark).repartition(13)).collect()))
     assert one == many
+
+
+def test_own_rules_need_no_quote(spark):
+    df = frame(spark, {"a.txt": 'vendor="abc123"\nvendor=xyz789'})
+    for pattern in (r"vendor=[\"']*([a-z0-9]+)", r"vendor=['\"]*([a-z0-9]+)"):
+        got = detect.candidates(df, (("Vendor", 0.9, 1, pattern),)).filter("secret_type = 'Vendor'")
+        assert sorted(r.value for r in got.collect()) == ["abc123", "xyz789"]

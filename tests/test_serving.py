@@ -1,6 +1,8 @@
 from pyspark.sql import functions as F
 
-from credtrace.plans import queries, serving
+from credtrace.operators import detect
+from credtrace.plans import pipeline, queries, serving
+from tests.cases import frame
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,12 +21,48 @@ def test_scan_rows_are_replaced_one_by_one(spark, tmp_path):
     assert len(stored) == scans.count() and stored["scan-3"] == 9 and stored["scan-4"] == 1
 
 
-def test_audit_is_append_only(spark, tmp_path):
-    events, target = serving.audit_events(_scans(spark)), str(tmp_path / "audit")
-    serving.append_audit(events, target)
-    serving.append_audit(events.filter("scan_id = 'scan-3'"), target)
-    counts = {r.action: r.n for r in serving.audit_counts(spark.read.parquet(target)).collect()}
-    assert counts == {"scan_created": 26, "scan_completed": 23}
+def test_audit_is_not_doubled_by_a_retry(spark, tmp_path):
+    events, target = serving.audit_events(_scans(spark).withColumn("error", F.lit("disk full"))), str(tmp_path / "audit")
+    serving.write_audit(events, target)
+    serving.write_audit(events.filter("scan_id = 'scan-3'"), target)
+    stored = spark.read.parquet(target)
+    assert {r.action: r.n for r in serving.audit_counts(stored).collect()} == {"scan_created": 25, "scan_completed": 22, "scan_failed": 3}
+    assert {(r.status, r.error) for r in stored.filter("action = 'scan_failed'").collect()} == {("failed", "disk full")}
+
+
+def _findings(spark, text):
+    return serving.safe(pipeline.full_scan(frame(spark, {"a.py": text})))
+
+
+TOKEN = "ghp_" + "A1b2" * 9
+
+
+def test_a_clean_scan_clears_what_it_found(spark, tmp_path):
+    target, scans = str(tmp_path / "findings"), frame(spark, {"a.py": ""}).select("scan_id")
+    serving.write_findings(_findings(spark, f'key = "{TOKEN}"'), target, scans)
+    assert serving.read_findings(spark, target).count() == 1
+    serving.write_findings(_findings(spark, "key = 1"), target, scans)
+    assert serving.read_findings(spark, target).count() == 0
+
+
+def test_advisories_are_written_back(spark, tmp_path):
+    target = str(tmp_path / "findings")
+    serving.write_findings(_findings(spark, f'key = "{TOKEN}"'), target)
+    answers = serving.read_findings(spark, target).select("finding_id", F.lit("EXPLANATION: why\nIMPACT: high\nREMEDIATION: rotate\nCONFIDENCE: x").alias("response"))
+    serving.store_advisories(spark, answers, target)
+    row = serving.read_findings(spark, target).first()
+    assert (row.ai_explanation, row.ai_remediation, row.ai_analysis_status) == ("why", "rotate", "completed")
+
+
+def test_no_raw_value_of_a_file_is_in_any_of_its_rows(spark):
+    lines = ["import os", f'other = "ghp_{"Z9y8" * 9}"', 'v = os.environ.get("V")', "", "", "", "", f'key = "{TOKEN}"', "", "",
+             f'near = "ghp_{"Q7w6" * 9}"', "", 'w = os.environ.get("W")']
+    text = "\n".join(lines)
+    files = frame(spark, {"a.py": text})
+    raw = {r.value for r in detect.candidates(files).collect()}
+    rows = [str(r) for r in serving.safe(pipeline.full_scan(files)).collect()]
+    rows += [str(r) for r in serving.report_rows(serving.safe(pipeline.full_scan(files))).collect()]
+    assert len(raw) == 3 and rows and not [v for v in raw for r in rows if v in r]
 
 
 def test_history_orders_and_formats(spark):

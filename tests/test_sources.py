@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from credtrace.functions import catalog as C
+from credtrace.plans import pipeline
 from credtrace.sources import corpus
 from tests.cases import frame
 
@@ -24,12 +25,27 @@ def test_directory_scan(spark, tmp_path):
     assert (rows["sub/Dockerfile"].language, rows["sub/.env.local"].language) == ("Dockerfile", "Environment")
 
 
-def test_uri_source_filters_by_size_in_the_listing(spark, tmp_path):
-    (tmp_path / "sub").mkdir()
-    (tmp_path / "sub" / "a.py").write_text("a = 1")
-    df = corpus.scan_directory(spark, f"file://{tmp_path}", "s", "r")
-    assert [r.file_path for r in df.collect()] == ["sub/a.py"]
-    assert "GreaterThanOrEqual(length,1)" in df._jdf.queryExecution().executedPlan().toString()
+def test_uri_root_reads_what_a_plain_root_reads(spark, tmp_path):
+    root = tmp_path / "build"
+    for name in ("sub/a.py", ".env", "pkg/__init__.py", "node_modules/x.js", "build/b.py", "photo.png", ".ci/run.yml"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("a = 1")
+    plain, uri = (sorted(tuple(r) for r in corpus.scan_directory(spark, x, "s", "r").collect()) for x in (str(root), f"file://{root}"))
+    assert plain == uri and [r[2] for r in uri] == [".ci/run.yml", ".env", "pkg/__init__.py", "sub/a.py"]
+
+
+def test_raised_limits_reach_the_scan(spark, tmp_path):
+    (tmp_path / "big.py").write_text("x = 1\n" * 200000 + 'key = "ghp_' + "A1b2" * 9 + '"\n')
+    files = corpus.scan_directory(spark, str(tmp_path), "s", "r", max_file_size=4 << 20, max_line_count=1 << 20)
+    assert pipeline.baseline_scan(files).count() >= 1
+    assert corpus.scan_directory(spark, str(tmp_path), "s", "r").isEmpty()
+
+
+def test_text_tables_are_taken_whole_and_where_they_are(spark):
+    documents = corpus.documents(spark, "/root/testdata/sf0.001")
+    assert documents.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert "Exchange" not in documents._jdf.queryExecution().executedPlan().toString()
+    assert pipeline.full_scan(documents)._jdf.queryExecution().executedPlan().toString().count("Exchange ") <= 1
 
 
 def test_lines_and_summary(spark):
