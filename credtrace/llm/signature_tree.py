@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 
-WORDS_64, LEAF, FAN = 32, 32, 8
+LEAF, FAN = 32, 8
 
 
-def signature(members: np.ndarray) -> np.ndarray:
-    """Bitmap of a set of hashes, and by how many of them one bit stands for at most."""
-    bits = np.zeros(WORDS_64 * 64, dtype=np.uint16)
-    np.add.at(bits, (members >> np.uint64(40)).astype(np.int64) % len(bits), 1)
-    return bits
+def signature(members: np.ndarray, bits: int) -> np.ndarray:
+    """How many of the hashes fall on each bit of a bitmap; the low bits of a hash choose."""
+    return np.bincount((members & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
 
 
 class Tree:
@@ -21,13 +19,12 @@ class Tree:
     component of its sets, or -1 where they differ.
     """
 
-    def __init__(self, sets: list[np.ndarray], labels: np.ndarray):
+    def __init__(self, sets: list[np.ndarray], labels: np.ndarray, bits: int):
         sizes = np.array([len(s) for s in sets])
-        counts = [signature(s) for s in sets]
-        tops = [int(c.argmax()) for c in counts]
-        self.order = np.lexsort((tops, sizes))
-        bitmaps = np.array([np.packbits(counts[k] > 0).view(np.uint64) for k in self.order])
-        load = np.array([counts[k].max() for k in self.order], dtype=np.int64)
+        self.order = np.lexsort(([int(s[0]) for s in sets], sizes))
+        counts = [signature(sets[k], bits) for k in self.order]
+        bitmaps = np.array([np.packbits(c > 0).view(np.uint64) for c in counts])
+        load = np.array([c.max() for c in counts], dtype=np.int64)
         sizes, labels = sizes[self.order], labels[self.order]
         level = self._merged(LEAF, bitmaps, sizes, sizes, load, labels)
         self.levels = [level]
@@ -104,7 +101,8 @@ def links(sets: list[np.ndarray], ids: np.ndarray, labels: np.ndarray, sides: np
     for label, member in zip(labels.tolist(), ids.tolist()):
         parent[root(member)] = root(label)
     groups = [np.flatnonzero(sides == s) for s in range(3)]
-    trees = [Tree([sets[k] for k in g], labels[g]) if len(g) else None for g in groups]
+    bits = 1 << max(10, int(4 * max(map(len, sets))).bit_length())
+    trees = [Tree([sets[k] for k in g], labels[g], bits) if len(g) else None for g in groups]
     for left, right in ((0, 1), (2, 2)):
         if trees[left] is None or trees[right] is None:
             continue
