@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credtrace.functions.text import bind
-from credtrace.llm.common import text_hash
+from credtrace.llm.common import text_hash, written
 from credtrace.llm.lines import line_rows
 
 MIN_SITES, MIN_WORDS, LG_K = 10, 3, 11
@@ -52,7 +52,7 @@ def dedupe(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, mi
     then all lose it); repeated rows are treated alike; a document all of whose lines go keeps an empty text; no rows
     give no rows; other columns are passed through.
     """
-    lines = line_rows(docs, site, min_words)
+    lines = written(line_rows(docs, site, min_words))
     common = spread(lines, min_sites, lg_k)
     hits = lines.join(common, "hash").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")) | F.col("doc_id").isNull())
     gone = hits.groupBy(F.col("doc_id").alias("__of_doc"), F.col("text_hash").alias("__of_text")).agg(
