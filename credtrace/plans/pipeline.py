@@ -18,6 +18,10 @@ from credtrace.operators import statements as S
 from credtrace.sources import corpus
 
 
+#: Rebuilt values of a file come before its candidates in the order of findings.
+FIRST_CANDIDATE = 1 << 32
+
+
 def secret_files(files: DataFrame, rules=C.DETECTION_RULES, allow_test_files: bool = False) -> DataFrame:
     """Files that hold a candidate or a rebuilt secret, with both as arrays.
 
@@ -150,7 +154,7 @@ def _finding_rows() -> Column:
                    T.line_window(F.col("lines"), r["line_no"]))
 
     def from_candidate(c: Column, i: Column) -> Column:
-        return row(i + F.size("secrets"), c["value"], c["line_number"], c["secret_type"], c["detection_method"],
+        return row(i.cast("long") + FIRST_CANDIDATE, c["value"], c["line_number"], c["secret_type"], c["detection_method"],
                    c["confidence"], c["entropy_score"], F.lit("NONE"), F.lit(None), c["context_variable"],
                    c["code_context"])
 

@@ -435,10 +435,10 @@ RAW_FINDINGS = (
     "SELECT r.*, coalesce(h.prefix, left(r.secret, 12)) AS group_key, p.path, b.sink FROM ("
     "SELECT s.scan_id, s.repository, s.file_path, s.secret_ord AS ord, s.value AS secret, s.line_no AS line_number, s.secret_type, 'reconstruction' AS method, s.confidence, 0.0::DOUBLE AS entropy_score, "
     "s.status, s.target AS variable, s.stmt_no, l.ctx AS context FROM secrets s JOIN lines l ON l.scan_id = s.scan_id AND l.file_path = s.file_path AND l.line_no = s.line_no UNION ALL "
-    "SELECT scan_id, repository, file_path, 1000000 + ord, value, line_number, secret_type, detection_method, confidence, entropy_score, 'NONE', context_variable, NULL, code_context FROM filtered) r "
+    "SELECT scan_id, repository, file_path, 4294967296 + ord, value, line_number, secret_type, detection_method, confidence, entropy_score, 'NONE', context_variable, NULL, code_context FROM filtered) r "
     "LEFT JOIN (SELECT f.scan_id, f.file_path, f.ord, arg_min(h.prefix, h.secret_ord) AS prefix FROM filtered f JOIN heads h ON f.scan_id = h.scan_id AND f.file_path = h.file_path "
     "AND f.secret_type = 'High Entropy String' AND len(f.value) >= 8 AND contains(h.value, f.value) AND h.value <> f.value GROUP BY f.scan_id, f.file_path, f.ord) h "
-    "ON r.scan_id = h.scan_id AND r.file_path = h.file_path AND r.ord = 1000000 + h.ord "
+    "ON r.scan_id = h.scan_id AND r.file_path = h.file_path AND r.ord = 4294967296 + h.ord "
     "LEFT JOIN paths p ON r.scan_id = p.scan_id AND r.file_path = p.file_path AND r.variable = p.seed "
     "LEFT JOIN best b ON r.scan_id = b.scan_id AND r.file_path = b.file_path AND r.variable = b.seed")
 MERGED = (
