@@ -59,20 +59,27 @@ def rule_candidates(hits: Column, lines: Column, rules=C.DETECTION_RULES) -> Col
             F.regexp_extract_all(h["line"], F.lit(pattern), F.lit(group)).alias("values"),
             F.split(h["line"], pattern, -1).alias("pieces")))
 
-    def length_of(parts: Column, n: Column) -> Column:
-        return F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda acc, p: acc + F.length(p))
+    def starts(m: Column) -> Column:
+        """1-based column of every match, from running lengths of the pieces and matches before it."""
+        zero = F.struct(F.lit(1).alias("at"), T.empty_array("array<int>").alias("all"))
+        steps = F.zip_with(F.slice(m["pieces"], F.lit(1), F.size(m["whole"])), m["whole"], lambda piece, whole: F.struct(
+            F.length(piece).alias("before"), F.length(whole).alias("own")))
+        return F.aggregate(steps, zero, lambda acc, x: F.struct(
+            (acc["at"] + x["before"] + x["own"]).alias("at"), F.array_append(acc["all"], acc["at"] + x["before"]).alias("all")),
+            lambda acc: acc["all"])
 
     def rows(m: Column) -> Column:
-        def row(whole: Column, i: Column) -> Column:
-            value = F.element_at(m["values"], i + 1)
-            return F.struct(
-                value.alias("value"), m["n"].alias("line_number"),
-                (length_of(m["pieces"], i + 1) + length_of(m["whole"], i) + 1).alias("column"),
-                T.provider_type(value, m["kind"]).alias("secret_type"), F.lit("regex").alias("detection_method"),
-                m["confidence"].alias("confidence"), F.lit(0.0).alias("entropy_score"),
-                T.assigned_variable(m["line"]).alias("context_variable"),
-                T.line_window(lines, m["n"]).alias("code_context"))
-        return F.transform(m["whole"], row)
+        def of_line(line: Column) -> Column:
+            def row(value: Column, i: Column) -> Column:
+                return F.struct(
+                    value.alias("value"), m["n"].alias("line_number"), F.element_at(line["starts"], i + 1).alias("column"),
+                    T.provider_type(value, m["kind"]).alias("secret_type"), F.lit("regex").alias("detection_method"),
+                    m["confidence"].alias("confidence"), F.lit(0.0).alias("entropy_score"),
+                    line["variable"].alias("context_variable"), line["window"].alias("code_context"))
+            return F.transform(m["values"], row)
+
+        return T.bind(F.struct(starts(m).alias("starts"), T.assigned_variable(m["line"]).alias("variable"),
+                               T.line_window(lines, m["n"]).alias("window")), of_line)
 
     return F.flatten(F.transform(F.concat(*[of(rule) for rule in rules]), rows)).cast(CANDIDATES)
 
@@ -84,33 +91,34 @@ def entropy_candidates(hits: Column, lines: Column, hex_threshold=C.HEX_THRESHOL
     code_lines = F.filter(hits, lambda h: h["line"].rlike(C.QUOTED_LITERAL) & ~T.is_comment_line(h["line"]))
 
     def measured(h: Column) -> Column:
-        return F.transform(
+        found = F.transform(
             F.regexp_extract_all(h["line"], F.lit(C.QUOTED_LITERAL), F.lit(1)),
-            lambda v: F.struct(v.alias("value"), h["n"].alias("n"), T.shannon_entropy(v).alias("entropy"),
+            lambda v: F.struct(v.alias("value"), T.shannon_entropy(v).alias("entropy"),
                                T.entropy_threshold(v, hex_threshold, base64_threshold, general_threshold)
                                .alias("threshold")))
+        return F.struct(h["n"].alias("n"), F.filter(found, lambda m: (m["entropy"] >= m["threshold"]) & (
+            F.length(m["value"]) >= min_length)).alias("strong"))
 
-    strong = F.filter(F.flatten(F.transform(code_lines, measured)),
-                      lambda m: (m["entropy"] >= m["threshold"]) & (F.length(m["value"]) >= min_length))
+    def of_line(x: Column) -> Column:
+        """The window of a line and the keywords in it are looked at once, however many literals it holds."""
+        def rows(window: Column) -> Column:
+            return F.transform(x["strong"], lambda m: F.struct(
+                m["value"].alias("value"), x["n"].alias("line_number"), F.lit(0).alias("column"),
+                F.lit("High Entropy String").alias("secret_type"), F.lit("entropy").alias("detection_method"),
+                T.entropy_confidence(m["entropy"], m["threshold"], window["keyword"]).alias("confidence"),
+                m["entropy"].alias("entropy_score"), F.lit("").alias("context_variable"), window["text"].alias("code_context")))
 
-    def row(m: Column) -> Column:
-        return T.bind(T.line_window(lines, m["n"]), lambda ctx: F.struct(
-            m["value"].alias("value"), m["n"].alias("line_number"), F.lit(0).alias("column"),
-            F.lit("High Entropy String").alias("secret_type"), F.lit("entropy").alias("detection_method"),
-            T.entropy_confidence(m["entropy"], m["threshold"], T.has_credential_keyword(ctx)).alias("confidence"),
-            m["entropy"].alias("entropy_score"), F.lit("").alias("context_variable"), ctx.alias("code_context")))
+        return T.bind(T.bind(T.line_window(lines, x["n"]), lambda text: F.struct(
+            text.alias("text"), T.has_credential_keyword(text).alias("keyword"))), rows)
 
-    return F.transform(strong, row).cast(CANDIDATES)
+    held = F.filter(F.transform(code_lines, measured), lambda x: F.size(x["strong"]) > 0)
+    return F.flatten(F.transform(held, of_line)).cast(CANDIDATES)
 
 
 def filter_candidates(candidates: Column, path: Column, allow_test_files: bool = False) -> Column:
     """Drop placeholders and environment-sourced values, then weaken and drop by context."""
-    real = F.filter(candidates, lambda c: ~T.is_placeholder(c["value"])
-                    & ~T.is_environment_sourced(c["code_context"]))
-
-    def weighted(c: Column) -> Column:
-        def confidence(v: Column) -> Column:
-            doc, name = v["doc"], v["name"]
+    def weighted(c: Column, doc: Column) -> Column:
+        def confidence(name: Column) -> Column:
             after_doc = F.when(doc, c["confidence"] * F.lit(0.3)).otherwise(c["confidence"])
             after_test = after_doc if allow_test_files else (
                 F.when(T.is_test_path(path), after_doc * F.lit(0.5)).otherwise(after_doc))
@@ -119,11 +127,28 @@ def filter_candidates(candidates: Column, path: Column, allow_test_files: bool =
             return (c.withField("confidence", F.when(dropped, F.lit(0.0)).otherwise(final))
                     .withField("context_variable", name))
 
-        name = (F.when(c["context_variable"] != "", c["context_variable"])
-                .otherwise(T.context_variable(c["code_context"], c["value"])))
-        return T.bind(F.struct(T.is_documentation(c["code_context"]).alias("doc"), name.alias("name")), confidence)
+        return T.bind(F.when(c["context_variable"] != "", c["context_variable"])
+                      .otherwise(T.context_variable(c["code_context"], c["value"])), confidence)
+
+    def by_line(numbers: Column) -> Column:
+        """What the window of each line that holds candidates says, looked at once a line."""
+        firsts = F.filter(candidates, lambda c, i: F.array_position(numbers, c["line_number"]) == i + 1)
+        return F.transform(firsts, lambda c: F.struct(
+            c["line_number"].alias("n"), T.is_environment_sourced(c["code_context"]).alias("environment"),
+            T.is_documentation(c["code_context"]).alias("doc")))
+
+    def kept(said: Column) -> Column:
+        numbers = F.transform(said, lambda x: x["n"])
+
+        def of(ns: Column) -> Column:
+            def line(c: Column) -> Column:
+                return F.element_at(said, F.array_position(ns, c["line_number"]).cast("int"))
+            real = F.filter(candidates, lambda c: ~T.is_placeholder(c["value"]) & ~line(c)["environment"])
+            return F.filter(F.transform(real, lambda c: weighted(c, line(c)["doc"])), lambda c: c["confidence"] >= F.lit(0.15))
+
+        return T.bind(numbers, of)
 
-    return F.filter(F.transform(real, weighted), lambda c: c["confidence"] >= F.lit(0.15))
+    return T.bind(T.bind(F.transform(candidates, lambda c: c["line_number"]), by_line), kept)
 
 
 @T.cached

@@ -98,3 +98,18 @@ def test_own_rules_need_no_quote(spark):
     for pattern in (r"vendor=[\"']*([a-z0-9]+)", r"vendor=['\"]*([a-z0-9]+)"):
         got = detect.candidates(df, (("Vendor", 0.9, 1, pattern),)).filter("secret_type = 'Vendor'")
         assert sorted(r.value for r in got.collect()) == ["abc123", "xyz789"]
+
+
+def test_many_values_on_one_line(spark):
+    """The time for one line grows about as its values do, and every value is found."""
+    import hashlib
+    import time
+    spent = {}
+    for n in (300, 300, 1200):
+        values = [hashlib.sha1(str(k).encode()).hexdigest() for k in range(n)]
+        df = frame(spark, {"a.json": "{" + ", ".join(f'"token{k}": "{v}"' for k, v in enumerate(values)) + "}"})
+        started = time.time()
+        kept = detect.filtered(df).count()
+        spent[n] = time.time() - started
+        assert {r.value for r in detect.candidates(df).select("value").collect()} >= set(values) and kept
+    assert spent[1200] < 12 * spent[300] + 5
