@@ -11,6 +11,9 @@ _ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 _NAME_PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 
+#: Characters below which a page counts as emptied by names.
+SCANT = 140
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math object canvas audio video select xmp noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -37,6 +40,7 @@ class Element:
     path: int
     parent: int
     outside: bool
+    named: bool
     container: int
     last: int = -1
 
@@ -50,12 +54,16 @@ class Block:
     text: str = ""
 
 
-def names_outside(attributes: str) -> bool:
+def names_outside(attributes: str, in_article: bool) -> bool:
+    """Whether class, id or role name something outside the article. Names that begin like "has" or "with" tell of
+    something else in the page; a header inside an article is part of it."""
     for name, *values in _ATTRIBUTE.findall(attributes):
         if name.lower() in ("class", "id", "role"):
-            value = _CAMEL.sub(r"\1 \2", "".join(values)).lower()
-            if not OUTSIDE_WORDS.isdisjoint(_NAME_PART.findall(value)):
-                return True
+            for value in "".join(values).split():
+                words = _NAME_PART.findall(_CAMEL.sub(r"\1 \2", value).lower())
+                found = OUTSIDE_WORDS.intersection(words) - ({"header"} if in_article else set())
+                if found and words[0] not in ("has", "with", "no", "without"):
+                    return True
         elif name.lower() == "aria-hidden" and "true" in values:
             return True
     return bool(re.search(r"(?:^|\s)hidden(?:\s|$)", attributes))
@@ -64,13 +72,24 @@ def names_outside(attributes: str) -> bool:
 def read(page: str) -> tuple[list[Element], list[Block]]:
     """Elements in page order and the blocks of text that are not in an outside element.
 
+    Where the names leave next to nothing, they name the page's own frame: it is read by its tags alone.
+    """
+    elements, blocks, unnamed = parse(page, True)
+    if unnamed >= SCANT > sum(len(b.text) for b in blocks):
+        elements, blocks, _ = parse(page, False)
+    return elements, blocks
+
+
+def parse(page: str, by_name: bool) -> tuple[list[Element], list[Block], int]:
+    """Elements, blocks and the characters that are left out for a name alone.
+
     A block ends at every tag that is not inline. Unclosed paragraphs, list items and cells end where the next begins, and
     stray end tags are passed over. A path is a number for the sequence of tags from the root; inline tags are not part
     of it.
     """
-    elements, blocks, paths = [Element("#", 0, -1, False, 0)], [], {}
+    elements, blocks, paths = [Element("#", 0, -1, False, False, 0)], [], {}
     stack, open_tags, block, links = [0], {}, None, 0
-    at, size = 0, len(page)
+    at, size, unnamed = 0, len(page), 0
 
     def close_to(depth: int) -> None:
         nonlocal links
@@ -81,8 +100,10 @@ def read(page: str) -> tuple[list[Element], list[Block]]:
             links -= element.tag == "a"
 
     def text(piece: str) -> None:
-        nonlocal block
+        nonlocal block, unnamed
         top = elements[stack[-1]]
+        if piece and top.outside and top.named:
+            unnamed += len(piece.strip())
         if piece and not top.outside:
             if block is None:
                 if piece.isspace():
@@ -135,11 +156,12 @@ def read(page: str) -> tuple[list[Element], list[Block]]:
                 close_to(found)
         parent = elements[stack[-1]]
         path = parent.path if tag in INLINE else paths.setdefault((parent.path, tag), len(paths) + 1)
-        within_article = tag == "header" and (open_tags.get("article") or open_tags.get("main"))
-        outside = parent.outside or tag in OUTSIDE or (tag == "header" and not within_article) or (
-            tag not in ("html", "body", "main", "article") and names_outside(m.group(3)))
+        in_article = bool(open_tags.get("article") or open_tags.get("main"))
+        outside = parent.outside or tag in OUTSIDE or (tag == "header" and not in_article)
+        named = by_name and not outside and tag not in ("html", "body", "main", "article") and names_outside(m.group(3), in_article)
         number = len(elements)
-        elements.append(Element(tag, path, stack[-1], outside, number if tag in CONTAINERS else parent.container))
+        elements.append(Element(tag, path, stack[-1], outside or named, named or (parent.named and tag not in OUTSIDE),
+                                number if tag in CONTAINERS else parent.container))
         open_tags[tag] = open_tags.get(tag, 0) + 1
         links += tag == "a"
         stack.append(number)
@@ -149,4 +171,4 @@ def read(page: str) -> tuple[list[Element], list[Block]]:
     elements[0].last = len(elements) - 1
     for b in blocks:
         b.text = " ".join(html.unescape("".join(b.parts)).split())
-    return elements, [b for b in blocks if b.text]
+    return elements, [b for b in blocks if b.text], unnamed
