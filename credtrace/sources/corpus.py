@@ -13,6 +13,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from credtrace import share_package
 from credtrace.functions import catalog as C
 
 KEY = ["scan_id", "file_path"]
@@ -145,6 +146,7 @@ def _tree(spark: SparkSession, root: str, base: str, skip_dirs: list[str], max_f
     the tree does not become one task; skipped directories are not entered, and only kept files are read, about
     READ_BYTES to a partition.
     """
+    share_package(spark)
     cores = spark.sparkContext.defaultParallelism
     skip = [d.lower() for d in C.SKIP_DIRECTORIES + list(skip_dirs)]
     frontier = spark.createDataFrame([(base,)], "path string")
