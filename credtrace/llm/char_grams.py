@@ -15,22 +15,15 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def grams_of(points: np.ndarray, n: int, bits: int) -> np.ndarray:
-    """Bucket of the n-gram that starts at each code point."""
-    if len(points) < n:
-        return np.empty(0, np.int64)
+def hashes_of(points: np.ndarray, orders: tuple[int, ...]) -> Iterator[np.ndarray]:
+    """Per order the 64-bit hash of the n-gram that starts at each code point; longer ones grow from shorter ones."""
     wide = points.astype(np.uint64)
-    total = np.full(len(points) - n + 1, n, dtype=np.uint64)
-    for k in range(n):
-        total = (total ^ wide[k: len(points) - n + 1 + k]) * _MIX
+    total = np.full(len(points), 1, dtype=np.uint64)
+    for k in range(max(orders)):
+        total = (total[: max(len(points) - k, 0)] ^ wide[k:]) * _MIX
         total ^= total >> np.uint64(29)
-    return ((total * _MIX) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def text_pieces(text: str, longest: int) -> Iterator[str]:
-    """A text in pieces of CHUNK code points that overlap so that each n-gram is in one piece for its length."""
-    for at in range(0, max(len(text), 1), CHUNK):
-        yield text[at: at + CHUNK + longest - 1]
+        if k + 1 in orders:
+            yield total * np.uint64(0xD6E8FEB86659FD93)
 
 
 def batched(texts: pa.Array) -> Iterator[list[str]]:

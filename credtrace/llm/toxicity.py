@@ -7,24 +7,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from credtrace.llm.char_grams import CHUNK, batched, code_points, grams_of
+from credtrace.llm.char_grams import CHUNK, batched, code_points, hashes_of
 from credtrace.llm.common import held_out, written
 
-ORDERS, BITS, WIDE_BITS = (4, 5, 6), 20, 40
+ORDERS, BITS = (4, 5, 6), 18
 #: Buckets that the classifier looks at: those whose counts differ most between the classes.
-FEATURES = 16384
+FEATURES = 8192
 #: Rows of each class that the weights are fitted on; ratios and the choice of features use all labelled rows.
-SAMPLE = 6000
+SAMPLE = 2500
 THRESHOLD = 0.3
 
 
 @dataclass
 class Model:
-    """``marks`` tells buckets of interest, ``grams`` are sorted wide hashes with a weight each."""
+    """``marks`` tells buckets of interest, ``grams`` are sorted hashes with a weight each."""
 
     marks: np.ndarray
     grams: np.ndarray
@@ -32,14 +33,17 @@ class Model:
     intercept: float
 
 
-def present(text: str, marks: np.ndarray | None) -> np.ndarray:
-    """Distinct n-grams of a whole text as wide hashes, those in marked buckets only if marks are given."""
-    points, found = code_points(" " + text.lower() + " "), []
+def chunks_of(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, buckets) of the n-grams of a whole text; chunks overlap, so an n-gram may come twice."""
+    points = code_points(" " + text.lower() + " ")
     for at in range(0, len(points), CHUNK):
-        for n in ORDERS:
-            wide = grams_of(points[at: at + CHUNK + n - 1], n, WIDE_BITS)
-            found.append(np.unique(wide if marks is None else wide[marks[wide >> (WIDE_BITS - BITS)]]))
-    return np.unique(np.concatenate(found))
+        for hashes in hashes_of(points[at: at + CHUNK + ORDERS[-1] - 1], ORDERS):
+            yield hashes, (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def present(text: str, marks: np.ndarray) -> np.ndarray:
+    """Distinct hashes of the n-grams of a whole text that fall in marked buckets."""
+    return np.unique(np.concatenate([hashes[marks[buckets]] for hashes, buckets in chunks_of(text)])).view(np.int64)
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -50,22 +54,39 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def bucket_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per class (0, 1) the documents that hold each bucket, and the documents; 2^BITS numbers for each class."""
+    part = 1 << 12
+
     def batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, (1 << BITS) + 1), np.int64)
+        seen, here, sizes = np.zeros((2, 1 << BITS), np.int64), np.zeros(1 << BITS, bool), [0, 0]
         for b in batches:
             for toxic, text in zip(b.column("toxic").to_pylist(), b.column("text")):
-                seen[toxic, np.unique(present(text.as_py() or "", None) >> (WIDE_BITS - BITS))] += 1
-                seen[toxic, -1] += 1
-        at = np.flatnonzero(seen.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[0, at]), pa.array(seen[1, at])],
-                                         ["bucket", "clean", "toxic"])
-
-    rows = docs.select("toxic", "text").mapInArrow(batch, "bucket int, clean long, toxic long").groupBy("bucket").agg(
-        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    rows = rows.toPandas()
-    counts = np.zeros((2, (1 << BITS) + 1))
-    counts[0, rows["bucket"].to_numpy()], counts[1, rows["bucket"].to_numpy()] = rows["clean"], rows["toxic"]
-    return counts[0, :-1], counts[1, :-1], counts[:, -1]
+                here[:] = False
+                for _, buckets in chunks_of(text.as_py() or ""):
+                    here[buckets] = True
+                seen[toxic] += here
+                sizes[toxic] += 1
+        if sum(sizes):
+            group = TaskContext.get().partitionId() // 256
+            rows = [(toxic, k, group, seen[toxic, k * part:(k + 1) * part].tobytes()) for toxic in (0, 1) for k in range(len(here) // part)]
+            rows += [(toxic, -1, group, np.array(sizes[toxic:toxic + 1], np.int64).tobytes()) for toxic in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["toxic", "part", "task_group", "counts"])
+
+    def total(table: pa.Table) -> pa.Table:
+        added = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("counts"))
+        return table.slice(0, 1).set_column(3, "counts", pa.array([added.tobytes()]))
+
+    # Vectors are added for 256 tasks at a time, then once more, so that no group holds one for every task.
+    kind = "toxic long, part long, task_group long, counts binary"
+    rows = docs.select("toxic", "text").mapInArrow(batch, kind).groupBy("toxic", "part", "task_group").applyInArrow(total, kind)
+    rows = rows.groupBy("toxic", "part").applyInArrow(total, kind).drop("task_group").collect()
+    counts, sizes = np.zeros((2, 1 << BITS)), np.zeros(2)
+    for toxic, k, held in rows:
+        numbers = np.frombuffer(held, np.int64)
+        if k < 0:
+            sizes[toxic] = numbers[0]
+        else:
+            counts[toxic, k * part:(k + 1) * part] = numbers
+    return counts[0], counts[1], sizes
 
 
 def chosen_buckets(clean: np.ndarray, toxic: np.ndarray, sizes: np.ndarray, features: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,11 +123,12 @@ def train(docs: DataFrame, labels: DataFrame, features: int = FEATURES, sample:
     """Ratios and features from all labelled documents, weights from up to ``sample`` of them a class.
 
     The sample is the documents with the smallest id hashes and is weighted back to the class sizes. Its n-grams are kept
-    as wide hashes, so that in a very long text an unknown n-gram is not taken for a known one.
+    as whole hashes, so that in a very long text an unknown n-gram is not taken for a known one.
     """
     docs = docs.select("doc_id", "text")
     truth = written(labelled(docs, labels))
-    clean, toxic, sizes = bucket_counts(docs.join(truth, "doc_id"))
+    # Texts meet their labels by hash at every size; the label side, two numbers a row, is what each task holds.
+    clean, toxic, sizes = bucket_counts(docs.where(~held_out(F.col("doc_id"))).join(truth.hint("shuffle_hash"), "doc_id"))
     if not sizes.all():
         score = 0.0 if not sizes[1] else 1.0
         return Model(np.zeros(1 << BITS, bool), np.empty(0, np.int64), np.empty(0), 40.0 * score - 20.0)
@@ -120,16 +142,18 @@ def train(docs: DataFrame, labels: DataFrame, features: int = FEATURES, sample:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(found, pa.binary())], ["doc_id", "toxic", "grams"])
 
     picked = docs.join(F.broadcast(taken[0].unionByName(taken[1])), "doc_id").select("doc_id", "toxic", "text").mapInArrow(
-        batch, "doc_id long, toxic int, grams binary").toPandas().sort_values(["doc_id", "grams"])
-    sets = [np.frombuffer(g, np.int64) for g in picked["grams"]]
-    classes = picked["toxic"].to_numpy()
+        batch, "doc_id long, toxic int, grams binary").toArrow().sort_by([("doc_id", "ascending"), ("grams", "ascending")])
+    sets = [np.frombuffer(g.as_py(), np.int64) for g in picked.column("grams")]
+    classes = picked.column("toxic").to_numpy()
+    del picked
     grams, columns, support = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    rows = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+    del sets
     common = support >= 2
     place = np.cumsum(common) - 1
     keep = common[columns]
-    grams, scale = grams[common], ratio[grams[common] >> (WIDE_BITS - BITS)]
-    rows, columns = rows[keep], place[columns[keep]]
+    grams, scale = grams[common], ratio[grams[common] .view(np.uint64) >> np.uint64(64 - BITS)]
+    rows, columns = rows[keep], place[columns[keep]].astype(np.int32)
     weight = np.where(classes == 1, sizes[1] / max((classes == 1).sum(), 1), sizes[0] / max((classes == 0).sum(), 1))
     weights, intercept = fitted(rows, columns, scale[columns], classes, weight, len(grams))
     return Model(marks, grams, weights * scale, intercept)
