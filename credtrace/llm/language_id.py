@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credtrace.llm.char_grams import CHUNK, batched, code_points, grams_of
+from credtrace.llm.char_grams import CHUNK, batched, code_points, hashes_of
 from credtrace.llm.common import held_out, written
 
 ORDERS, BITS, ALPHA = (1, 2, 3), 15, 0.5
@@ -19,6 +19,12 @@ MAX_LANGUAGES = 500
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def buckets_of(points: np.ndarray, at: int, orders, bits: int) -> Iterator[np.ndarray]:
+    """Per order the buckets of the n-grams that start in the chunk at ``at``."""
+    for n, hashes in zip(sorted(orders), hashes_of(points[at: at + CHUNK + max(orders) - 1], orders)):
+        yield (hashes[: min(CHUNK, max(len(points) - at - n + 1, 0))] >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def counted(docs: DataFrame, orders=ORDERS, bits=BITS) -> DataFrame:
     """(lang, bucket, n) over the whole texts of labelled documents; bucket -1 counts the documents.
 
@@ -33,8 +39,8 @@ def counted(docs: DataFrame, orders=ORDERS, bits=BITS) -> DataFrame:
                 vector[-1] += 1
                 points = code_points((text.as_py() or "").lower())
                 for at in range(0, len(points), CHUNK):
-                    for n in orders:
-                        vector[:-1] += np.bincount(grams_of(points[at: at + CHUNK + n - 1], n, bits), minlength=1 << bits)
+                    for buckets in buckets_of(points, at, orders, bits):
+                        vector[:-1] += np.bincount(buckets, minlength=1 << bits)
         for lang, vector in seen.items():
             at = np.flatnonzero(vector)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(
@@ -83,8 +89,7 @@ def predict(docs: DataFrame, model, orders=ORDERS, bits=BITS) -> DataFrame:
                         continue
                     total, points = prior.copy(), code_points(text.lower())
                     for at in range(0, len(points), CHUNK):
-                        for n in orders:
-                            buckets = grams_of(points[at: at + CHUNK + n - 1], n, bits)
+                        for buckets in buckets_of(points, at, orders, bits):
                             if len(buckets) < 4096:
                                 total += matrix[buckets].sum(axis=0, dtype=np.float64)
                             else:
