@@ -173,14 +173,21 @@ def parts(count, size: int):
     return F.ceil(count / F.lit(size)).cast("int")
 
 
+#: Rows of a pivot with many partners are spread over so many hash slices when they are joined with their count.
+SALTS = 64
+
+
 def star_tasks(members: DataFrame) -> DataFrame:
     """Every member of a group against the smallest member of the group, which stands in each part of a large group."""
     pairs = members.where("cid <> pivot").select("pivot", "cid").distinct()
-    sizes = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"))
-    placed = pairs.join(sizes, "pivot").select(
-        F.col("pivot").alias("block"), "cid", F.pmod(F.xxhash64("cid"), parts(F.col("n"), TASK_SETS)).cast("int").alias("left"), F.lit(1).alias("side"))
-    heads = sizes.select(F.col("pivot").alias("block"), F.col("pivot").alias("cid"), F.explode(F.sequence(
-        F.lit(0), parts(F.col("n"), TASK_SETS) - 1)).alias("left"), F.lit(0).alias("side"))
+    large = pairs.groupBy("pivot").agg(parts(F.count(F.lit(1)), TASK_SETS).alias("n_parts")).where("n_parts > 1")
+    salted = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = pairs.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS)).cast("int")).join(salted, ["pivot", "salt"], "left").select(
+        F.col("pivot").alias("block"), "cid", F.pmod(F.xxhash64("cid", F.lit(1)), F.coalesce("n_parts", F.lit(1))).cast("int").alias("left"),
+        F.lit(1).alias("side"))
+    heads = pairs.select("pivot").distinct().join(large, "pivot", "left").select(
+        F.col("pivot").alias("block"), F.col("pivot").alias("cid"),
+        F.explode(F.sequence(F.lit(0), F.coalesce("n_parts", F.lit(1)) - 1)).alias("left"), F.lit(0).alias("side"))
     return placed.unionByName(heads).select("block", "left", F.lit(0).alias("right"), "side", "cid", F.col("cid").alias("label"))
 
 
@@ -194,9 +201,8 @@ def open_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
 
     Members of the smallest member's component are settled, the others open. Groups with the same members are taken once.
     """
-    pivots = labelled(members.select(F.col("pivot").alias("cid")).distinct(), labels).select(
-        F.col("cid").alias("pivot"), F.col("label").alias("pivot_label"))
-    named = written(labelled(members.where("cid <> pivot"), labels).join(pivots, "pivot").select(
+    pivots = labelled(members.where("cid = pivot").select("key", "cid"), labels).select("key", F.col("label").alias("pivot_label"))
+    named = written(labelled(members.where("cid <> pivot"), labels).join(pivots, "key").select(
         "key", "cid", "label", (F.col("label") != F.col("pivot_label")).cast("int").alias("open")))
     groups = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("open").alias("n_open"), F.min("cid").alias("low"),
                                       F.max("cid").alias("high"), F.bit_xor(F.xxhash64("cid")).alias("mark")).where("n_open > 0 AND n > 1")
