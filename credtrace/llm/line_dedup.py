@@ -68,3 +68,18 @@ def dedupe(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, mi
         columns["n_chars"] = F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(
             F.length("__text").cast(docs.schema["n_chars"].dataType))
     return joined.select(*[v.alias(c) for c, v in columns.items()], F.coalesce(F.size("__gone"), F.lit(0)).alias("n_removed"))
+
+
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, * FROM documents),
+l AS (SELECT r, doc_id, source, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS i FROM d),
+n AS (SELECT *, lower(array_to_string(regexp_extract_all(raw, '[^\\x20\\x09-\\x0D]+'), ' ')) AS line,
+             len(regexp_extract_all(raw, '[^\\x20\\x09-\\x0D]+')) AS k FROM l),
+c AS (SELECT line, min(doc_id) AS first_doc FROM n WHERE k >= {MIN_WORDS} GROUP BY line
+      HAVING count(DISTINCT coalesce('=' || source, '')) >= {MIN_SITES}),
+g AS (SELECT n.r, n.raw, n.i, c.line IS NOT NULL AND (n.doc_id IS NULL OR n.doc_id IS DISTINCT FROM c.first_doc) AS gone
+      FROM n LEFT JOIN c ON n.line = c.line AND n.k >= {MIN_WORDS}),
+t AS (SELECT r, string_agg(raw, chr(10) ORDER BY i) FILTER (WHERE NOT gone) AS kept, count(*) FILTER (WHERE gone) AS n FROM g GROUP BY r)
+SELECT doc_id, source, CASE WHEN text IS NULL THEN NULL WHEN n > 0 THEN coalesce(kept, '') ELSE text END AS text,
+       CASE WHEN n > 0 THEN length(coalesce(kept, '')) ELSE n_chars END AS n_chars, CAST(coalesce(n, 0) AS INTEGER) AS n_removed
+FROM d LEFT JOIN t USING (r)"""

@@ -50,4 +50,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 Q = {f.__name__: f for f in (op1_html_text, op2_licences, op3_line_dedup, op4_ngram_join, op5_decontamination, op6_language_id,
                                op7_mixing, op8_chat, op9_quality, op10_toxicity)}
-ORACLE = {"op2_licences": licences.sql(), "op5_decontamination": decontaminate.SQL, "op7_mixing": mixing.sql(), "op9_quality": quality.SQL}
+ORACLE = {"op2_licences": licences.sql(), "op3_line_dedup": line_dedup.SQL, "op4_ngram_join": ngram_join.sql(),
+          "op5_decontamination": decontaminate.SQL, "op7_mixing": mixing.sql(), "op9_quality": quality.SQL}
