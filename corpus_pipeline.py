@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from credtrace.llm import decontaminate, line_dedup, mixing, ngram_join, toxicity
 from credtrace.llm.common import table, written
 
+#: Sites that make a line boilerplate: above the 2 to 3 of plain copies, so that a hot source, whose copies are one site, hides no passage.
+LINE_SITES = 4
+
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject."""
@@ -15,7 +18,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def cross_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their cross-site boilerplate lines; every document stays."""
-    return line_dedup.dedupe(docs).drop("n_removed")
+    return line_dedup.dedupe(docs, min_sites=LINE_SITES).drop("n_removed")
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
