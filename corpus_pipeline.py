@@ -32,8 +32,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def training_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the training mix takes of each document, in training order."""
-    return mixing.training_order(mixing.mix(docs))
+    """The copies that the training mix takes of each document, in training order."""
+    return mixing.training_order(mixing.place(docs))
 
 
 STAGES = [("toxicity", without_toxic), ("line_dedup", cross_site_lines), ("near_copies", without_near_copies),

@@ -64,8 +64,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap=CAP) -> DataFrame:
     return ranked.select("source", "source_size", target.alias("target"), F.col("rank").alias("source_rank"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, cap=CAP, schedules=SCHEDULES, bits=12) -> DataFrame:
-    """Which documents a training mix takes, how often, and when.
+def place(docs: DataFrame, weights=WEIGHTS, cap=CAP, schedules=SCHEDULES, bits=12) -> DataFrame:
+    """Which documents a training mix takes, how often, and when each copy is due.
 
     A source offers its documents in the order of the md5 of their ids, again and again up to ``cap`` times. A copy is
     taken when its middle word lies inside the source's target, so each source ends within half a document of its target.
@@ -74,8 +74,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap=CAP, schedules=SCHEDULES, bits=12)
     Running sums are made in two levels: over 2^bits slices of the id hash in a source, then inside a slice, so a source
     with any share of all rows is spread over that many groups. Only ids and sizes are shuffled, never texts.
 
-    Returns (doc_id, source, size, source_size, target, copies, taken, position). ``position`` is the time of the first
-    copy, or above 1 for a document that is not taken. Null or wordless texts have size 0 and are never taken; a null
+    Returns (doc_id, source, size, source_size, target, copies, taken, position, positions). ``positions`` has the time of
+    each copy, ``position`` that of the first, or above 1 for a document that is not taken. Null or wordless texts have size 0 and are never taken; a null
     source is a source of its own, last in order; a null doc_id hashes as the empty string; repeated rows count each;
     no rows give no rows; further columns are ignored.
     """
@@ -100,15 +100,33 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap=CAP, schedules=SCHEDULES, bits=12)
     rows = rows.withColumn("copies", copies).withColumn("share", share)
     position = F.when(F.col("copies") > 0, time_of(F.col("share"), F.col("source_rank") % len(schedules), schedules)).otherwise(
         F.lit(1.0) + F.col("share"))
+    positions = F.transform(F.slice(F.array(*[F.lit(n).cast("long") for n in range(cap)]), F.lit(1), F.col("copies")), lambda n: time_of(
+        (F.col("source_size") * n + F.col("middle")) / F.col("target"), F.col("source_rank") % len(schedules), schedules))
     return rows.select("doc_id", "source", "size", "source_size", "target", F.col("copies").cast("long").alias("copies"),
-                       (F.col("size") * F.col("copies")).alias("taken"), position.alias("position"))
+                       (F.col("size") * F.col("copies")).alias("taken"), position.alias("position"), positions.alias("positions"))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, cap=CAP, schedules=SCHEDULES, bits=12) -> DataFrame:
+    """What ``place`` returns without the positions of further copies: a row for each document."""
+    return place(docs, weights, cap, schedules, bits).drop("positions")
 
 
-def training_order(mixed: DataFrame) -> DataFrame:
-    """Range-sorts mixed documents by position, ties by id; untaken ones come last."""
+def by_position(mixed: DataFrame) -> DataFrame:
+    """Range-sorts mixed documents by the position of their first copy, ties by id; untaken ones come last."""
     return mixed.orderBy("position", "doc_id")
 
 
+def training_order(placed: DataFrame) -> DataFrame:
+    """A row for each taken copy, range-sorted by its position, ties by id and copy; untaken documents come last.
+
+    ``copy`` counts a document's copies from 1 and ``taken`` has the words of this one; both are 0 for an untaken document.
+    """
+    rows = placed.select("*", F.posexplode_outer("positions").alias("nth", "due")).withColumns({
+        "copy": F.coalesce(F.col("nth") + 1, F.lit(0)).cast("long"), "taken": F.when(F.col("due").isNull(), 0).otherwise(F.col("size")).cast("long"),
+        "position": F.coalesce("due", "position")})
+    return rows.drop("positions", "nth", "due").orderBy("position", "doc_id", "copy")
+
+
 def sql(weights=WEIGHTS, cap=CAP, schedules=SCHEDULES) -> str:
     """The same in DuckDB: target by resharing round after round, order by one running sum for each source."""
     cases = []

@@ -33,7 +33,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.training_order(mixing.mix(table(spark, sf_dir, "documents")))
+    return mixing.by_position(mixing.mix(table(spark, sf_dir, "documents")))
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

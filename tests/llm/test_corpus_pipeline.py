@@ -3,7 +3,10 @@
 import collections
 import random
 
+import pytest
+
 import corpus_pipeline
+from credtrace.llm import mixing
 from tests.llm.cases import docs, sentence
 
 
@@ -35,3 +38,30 @@ def test_plain_copies_on_three_sites_stay(spark):
     text = sentence(rng, 30)
     rows = [(k, text, "en", f"s{k % 3}") for k in range(30)]
     assert {r["text"] for r in corpus_pipeline.cross_site_lines(spark, docs(spark, rows), None).collect()} == {text}
+
+
+def test_every_copy_has_its_place(spark):
+    rng = random.Random(9)
+    rows = [(k, sentence(rng, rng.randint(1, 40)), "en", "hot" if k < 400 else f"s{k % 5}") for k in range(500)]
+    table = docs(spark, rows + [(900, None, "en", "hot"), (901, "", "en", "s1")])
+    first = {r["doc_id"]: r for r in mixing.mix(table).collect()}
+    got = corpus_pipeline.training_mix(spark, table, None).collect()
+    assert [r["position"] for r in got] == sorted(r["position"] for r in got)
+    copies = collections.defaultdict(list)
+    for r in got:
+        copies[r["doc_id"]].append(r)
+    assert set(copies) == set(first) and sum(r["taken"] for r in got) == sum(r["taken"] for r in first.values())
+    for i, own in copies.items():
+        assert [r["copy"] for r in own] == list(range(1, first[i]["copies"] + 1)) or [r["copy"] for r in own] == [first[i]["copies"]] == [0]
+        assert own[0]["position"] == first[i]["position"]
+    full = {r["source"] for r in got if r["target"] == 3 * r["source_size"]}
+    assert full
+    ranks = {s: k for k, s in enumerate(sorted({r["source"] for r in got}))}
+    for source in full:  # the words that are due by a time follow the whole schedule, not its first third
+        knots = mixing.SCHEDULES[ranks[source] % 3]
+        due, whole = 0, sum(r["taken"] for r in got if r["source"] == source)
+        area = lambda t: sum((min(t, b) - a) * (2 * u + (v - u) * (min(t, b) - a) / (b - a)) / 2 for (a, u), (b, v) in zip(knots, knots[1:]) if t > a)
+        for r in got:
+            if r["source"] == source and r["copy"]:
+                due += r["taken"]
+                assert (due - r["taken"] / 2) / whole == pytest.approx(area(r["position"]) / area(1.0), abs=1e-6)
