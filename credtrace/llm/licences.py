@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,10 +35,13 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "All rights reserved."),
 )
+#: Licence texts, and notices that are usually wrapped (``_notice``), for whole files and blocks of lines.
+TEXTS = tuple((p.stem.split("_")[0], p.read_text("utf-8")) for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")))
 #: Words that a text is not searched for unless a template cannot do without.
 COMMON = frozenset("a all and are as at be by for from in is it not of on or that the this to with you 0 1 2 3 4".split())
 THRESHOLD, FILE_PERCENT = 0.7, 10
 _WORD = "[a-z0-9]+"
+_COMMENT = r"^\s*(//|#|/?\*|--|;|%|<!--|(?i:rem|dnl)\s)"
 
 
 def template_vectors(templates=TEMPLATES, threshold=THRESHOLD):
@@ -64,21 +69,79 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def statements(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
-    """(of_doc, of_text, unit, licence, score, n_tokens): lines, or whole texts as unit -1, that match a template.
+def text_vectors(texts=TEXTS, threshold=THRESHOLD):
+    """As ``template_vectors`` for long texts, counts damped by 1 + ln n; last a bound for each text.
 
-    A text or line that lacks too much of every template cannot reach the threshold and is passed over; the others become
-    sparse token counts, and their dot products with the templates' unit vectors are summed by aggregation. The vectors are
-    plan constants of a few hundred rows.
+    A bound has the squared weight of the common words, how many other words it takes at least to reach the threshold with
+    these, and the other words with their squared weights.
     """
-    spark = docs.sparkSession
-    rows, idf, unknown, wanted = template_vectors(templates, threshold)
-    vectors = F.broadcast(spark.createDataFrame(rows, "number int, licence string, token string, weight double"))
+    bags = [Counter(re.findall(_WORD, text.lower())) for _, text in texts]
+    seen = Counter(t for bag in bags for t in bag)
+    unknown = math.log(1 + len(bags)) + 1
+    idf = {t: math.log((1 + len(bags)) / (1 + n)) + 1 for t, n in seen.items()}
+    rows, bounds = [], []
+    for number, ((licence, _), bag) in enumerate(zip(texts, bags)):
+        value = {t: (1 + math.log(n)) * idf[t] for t, n in bag.items()}
+        norm = math.sqrt(sum(v * v for v in value.values()))
+        rows += [(number, licence, t, v / norm) for t, v in sorted(value.items())]
+        others = sorted(((v / norm) ** 2, t) for t, v in value.items() if t not in COMMON)[::-1]
+        common = held = sum((v / norm) ** 2 for t, v in value.items() if t in COMMON)
+        least = 0
+        while held < threshold ** 2 * 0.999:
+            held, least = held + others[least][0], least + 1
+        bounds.append((common, least, others))
+    return rows, idf, unknown, bounds
+
+
+def blocks(lines: Column) -> Column:
+    """(first, end) of the runs of two or more lines that are comments, that have words, or that are comments or have no words."""
+    def runs(kinds: Column, of) -> Column:
+        flags = F.transform(kinds, of)
+        changes = bind(flags, lambda f: F.filter(F.transform(f, lambda v, i: F.when(
+            (i == 0) | (v != F.get(f, i - 1)), F.struct(i.alias("first"), v.alias("inside")))), lambda x: x.isNotNull()))
+        spans = bind(changes, lambda c: F.transform(c, lambda x, j: F.struct(
+            x["first"].alias("first"), F.coalesce(F.get(c, j + 1)["first"], F.size(kinds)).alias("end"), x["inside"].alias("inside"))))
+        return F.transform(F.filter(spans, lambda x: x["inside"] & (x["end"] - x["first"] >= 2)), lambda x: F.struct(x["first"], x["end"]))
+
+    kinds = F.transform(lines, lambda x: F.when(~x.rlike("[A-Za-z0-9]"), 0).when(x.rlike(_COMMENT), 1).otherwise(2))
+    return bind(kinds, lambda k: F.array_distinct(F.concat(
+        runs(k, lambda x: x == 1), runs(k, lambda x: x != 0), runs(k, lambda x: x != 2))))
+
+
+def scored(found: DataFrame, vectors, idf, unknown: float, threshold: float, damped: bool) -> DataFrame:
+    """The best template of each unit that reaches the threshold; dot products with unit vectors are summed by aggregation."""
+    spark = found.sparkSession
+    vectors = F.broadcast(spark.createDataFrame(vectors, "number int, licence string, token string, weight double"))
     weights = F.broadcast(spark.createDataFrame(sorted(idf.items()), "token string, idf double"))
+    key = ["of_doc", "of_text", "doc_tokens", "unit", "first", "end"]
+    counts = found.select(*key, F.explode("tokens").alias("token")).groupBy(*key, "token").agg(F.count(F.lit(1)).alias("n"))
+    times = F.lit(1.0) + F.log("n") if damped else F.col("n")
+    valued = counts.join(weights, "token", "left").withColumn("value", times * F.coalesce("idf", F.lit(unknown)))
+    lengths = valued.groupBy(*key).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"), F.sum("n").alias("n_tokens")).select(
+        *[F.col(k).alias(f"in_{k}") for k in key], "norm", "n_tokens")
+    dots = valued.join(vectors, "token").groupBy(*key, "number", "licence").agg(F.sum(F.col("value") * F.col("weight")).alias("dot"))
+    same = F.col("of_doc").eqNullSafe(F.col("in_of_doc")) & (F.col("of_text") == F.col("in_of_text")) & (F.col("unit") == F.col("in_unit"))
+    good = dots.join(lengths, same).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold)
+    return good.groupBy(*key, "n_tokens").agg(F.max(F.struct("score", "licence")).alias("best")).select(
+        *key, "best.licence", "best.score", "n_tokens")
+
+
+def statements(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES, texts=TEXTS) -> DataFrame:
+    """(of_doc, of_text, doc_tokens, unit, first, end, licence, score, n_tokens, rank): what matches a notice or licence text.
+
+    Units are lines, the whole text as unit -1, and blocks of lines [first, end) as units from -2 downwards. All are held to
+    the notices (rank 0), blocks (rank 1) and whole texts (rank 2) to the licence texts as well.
+
+    A text or unit that lacks too much of every template cannot reach the threshold and is passed over; the others become
+    sparse token counts. The vectors are tables of fixed size.
+    """
+    rows, idf, unknown, wanted = template_vectors(templates, threshold)
+    text_rows, text_idf, text_unknown, bounds = text_vectors(texts, threshold)
     look_for = F.array(*[F.lit(t) for t in wanted])
     vocabulary = F.array(*[F.lit(t) for t in sorted(idf)])
     squares = F.array(*[F.array(*[F.struct(F.lit(t).alias("t"), F.lit(w * w).alias("w")) for n, _, t, w in rows if n == k])
                         for k in range(len(templates))])
+    text_vocabulary = F.split(F.lit(" ".join(sorted(set(text_idf) - COMMON))), " ")
 
     def may_match(words: Column) -> Column:
         """No cosine exceeds the root of the squared weights of the template's tokens that are present."""
@@ -86,40 +149,61 @@ def statements(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATE
             template, F.lit(0.0), lambda a, x: a + F.when(F.array_contains(held, x["t"]), x["w"]).otherwise(0.0)) >= threshold ** 2 * 0.999))
         return F.when(F.arrays_overlap(words, look_for), enough).otherwise(False)
 
-    units = F.array_append(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("unit"), x.alias("body"))),
-                           F.struct(F.lit(-1).alias("unit"), F.col("text").alias("body")))
-    found = docs.select("doc_id", "text", tokens(F.col("text")).alias("all")).where(may_match(F.col("all"))).select(
+    def may_be_text(words: Column) -> Column:
+        """The same bound, the common words counted as present; of a long text only how many of the others it takes."""
+        def reached(held: Column, common: float, least: int, others) -> Column:
+            if least >= 40:  # so many are rare enough, and the plan stays small
+                return F.size(held) >= least
+            names = F.split(F.lit(" ".join(t for _, t in others)), " ")
+            shares = F.split(F.lit(" ".join(repr(w) for w, _ in others)), " ").cast("array<double>")
+            return (F.size(held) >= least) & (F.aggregate(held, F.lit(common), lambda a, x: a + F.coalesce(
+                F.get(shares, F.array_position(names, x).cast("int") - 1), F.lit(0.0))) >= threshold ** 2 * 0.999)
+
+        return bind(F.array_intersect(words, text_vocabulary), lambda held: reduce(
+            Column.__or__, [reached(held, *bound) for bound in sorted(bounds, key=lambda b: b[1])]))
+
+    def units(lines: Column) -> Column:
+        def unit(number, first, end, body):
+            return F.struct(number.cast("int").alias("unit"), first.cast("int").alias("first"), end.cast("int").alias("end"), body.alias("body"))
+
+        return F.concat(F.transform(lines, lambda x, i: unit(i, i, i + 1, x)), F.array(unit(F.lit(-1), F.lit(0), F.size(lines), F.col("text"))),
+                        F.transform(blocks(lines), lambda b, k: unit(-2 - k, b["first"], b["end"], F.array_join(
+                            F.slice(lines, b["first"] + 1, b["end"] - b["first"]), " "))))
+
+    found = docs.select("doc_id", "text", tokens(F.col("text")).alias("all")).where(may_match(F.col("all")) | may_be_text(F.col("all"))).select(
         F.col("doc_id").alias("of_doc"), text_hash(F.col("text")).alias("of_text"), F.size("all").alias("doc_tokens"),
-        F.explode(units).alias("u")).select("of_doc", "of_text", "doc_tokens", "u.unit", tokens(F.col("u.body")).alias("tokens"))
-    found = found.where(may_match(F.col("tokens"))).distinct()
-    key = ["of_doc", "of_text", "doc_tokens", "unit"]
-    counts = found.select(*key, F.explode("tokens").alias("token")).groupBy(*key, "token").agg(F.count(F.lit(1)).alias("n"))
-    valued = counts.join(weights, "token", "left").withColumn("value", F.col("n") * F.coalesce("idf", F.lit(unknown)))
-    lengths = valued.groupBy(*key).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"), F.sum("n").alias("n_tokens")).select(
-        *[F.col(k).alias(f"in_{k}") for k in key], "norm", "n_tokens")
-    dots = valued.join(vectors, "token").groupBy(*key, "number", "licence").agg(F.sum(F.col("value") * F.col("weight")).alias("dot"))
-    same = F.col("of_doc").eqNullSafe(F.col("in_of_doc")) & (F.col("of_text") == F.col("in_of_text")) & (F.col("unit") == F.col("in_unit"))
-    scored = dots.join(lengths, same).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold)
-    return scored.groupBy(*key, "n_tokens").agg(F.max(F.struct("score", "licence")).alias("best")).select(
-        *key, "best.licence", "best.score", "n_tokens")
+        F.explode(bind(F.split("text", "\n"), units)).alias("u")).select(
+        "of_doc", "of_text", "doc_tokens", "u.unit", "u.first", "u.end", tokens(F.col("u.body")).alias("tokens"))
+    noticed = scored(found.where(may_match(F.col("tokens"))).distinct(), rows, idf, unknown, threshold, False)
+    full = scored(found.where((F.col("unit") < 0) & may_be_text(F.col("tokens"))).distinct(), text_rows, text_idf, text_unknown, threshold, True)
+    return noticed.withColumn("rank", F.lit(0)).unionByName(full.withColumn("rank", F.when(F.col("unit") == -1, 2).otherwise(1)))
+
+
+def innermost(places: Column) -> Column:
+    """Struct (n, stated): how many of the places (first, end, n_tokens) hold no other one, and their tokens."""
+    ordered = F.sort_array(F.transform(places, lambda p: F.struct((-p["first"]).alias("back"), p["end"].alias("end"), p["n_tokens"].alias("n_tokens"))))
+    zero = F.struct(F.lit(2 ** 31 - 1).alias("end"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("stated"))
+    return F.aggregate(ordered, zero, lambda a, p: F.when(p["end"] < a["end"], F.struct(
+        p["end"].alias("end"), (a["n"] + 1).alias("n"), (a["stated"] + p["n_tokens"]).alias("stated"))).otherwise(a))
 
 
 def scan(docs: DataFrame, path: Column, threshold: float = THRESHOLD, file_percent: int = FILE_PERCENT) -> DataFrame:
     """Licence of every file: its own best statement, or that of the nearest directory above that has a licence file.
 
-    A file whose statements hold at least ``file_percent`` % of its tokens is a licence file and speaks for its
+    A match of a licence text comes before one of a notice, a whole file's before a block's. Statements that hold another one
+    are not counted. A file whose statements hold at least ``file_percent`` % of its tokens is a licence file and speaks for its
     directory, the most frequent licence first, ties by name. Directories, not files, are joined with their ancestors.
 
     Null or empty texts have no statement and inherit; a null path has no directory and inherits nothing; repeated rows
     each get their row and count in their directory; no rows give no rows; further columns are ignored. Output: doc_id,
     path, own_licence, score, n_statements, inherited_from, licence.
     """
-    lines = F.col("unit") >= 0
+    whole = F.col("unit") == -1
     own = statements(docs, threshold).groupBy("of_doc", "of_text", "doc_tokens").agg(
-        F.max(F.struct("score", "licence")).alias("best"), F.sum(F.when(lines, 1).otherwise(0)).alias("n_statements"),
-        F.sum(F.when(lines, F.col("n_tokens")).otherwise(0)).alias("stated"), F.max((~lines).cast("int")).alias("whole")).select(
-        "of_doc", "of_text", F.col("best.licence").alias("own_licence"), F.col("best.score").alias("score"), "n_statements",
-        ((F.col("whole") == 1) | (F.col("stated") * 100 >= F.col("doc_tokens") * file_percent)).alias("speaks"))
+        F.max(F.struct("rank", "score", "licence")).alias("best"), F.max(whole.cast("int")).alias("whole"),
+        F.collect_set(F.when(~whole, F.struct("first", "end", "n_tokens"))).alias("places")).withColumn("inner", innermost(F.col("places"))).select(
+        "of_doc", "of_text", F.col("best.licence").alias("own_licence"), F.col("best.score").alias("score"), F.col("inner.n").alias("n_statements"),
+        ((F.col("whole") == 1) | (F.col("inner.stated") * 100 >= F.col("doc_tokens") * file_percent)).alias("speaks"))
     files = docs.select("doc_id", path.alias("path"), text_hash(F.col("text")).alias("text_hash")).withColumn(
         "directory", F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")))
     files = files.join(own, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_text")), "left")
