@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credtrace.llm import chat, decontaminate, html_text, language_id, licences, line_dedup, mixing, ngram_join, quality, toxicity
+from credtrace.llm import chat, decontaminate, html_text, language_id, licences, line_dedup, mixing, ngram_join, quality, token_align, toxicity
 from credtrace.llm.common import table
 
 
@@ -48,7 +48,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align(table(spark, sf_dir, "documents"))
+
+
 Q = {f.__name__: f for f in (op1_html_text, op2_licences, op3_line_dedup, op4_ngram_join, op5_decontamination, op6_language_id,
-                               op7_mixing, op8_chat, op9_quality, op10_toxicity)}
+                               op7_mixing, op8_chat, op9_quality, op10_toxicity, op13_token_align)}
 ORACLE = {"op2_licences": licences.sql(), "op3_line_dedup": line_dedup.SQL, "op4_ngram_join": ngram_join.sql(),
           "op5_decontamination": decontaminate.SQL, "op7_mixing": mixing.sql(), "op9_quality": quality.SQL}
