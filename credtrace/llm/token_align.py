@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,8 +31,25 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+#: Fixed value: how byte-level tokenizers split a text before they merge bytes.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters whose class may differ between Unicode versions.
+BEYOND = re.compile(r"[^\x00-\u024f]")
+
+
+def unusual(text: str) -> bool:
+    """Whether the slower library is to take care of a text: characters ``BEYOND``, and what may be a very long run."""
+    words = text.split()
+    spare = len(text) - sum(map(len, words)) - len(words)
+    return spare >= 1000 or max(map(len, words), default=0) >= 1000 or (not text.isascii() and BEYOND.search(text) is not None)
+
+
 class Pair:
-    """Both tokenizers, the bytes of each of their ids and the lengths of these."""
+    """Both tokenizers, the bytes of each of their ids and the lengths of these.
+
+    Where the ids of A are the ranks of its merges, the faster of two libraries encodes with these; it gives the same ids for
+    texts that are not ``unusual``.
+    """
 
     def __init__(self, folder: str, file_a: str, file_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,12 +64,28 @@ class Pair:
         self.bytes_b = [bytes([int(t[3:5], 16)]) if self.b.is_byte(k) else t.replace("▁", " ").encode()
                         for k, t in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size())))]
         self.lengths_a, self.lengths_b = (np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b))
+        self.ranked = self.by_ranks(json.loads(self.a.to_str()))
+
+    def by_ranks(self, settings: dict):
+        """The encoder by ranks, None where the ids are not the order of the merges."""
+        split, model = settings.get("pre_tokenizer") or {}, settings["model"]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+        if (split.get("type"), split.get("use_regex"), split.get("add_prefix_space"), settings.get("normalizer")) != ("ByteLevel", True, False, None):
+            return None
+        if [model["vocab"].get("".join(m)) for m in merges] != list(range(256, 256 + len(merges))):
+            return None
+        import tiktoken
+        ranks = {self.bytes_a[k]: k for k in range(256 + len(merges))}
+        return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of each text in both; none where the tokens do not spell the text behind a space."""
         spaced, out = [" " + t for t in texts], []
-        for text, one, two in zip(spaced, self.a.encode_batch_fast(spaced, add_special_tokens=False), self.b.encode(texts, num_threads=1)):
-            one, raw = one.ids, text.encode()
+        slow = [not self.ranked or unusual(t) for t in spaced]
+        others = iter(self.a.encode_batch_fast([t for t, x in zip(spaced, slow) if x], add_special_tokens=False))
+        for text, by_library, two in zip(spaced, slow, self.b.encode(texts, num_threads=1)):
+            one = next(others).ids if by_library else self.ranked.encode_ordinary(text)
+            raw = text.encode()
             whole = b"".join(map(self.bytes_a.__getitem__, one)) == raw == b"".join(map(self.bytes_b.__getitem__, two))
             out.append((np.array(one if whole else [], np.int64), np.array(two if whole else [], np.int64)))
         return out

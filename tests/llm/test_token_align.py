@@ -90,3 +90,18 @@ def test_large_group_is_counted_by_its_ids(monkeypatch):
     monkeypatch.setattr(token_align, "BATCH_LINKS", 2)
     assert [x.tolist() for x in token_align.linked_pairs(*args)] == whole
     assert whole == [[0] * 6 + [1], [13, 14, 23, 24, 53, 54, 79], [4, 2, 2, 1, 2, 1, 1]]
+
+
+def test_both_encoders_of_the_first_tokenizer_agree():
+    """Every character that the faster library is trusted with, beside letters, digits, signs, spaces and itself."""
+    tools = token_align.pair(token_align.FOLDER, token_align.FILE_A, token_align.FILE_B)
+    assert tools.ranked is not None
+    for k in range(0x250):
+        c = chr(k)
+        text = f"a{c}b {c}1{c}{c} {c} 's{c}'ll -{c}-{c}  {c}\n{c}"
+        assert tools.ranked.encode_ordinary(text) == tools.a.encode(text, add_special_tokens=False).ids, hex(k)
+
+
+def test_unusual_texts_go_to_the_slower_library():
+    assert token_align.unusual("日") and token_align.unusual("a " + "x" * 1000) and token_align.unusual("a" + " " * 1002 + "b")
+    assert not token_align.unusual("Ünïcödé words " * 100)
