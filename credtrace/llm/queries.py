@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credtrace.llm import chat, decontaminate, html_text, language_id, licences, line_dedup, mixing, ngram_join, quality, token_align, toxicity
+from credtrace.llm import chat, decontaminate, hard_negatives, html_text, language_id, licences, line_dedup, minhash_join, mixing
+from credtrace.llm import ngram_join, quality, token_align, toxicity
 from credtrace.llm.common import table
 
 
@@ -48,11 +49,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.align(table(spark, sf_dir, "documents"))
 
 
 Q = {f.__name__: f for f in (op1_html_text, op2_licences, op3_line_dedup, op4_ngram_join, op5_decontamination, op6_language_id,
-                               op7_mixing, op8_chat, op9_quality, op10_toxicity, op13_token_align)}
+                               op7_mixing, op8_chat, op9_quality, op10_toxicity, op11_minhash, op12_hard_negatives, op13_token_align)}
 ORACLE = {"op2_licences": licences.sql(), "op3_line_dedup": line_dedup.SQL, "op4_ngram_join": ngram_join.sql(),
-          "op5_decontamination": decontaminate.SQL, "op7_mixing": mixing.sql(), "op9_quality": quality.SQL}
+          "op5_decontamination": decontaminate.SQL, "op7_mixing": mixing.sql(), "op9_quality": quality.SQL,
+          "op11_minhash": minhash_join.sql(), "op12_hard_negatives": hard_negatives.SQL}
