@@ -64,7 +64,13 @@ def shannon_entropy(text: Column) -> Column:
 
         return F.aggregate(F.array_distinct(chars), F.lit(0.0), bits)
 
-    return F.when(F.length(text) == 0, F.lit(0.0)).otherwise(F.abs(bind(F.split(text, ""), of)))
+    def of_long(chars: Column) -> Column:
+        n = F.length(text).cast("double")
+        return F.aggregate(chars, F.lit(0.0), lambda acc, ch: bind((n - F.length(F.replace(text, ch, F.lit("")))) / n, lambda p: acc - p * F.log2(p)))
+
+    # Of a long text every character is counted by what is left without it, not one by one.
+    return (F.when(F.length(text) == 0, F.lit(0.0)).when(F.length(text) > 1024, F.abs(bind(F.array_distinct(F.split(text, "")), of_long)))
+            .otherwise(F.abs(bind(F.split(text, ""), of))))
 
 
 def string_class(text: Column) -> Column:
@@ -172,16 +178,10 @@ def mask(secret: Column, visible: int = 4) -> Column:
                                 F.substring(secret, -visible, visible))))
 
 
-def redact(text: Column, secrets: Column) -> Column:
-    """Replace every known secret in ``text`` by its mask; ``secrets`` come longest first."""
-    return F.aggregate(secrets, text, lambda acc, s: F.replace(acc, s, mask(s)))
-
-
-def longest_first(values: Column) -> Column:
-    return F.transform(
-        F.array_sort(F.transform(F.array_distinct(values), lambda v: F.struct((-F.length(v)).alias("n"),
-                                                                              v.alias("v")))),
-        lambda s: s["v"])
+def mask_value(secret: Column, extent: Column) -> Column:
+    """The mask of a value; of one that is longer than its text the middle is told by its number of characters."""
+    ends = F.concat(F.left(secret, F.lit(4)), F.lit("*{"), (extent["length"] - 8).cast("string"), F.lit("}"), F.right(extent["tail"], F.lit(4)))
+    return F.when(extent.isNotNull(), ends).otherwise(mask(secret))
 
 
 def reconstructed_type(value: Column) -> Column:
@@ -191,18 +191,29 @@ def reconstructed_type(value: Column) -> Column:
     return out.otherwise(F.lit(C.RECONSTRUCTED_DEFAULT))
 
 
-def validate_reconstructed(value: Column, target: Column, statement: Column, status: Column) -> Column:
-    """struct(is_secret, confidence, secret_type, reason) for a rebuilt value."""
-    kind = reconstructed_type(value)
+def validate_reconstructed(value: Column, target: Column, statement: Column, status: Column, extent: Column | None = None) -> Column:
+    """struct(is_secret, confidence, secret_type, reason) for a rebuilt value.
+
+    ``extent`` (``ropes.EXTENT``, or null) says of a longer value what its beginning, ``value``, does not. A value that repeats up to
+    three characters has too little entropy already.
+    """
+    def of_all(part, whole):
+        return part if extent is None else F.when(extent.isNotNull(), whole).otherwise(part)
+
+    word = lambda k: F.get(extent["words"], k)
+    kind = reconstructed_type(value if extent is None else F.when(word(0), F.concat(value, F.lit(" mongodb"))).otherwise(value))
     known = kind.isin(C.PROVIDER_TYPES)
     plain_url = value.rlike(r"(?i)^https?://") & ~value.rlike(r"^[a-zA-Z]+://[^/@]*:[^/@]*@")
+    placeholder = of_all(is_placeholder(value), value.rlike(C.PLACEHOLDER_PREFIX) | (word(1) if extent is not None else F.lit(False)))
+    white = of_all(value.rlike(C.WS), extent["white"] if extent is not None else None)
+    entropy = of_all(shannon_entropy(value), extent["entropy"] if extent is not None else None)
     reason = (F.when(is_environment_sourced(statement), "environment source")
               .when(status == "UNRESOLVED", "unresolved")
               .when(F.length(value) < C.RECONSTRUCTED_MIN_LENGTH, "too short")
-              .when(shannon_entropy(value) < C.RECONSTRUCTED_MIN_ENTROPY, "low entropy")
-              .when(value.rlike(C.WS) & ~known, "prose")
+              .when(entropy < C.RECONSTRUCTED_MIN_ENTROPY, "low entropy")
+              .when(white & ~known, "prose")
               .when(plain_url, "plain url")
-              .when(is_placeholder(value), "placeholder")
+              .when(placeholder, "placeholder")
               .otherwise(F.lit("")))
     confidence = (F.when(known, F.lit(C.CONFIDENCE_PROVIDER))
                   .when(target.rlike(C.CREDENTIAL_TARGET), F.lit(C.CONFIDENCE_TARGET))

@@ -1,13 +1,15 @@
 """Where a secret variable flows inside its file.
 
 Facts say which names a place in the file reads and which names it taints. They come from logical statements for
-Python and from single lines for every other language. Taint is then one fold over the facts of a file per secret
-variable: a name is tainted only by facts after its source was, exactly in file order, and is never cleared.
-Everything works on the file row; files hold at most one mebibyte, and only files with a secret get here.
+Python and from single lines for every other language. Taint is then one pass over the facts of a file for all its secret
+variables: a name is tainted only by facts after its source was, exactly in file order, and is never cleared.
+Everything works on the file row, and only files with a secret get here. The pass looks names up in a dictionary, which Spark's
+array functions do not have, and so runs over Arrow; it gets names and moments and gives back numbers of facts and lines.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,12 +52,13 @@ def _constant(text: Column) -> Column:
 
 
 def parsed(statements: Column) -> Column:
-    """Statements as struct(line, snippet, lefts, value, call, entries): left sides, value, outermost call, dict."""
+    """Statements as struct(line, snippet, lefts, value, deep, call, entries): left sides, value, outermost call, dict."""
     def one(s: Column) -> Column:
         whole = rf"^((?:{LEFT_SIDE})+)(\S.*)$"
         left = F.regexp_extract(s["text"], whole, 1)
         value = S.unwrap(F.when(left != "", F.regexp_extract(s["text"], whole, 2)).otherwise(s["text"]))
         lefts = F.filter(F.transform(F.split(left, "="), T.strip), lambda t: t != "")
+        names = lambda piece: S.names_in(S.unfold(piece, s["deep"]))
 
         def more(v: Column) -> Column:
             prefix = F.regexp_extract(v, CALL, 1)
@@ -72,13 +75,13 @@ def parsed(statements: Column) -> Column:
             args = F.transform(items, lambda a: F.struct(
                 F.when(F.startswith(a, F.lit("**")), F.lit("**kwargs")).otherwise(F.regexp_extract(a, KEYWORD, 1))
                 .alias("key"),
-                S.names_in(F.when(a.rlike(KEYWORD), F.regexp_extract(a, KEYWORD, 2)).otherwise(a)).alias("names")))
+                names(F.when(a.rlike(KEYWORD), F.regexp_extract(a, KEYWORD, 2)).otherwise(a)).alias("names")))
             entries = F.when(v.rlike(r"^\{.*\}$"), F.transform(
                 F.filter(S.split_items(F.substring(v, F.lit(2), F.length(v) - 2)), lambda t: t.rlike(ENTRY)),
                 lambda t: F.struct(_constant(F.regexp_extract(t, ENTRY, 1)).alias("key"),
-                                   S.names_in(F.regexp_extract(t, ENTRY, 2)).alias("names"))))
+                                   names(F.regexp_extract(t, ENTRY, 2)).alias("names"))))
             return F.struct(s["line_no"].alias("line"), s["snippet"].alias("snippet"), lefts.alias("lefts"),
-                            v.alias("value"), is_call.alias("is_call"), display.alias("display"),
+                            v.alias("value"), s["deep"].alias("deep"), is_call.alias("is_call"), display.alias("display"),
                             dotted.alias("dotted"), args.alias("args"),
                             F.coalesce(entries, F.array().cast("array<struct<key:string,names:array<string>>>"))
                             .alias("entries"))
@@ -118,7 +121,7 @@ def statement_facts(items: Column) -> Column:
             n = F.size(ops)
             return F.concat(F.reverse(F.slice(ops, F.lit(3), F.greatest(n - 2, F.lit(0)))), F.slice(ops, 1, 2))
 
-        operands = F.transform(F.regexp_extract_all(value, F.lit(S.OPERAND), F.lit(0)), S.names_in)
+        operands = F.transform(F.regexp_extract_all(value, F.lit(S.OPERAND), F.lit(0)), lambda o: S.names_in(S.unfold(o, p["deep"])))
         sum_names = F.array_distinct(F.flatten(T.bind(operands, breadth_first)))
         joined = F.when(named & (p["is_call"] == F.lit(False)) & R.is_concat(value), T.bind(sum_names, lambda ns: F.when(
             F.size(ns) > 0, F.array(_fact(line, snippet, "concatenation", ns, F.array(left), left, F.lit(""), left,
@@ -151,7 +154,7 @@ def sink_facts(items: Column) -> Column:
         targets = F.filter(p["lefts"], lambda t: t.rlike(R.NAME_ONLY))
         is_assign = F.size(p["lefts"]) > 0
         empty = F.lit("")
-        mention = F.when(is_assign, F.array(_fact(line, snippet, "mention", S.names_in(p["value"]), targets, empty,
+        mention = F.when(is_assign, F.array(_fact(line, snippet, "mention", S.names_in(S.unfold(p["value"], p["deep"])), targets, empty,
                                                   empty, empty, "")))
         fields = F.when(is_assign, F.transform(
             F.filter(p["entries"], lambda e: F.lower(e["key"]).isin(C.AUTH_KEYS)),
@@ -231,55 +234,117 @@ def numbered(facts: Column, by_line) -> Column:
                                                     f.alias("f")))
 
 
-def _tainted_at(acc: Column, name: Column, pos: Column) -> Column:
-    at = F.array_position(acc["names"], name).cast("int")
-    return F.when(at > 0, F.element_at(acc["times"], at) < pos).otherwise(F.lit(False))
+REACH = ("array<struct<hits:array<struct<fact:int,source:string,since:int>>,tainted:array<struct<name:string,time:int>>,walk:array<int>,"
+         "lines:array<struct<line:int,call:int,pair:int>>,boxed:array<struct<line:int,call:int>>>>")
+
+
+def spread(facts: list, seeds: list[tuple[str, int]]) -> tuple[list[list], list[dict]]:
+    """Facts that each seed reaches, as (number, source, since), and the names it taints with their first moment.
+
+    One pass over the facts for all seeds: every name knows which seeds taint it since when, so a fact costs as much as the
+    seeds that reach it. A seed is looked for in the sources in their order; a moment counts only after the one before.
+    """
+    held, hits, tainted = {}, [[] for _ in seeds], [{name: start} for name, start in seeds]
+    for seed, (name, start) in enumerate(seeds):
+        held.setdefault(name, {})[seed] = start
+    for number, (moment, sources, targets) in enumerate(facts):
+        reached = {}
+        for source in sources:
+            for seed, since in held.get(source, {}).items():
+                if since < moment and seed not in reached:
+                    reached[seed] = source, since
+        for seed in sorted(reached):
+            hits[seed].append((number, *reached[seed]))
+            for target in targets:
+                if target not in tainted[seed]:
+                    tainted[seed][target] = moment
+                    held.setdefault(target, {})[seed] = moment
+    return hits, tainted
+
+
+def in_lines(table: list, names: list[str]) -> tuple[list[list], list[list]]:
+    """For each name the lines that call with it or pair it, and the calls with a container that one line puts it into."""
+    calls, pairs, boxes = {}, {}, {}
+    for line, (arguments, keyed, container) in enumerate(table):
+        for call, own in enumerate(arguments):
+            for name in own:
+                calls.setdefault(name, {}).setdefault(line, call)
+        for pair, name in enumerate(keyed):
+            pairs.setdefault(name, {}).setdefault(line, pair)
+            if container:
+                boxes.setdefault(name, set()).add(container)
+    direct, boxed = [], []
+    for name in names:
+        own, fields = calls.get(name, {}), pairs.get(name, {})
+        direct.append([(k, own.get(k, -1), fields.get(k, -1)) for k in sorted({*own, *fields})])
+        held = sorted(boxes.get(name, ()))
+        boxed.append([(line, call) for line, _, call in sorted((line, place, call) for place, c in enumerate(held) for line, call in calls.get(c, {}).items())])
+    return direct, boxed
+
+
+def reached_by_file(files):
+    """An Arrow batch of (seeds, facts, walk, table) rows as REACH rows, a struct for each seed."""
+    out = []
+    for row in files.to_pylist():
+        seeds = [(s["variable"], s["start"]) for s in row["seeds"] or []]
+        if not seeds:
+            out.append([])
+            continue
+        as_facts = lambda xs: [(x["pos"], x["srcs"] or [], x["taints"] or []) for x in xs or []]
+        hits, tainted = spread(as_facts(row["facts"]), seeds)
+        walk, _ = spread(as_facts(row["walk"]), [(name, 0) for name, _ in seeds])
+        lines, boxed = in_lines([(t["calls"] or [], t["names"] or [], t["container"]) for t in row["table"] or []], [name for name, _ in seeds])
+        out.append([{"hits": [dict(zip(("fact", "source", "since"), h)) for h in hits[k]], "tainted": [{"name": n, "time": t} for n, t in tainted[k].items()],
+                     "walk": [h[0] for h in walk[k]], "lines": [dict(zip(("line", "call", "pair"), x)) for x in lines[k]],
+                     "boxed": [dict(zip(("line", "call"), x)) for x in boxed[k]]} for k in range(len(seeds))])
+    place = pa.struct([("line", pa.int32()), ("call", pa.int32())])
+    return pa.array(out, pa.list_(pa.struct([
+        ("hits", pa.list_(pa.struct([("fact", pa.int32()), ("source", pa.string()), ("since", pa.int32())]))),
+        ("tainted", pa.list_(pa.struct([("name", pa.string()), ("time", pa.int32())]))), ("walk", pa.list_(pa.int32())),
+        ("lines", pa.list_(pa.struct([*place, ("pair", pa.int32())]))), ("boxed", pa.list_(place))])))
+
+
+def reach_given(seeds: Column, facts: Column, walk: Column, table: Column, by_line: Column) -> Column:
+    """What ``reach`` needs of a file: names and moments only."""
+    moments = lambda xs: F.transform(xs, lambda x: F.struct(
+        x["pos"].cast("int").alias("pos"), x["f"]["srcs"].alias("srcs"), x["f"]["taints"].alias("taints")))
+    return F.struct(
+        F.transform(seeds, lambda s: F.struct(s["variable"].alias("variable"), F.when(by_line, s["line"]).otherwise(0).alias("start"))).alias("seeds"),
+        moments(facts).alias("facts"), moments(walk).alias("walk"), F.transform(table, lambda t: F.struct(
+            F.transform(t["calls"], lambda c: c["names"]).alias("calls"), F.transform(t["pairs"], lambda q: q["name"]).alias("names"),
+            t["container"].alias("container"))).alias("table"))
+
+
+def reach(given: Column) -> Column:
+    """For every seed what it reaches, by number: facts, walk facts, lines of the table."""
+    def run(files: pa.Array) -> pa.Array:
+        return reached_by_file(files)
+
+    return F.arrow_udf(run, REACH)(given)
 
 
-def _fires(acc: Column, x: Column) -> Column:
-    return F.exists(x["f"]["srcs"], lambda s: _tainted_at(acc, s, x["pos"]))
-
-
-def taint(facts: Column, variable: Column, start: Column) -> Column:
-    """struct(names, times): every tainted name with the first moment it is."""
-    zero = F.struct(F.array(variable).alias("names"), F.array(start.cast("int")).alias("times"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = F.filter(x["f"]["taints"], lambda t: ~F.array_contains(acc["names"], t))
-        grown = F.struct(F.concat(acc["names"], fresh).alias("names"),
-                         F.concat(acc["times"], F.transform(fresh, lambda t: x["pos"].cast("int"))).alias("times"))
-        return F.when((F.size(fresh) > 0) & _fires(acc, x), grown).otherwise(acc)
+NODES = ("array<struct<variable:string,line:int,operation:string,snippet:string,source:string,target:string,"
+         "edge:string>>")
 
-    return F.aggregate(F.filter(facts, lambda x: F.size(x["f"]["taints"]) > 0), zero, step)
 
+def trace(facts: Column, hits: Column, by_line) -> Column:
+    """Nodes of the facts that one seed reaches, in the order they are reached."""
+    def node(h: Column) -> Column:
+        def made(x: Column) -> Column:
+            f, src = x["f"], h["source"]
+            with_source = f["op"].isin("function_argument", "keyword_argument")
+            rank = F.when(f["op"] == "assignment", 0).when(f["op"] == "function_argument", 1).otherwise(2)
+            return F.struct(
+                x["pos"].alias("pos"), F.when(by_line, h["since"]).otherwise(0).alias("since"),
+                F.when(by_line, src).otherwise("").alias("by"), F.when(by_line, rank).otherwise(0).alias("rank"),
+                F.when(with_source, F.concat(f["pre"], src, f["post"])).otherwise(f["pre"]).alias("variable"),
+                f["line"].alias("line"), f["op"].alias("operation"), f["snippet"].alias("snippet"),
+                src.alias("source"), f["target"].alias("target"), f["edge"].alias("edge"), h["fact"].alias("fact"))
+        return T.bind(F.get(facts, h["fact"]), made)
 
-NODES = ("array<struct<variable:string,line:int,operation:string,snippet:string,source:string,target:string,"
-         "edge:string>>")
+    return F.array_sort(F.transform(hits, node))
 
 
-def trace(facts: Column, variable: Column, start: Column, by_line) -> Column:
-    """Nodes reached from one variable, in the order they are reached."""
-    def nodes(acc: Column) -> Column:
-        def node(x: Column) -> Column:
-            f = x["f"]
-            source = F.element_at(F.filter(f["srcs"], lambda s: _tainted_at(acc, s, x["pos"])), 1)
-
-            def made(src: Column) -> Column:
-                with_source = f["op"].isin("function_argument", "keyword_argument")
-                since = F.element_at(acc["times"], F.array_position(acc["names"], src).cast("int"))
-                rank = F.when(f["op"] == "assignment", 0).when(f["op"] == "function_argument", 1).otherwise(2)
-                return F.struct(
-                    x["pos"].alias("pos"), F.when(by_line, since).otherwise(0).alias("since"),
-                    F.when(by_line, src).otherwise("").alias("by"), F.when(by_line, rank).otherwise(0).alias("rank"),
-                    F.when(with_source, F.concat(f["pre"], src, f["post"])).otherwise(f["pre"]).alias("variable"),
-                    f["line"].alias("line"), f["op"].alias("operation"), f["snippet"].alias("snippet"),
-                    src.alias("source"), f["target"].alias("target"), f["edge"].alias("edge"))
-            return T.bind(source, made)
-
-        reached = F.transform(F.filter(facts, lambda x: _fires(acc, x)), node)
-        return F.transform(F.array_sort(reached), lambda r: F.struct(
-            r["variable"].alias("variable"), r["line"].alias("line"), r["operation"].alias("operation"),
-            r["snippet"].alias("snippet"), r["source"].alias("source"), r["target"].alias("target"),
-            r["edge"].alias("edge")))
-
-    return T.bind(taint(facts, variable, start), nodes).cast(NODES)
+def as_nodes(reached: Column) -> Column:
+    return F.transform(reached, lambda r: F.struct(*[r[c].alias(c) for c in (
+        "variable", "line", "operation", "snippet", "source", "target", "edge")])).cast(NODES)

@@ -3,7 +3,8 @@
 One fold over the statements keeps the last definition of every variable, so chains of any length resolve in a
 single pass and nothing is joined or shuffled. Rules fixed here: look-up takes the
 last definition before the use, an unresolved part adds nothing to the value, names and literals of ``+`` and of
-``join`` are fragments, in templates only the interpolations are.
+``join`` are fragments, in templates only the interpolations are. Values are ropes (``functions/ropes.py``): one of any length
+has its right length, entropy and type, the column ``value`` shows its first mebibyte.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credtrace.functions import catalog as C
+from credtrace.functions import ropes
 from credtrace.functions import text as T
 from credtrace.operators import statements as S
 
@@ -19,7 +20,7 @@ PART = "struct<k:string,t:string,frag:boolean>"
 PARTS = f"array<{PART}>"
 FRAGMENTS = "array<struct<variable:string,value:string,line:int,resolved:boolean>>"
 RECON = (f"struct<target:string,line_no:int,value:string,status:string,kind:string,statement:string,"
-         f"fragments:{FRAGMENTS}>")
+         f"fragments:{FRAGMENTS},extent:{ropes.EXTENT}>")
 
 NAME_ONLY = rf"^{S.NAME}$"
 LITERAL_ONLY = rf"^(?:[rRuUbB]{{0,2}}{S.STRING}\s*)++$"
@@ -32,11 +33,11 @@ def _part(kind, text: Column, fragment) -> Column:
                     F.lit(fragment).alias("frag")).cast(PART)
 
 
-def _operand(text: Column) -> Column:
+def _operand(text: Column, deep: Column) -> Column:
     literal = text.rlike(LITERAL_ONLY) & ~(F.startswith(text, F.lit("`")) & F.contains(text, F.lit("${")))
     return (F.when(text.rlike(NAME_ONLY), _part("name", text, True))
             .when(literal, _part("lit", S.literal_value(text), True))
-            .otherwise(_part("dyn", text, True)))
+            .otherwise(_part("dyn", S.unfold(text, deep), True)))
 
 
 def _template(body: Column, javascript: bool) -> Column:
@@ -55,7 +56,7 @@ def _template(body: Column, javascript: bool) -> Column:
     return F.transform(tokens, piece)
 
 
-def _format(value: Column) -> Column:
+def _format(value: Column, deep: Column) -> Column:
     pattern = rf"^((?:[rRuU]?{S.STRING}))\.format\((.*)\)$"
     body = S.literal_value(F.regexp_extract(value, pattern, 1))
     tokens = F.regexp_extract_all(body, F.lit(r"\{\{|\}\}|\{[^{}]*\}|[^{}]++"), F.lit(0))
@@ -74,25 +75,25 @@ def _format(value: Column) -> Column:
             plain = F.when(t == "{{", "{").when(t == "}}", "}").otherwise(t)
             return (F.when(~t.rlike(r"^\{[^{]*\}$"), _part("lit", plain, False))
                     .when(chosen.isNull(), _part("dyn", t, True))
-                    .otherwise(_operand(chosen)))
+                    .otherwise(_operand(chosen, deep)))
         return F.transform(tokens, piece)
 
     return T.bind(S.split_items(F.regexp_extract(value, pattern, 2)), fill)
 
 
-def _join(value: Column) -> Column:
+def _join(value: Column, deep: Column) -> Column:
     pattern = rf"^([rRuU]?{S.STRING})\.join\(\s*[(\[](.*)[)\]]\s*\)$"
     separator = S.literal_value(F.regexp_extract(value, pattern, 1))
     items = S.split_items(F.regexp_extract(value, pattern, 2))
     return F.flatten(F.transform(items, lambda t, i: F.when(
-        i > 0, F.array(_part("lit", separator, False), _operand(t))).otherwise(F.array(_operand(t)))))
+        i > 0, F.array(_part("lit", separator, False), _operand(t, deep))).otherwise(F.array(_operand(t, deep)))))
 
 
 DECODE = r"^(?:base64\.)?b64decode\(\s*([^()]*?)\s*\)(?:\.decode\([^()]*\))?$"
 
 
-def _concat_parts(value: Column) -> Column:
-    return F.transform(F.transform(F.regexp_extract_all(value, F.lit(S.OPERAND), F.lit(0)), T.strip), _operand)
+def _concat_parts(value: Column, deep: Column) -> Column:
+    return F.transform(F.transform(F.regexp_extract_all(value, F.lit(S.OPERAND), F.lit(0)), T.strip), lambda t: _operand(t, deep))
 
 
 def is_concat(value: Column) -> Column:
@@ -103,7 +104,7 @@ def is_concat(value: Column) -> Column:
     return T.bind(F.regexp_replace(value, f"{S.PREFIXED}|{S.GROUP}", " "), check)
 
 
-def parse_value(value: Column, language: Column) -> Column:
+def parse_value(value: Column, language: Column, deep: Column) -> Column:
     """struct(kind, parts) of an assigned value; kind is name, literal, template, format, join, decode, concat or
     dynamic."""
     python = S.is_python(language)
@@ -118,10 +119,10 @@ def parse_value(value: Column, language: Column) -> Column:
             .when(~python & value.rlike(ticked) & F.contains(value, F.lit("${")),
                   made("template", _template(S.literal_value(value), True)))
             .when(value.rlike(LITERAL_ONLY), made("literal", F.array(_part("lit", S.literal_value(value), True))))
-            .when(value.rlike(rf"^[rRuU]?{S.STRING}\.format\(.*\)$"), made("format", _format(value)))
-            .when(value.rlike(rf"^[rRuU]?{S.STRING}\.join\(\s*[(\[].*[)\]]\s*\)$"), made("join", _join(value)))
-            .when(value.rlike(DECODE), made("decode", F.array(_operand(F.regexp_extract(value, DECODE, 1)))))
-            .when(is_concat(value), made("concat", _concat_parts(value)))
+            .when(value.rlike(rf"^[rRuU]?{S.STRING}\.format\(.*\)$"), made("format", _format(value, deep)))
+            .when(value.rlike(rf"^[rRuU]?{S.STRING}\.join\(\s*[(\[].*[)\]]\s*\)$"), made("join", _join(value, deep)))
+            .when(value.rlike(DECODE), made("decode", F.array(_operand(F.regexp_extract(value, DECODE, 1), deep))))
+            .when(is_concat(value), made("concat", _concat_parts(value, deep)))
             .otherwise(made("dynamic", F.array())))
 
 
@@ -129,8 +130,8 @@ def definitions(statements: Column, language: Column) -> Column:
     """The single-name assignments of a file with their parsed values."""
     def one(s: Column) -> Column:
         return T.bind(S.assignment(s["text"], language), lambda a: F.struct(
-            s["line_no"].alias("line_no"), s["text"].alias("text"), a["target"].alias("target"),
-            parse_value(a["value"], language).alias("v")))
+            s["line_no"].alias("line_no"), S.unfold(s["text"], s["deep"]).alias("text"), a["target"].alias("target"),
+            parse_value(a["value"], language, s["deep"]).alias("v")))
     return F.filter(F.transform(statements, one), lambda d: d["target"] != "")
 
 
@@ -146,7 +147,7 @@ def resolve(defs: Column, keep_unread: bool = False) -> Column:
         defs, lambda d: F.transform(F.filter(d["v"]["parts"], lambda p: p["k"] == "name"), lambda p: p["t"]))))
 
     symbol = "array<struct<variable:string,value:string,line_no:int,kind:string>>"
-    zero = F.struct(T.empty_array("array<string>").alias("names"), T.empty_array("array<string>").alias("vals"),
+    zero = F.struct(T.empty_array("array<string>").alias("names"), T.empty_array(f"array<{ropes.VALUE}>").alias("vals"),
                     T.empty_array("array<int>").alias("at"), T.empty_array(symbol).alias("symbols"),
                     T.empty_array(f"array<{RECON}>").alias("recons"))
 
@@ -157,36 +158,36 @@ def resolve(defs: Column, keep_unread: bool = False) -> Column:
             # Definitions are prepended, so the first position found is the latest one.
             at = F.when(p["k"] == "name", F.array_position(acc["names"], p["t"])).otherwise(F.lit(0)).cast("int")
             found = F.when(at > 0, F.element_at(acc["vals"], at))
-            value = F.when(p["k"] == "lit", p["t"]).when(p["k"] == "name", found)
+            value = F.when(p["k"] == "lit", ropes.plain(p["t"])).when(p["k"] == "name", found)
             line = F.when((p["k"] == "name") & (at > 0), F.element_at(acc["at"], at)).otherwise(d["line_no"])
-            return F.struct(p["t"].alias("t"), p["k"].alias("k"), p["frag"].alias("frag"), value.alias("value"),
-                            line.alias("line"))
+            return F.struct(p["t"].alias("t"), p["k"].alias("k"), p["frag"].alias("frag"), value.alias("v"),
+                            F.when(at > 0, F.size(acc["names"]) - at + 1).alias("ref"), line.alias("line"))
 
         def finish(parts: Column) -> Column:
             fragments = F.filter(parts, lambda p: p["frag"])
-            resolved = F.size(F.filter(fragments, lambda p: p["value"].isNotNull()))
-            # Sums of sums double: of a value longer than a whole file may be, its first mebibyte is kept.
-            texts = F.transform(parts, lambda p: F.coalesce(p["value"], F.lit("")))
-            total = F.aggregate(texts, F.lit(0).cast("long"), lambda n, t: n + F.length(t))
-            joined = F.when(total <= C.MAX_FILE_SIZE, F.array_join(texts, "")).otherwise(F.aggregate(
-                texts, F.lit(""), lambda acc, t: F.left(F.concat(acc, t), F.lit(C.MAX_FILE_SIZE))))
-            decoded = F.replace(F.make_valid_utf8(F.try_to_binary(joined, F.lit("base64")).cast("string")),
-                                F.lit("�"), F.lit(""))
-            value = F.when(kind == "decode", decoded).otherwise(joined)
-            status = (F.when((kind == "dynamic") | value.isNull(), "UNRESOLVED")
-                      .when(resolved == F.size(fragments), "FULL")
-                      .when(resolved > 0, "PARTIAL").otherwise("UNRESOLVED"))
+            resolved = F.size(F.filter(fragments, lambda p: p["v"].isNotNull()))
+
+            def decoded(joined: Column) -> Column:
+                raw = F.try_to_binary(ropes.whole(joined, acc["vals"]), F.lit("base64"))
+                return T.bind(F.replace(F.make_valid_utf8(raw.cast("string")), F.lit("�"), F.lit("")), ropes.of_text)
+
+            def with_value(value: Column) -> Column:
+                status = (F.when((kind == "dynamic") | value.isNull(), "UNRESOLVED")
+                          .when(resolved == F.size(fragments), "FULL")
+                          .when(resolved > 0, "PARTIAL").otherwise("UNRESOLVED"))
+                return T.bind(F.struct(value.alias("value"), status.alias("status")), commit)
 
             def commit(r: Column) -> Column:
                 known = F.when(r["status"] == "FULL", r["value"])
                 frags = F.transform(fragments, lambda p: F.struct(
                     F.when(p["k"] == "lit", F.lit("")).otherwise(p["t"]).alias("variable"),
-                    p["value"].alias("value"), p["line"].cast("int").alias("line"),
-                    p["value"].isNotNull().alias("resolved"))).cast(FRAGMENTS)
+                    p["v"]["text"].alias("value"), p["line"].cast("int").alias("line"),
+                    p["v"].isNotNull().alias("resolved"))).cast(FRAGMENTS)
                 recon = F.struct(d["target"].alias("target"), d["line_no"].alias("line_no"),
-                                 F.coalesce(r["value"], F.lit("")).alias("value"), r["status"].alias("status"),
-                                 kind.alias("kind"), d["text"].alias("statement"), frags.alias("fragments")).cast(RECON)
-                entry = F.struct(d["target"].alias("variable"), known.alias("value"),
+                                 F.coalesce(r["value"]["text"], F.lit("")).alias("value"), r["status"].alias("status"),
+                                 kind.alias("kind"), d["text"].alias("statement"), frags.alias("fragments"),
+                                 ropes.extent(r["value"]).alias("extent")).cast(RECON)
+                entry = F.struct(d["target"].alias("variable"), known["text"].alias("value"),
                                  d["line_no"].cast("int").alias("line_no"), kind.alias("kind"))
                 return F.struct(
                     F.array_prepend(acc["names"], d["target"]).alias("names"),
@@ -197,7 +198,9 @@ def resolve(defs: Column, keep_unread: bool = False) -> Column:
                     F.when(_reportable(d), F.array_append(acc["recons"], recon)).otherwise(acc["recons"])
                     .alias("recons"))
 
-            return T.bind(F.struct(value.alias("value"), status.alias("status")), commit)
+            present = F.transform(F.filter(parts, lambda p: p["v"].isNotNull()), lambda p: F.struct(p["ref"].alias("ref"), p["v"].alias("v")))
+            joined = T.bind(present, ropes.joined)
+            return T.bind(F.when(kind == "decode", T.bind(joined, decoded)).otherwise(joined), with_value)
 
         return T.bind(F.transform(d["v"]["parts"], look_up), finish)
 
@@ -226,7 +229,7 @@ def resolved_column(keep_unread: bool) -> Column:
 def checked_column() -> Column:
     """``recons`` with the verdict of the validator."""
     return F.transform("recons", lambda r: r.withField(
-        "check", T.validate_reconstructed(r["value"], r["target"], r["statement"], r["status"])))
+        "check", T.validate_reconstructed(r["value"], r["target"], r["statement"], r["status"], r["extent"])))
 
 
 def with_reconstructions(files: DataFrame) -> DataFrame:
@@ -253,7 +256,8 @@ def reconstructions(files: DataFrame) -> DataFrame:
             .select("scan_id", "file_path", F.posexplode_outer("recons").alias("ord", "r"))
             .filter(F.col("ord").isNotNull())
             .select("scan_id", "file_path", "ord", "r.target", "r.line_no", "r.value", "r.status", "r.kind",
-                    "r.fragments", "r.check.is_secret", "r.check.confidence", "r.check.secret_type",
+                    F.coalesce("r.extent.length", F.length("r.value").cast("bigint")).alias("length"),
+                    F.coalesce("r.extent.entropy", T.shannon_entropy(F.col("r.value"))).alias("entropy"), "r.fragments", "r.check.is_secret", "r.check.confidence", "r.check.secret_type",
                     "r.check.reason"))
 
 

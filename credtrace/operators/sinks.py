@@ -16,55 +16,60 @@ def _known(sinks: Column) -> Column:
     return F.filter(sinks, lambda s: s.isNotNull())
 
 
-def graph_sinks(nodes: Column) -> Column:
-    """Argument nodes by function name and dict nodes by authentication key."""
-    def of(n: Column) -> Column:
-        function = F.regexp_extract(n["variable"], rf"^({D.TOKEN}(?:\.{D.TOKEN})*)\(", 1)
-        key = F.lower(F.regexp_extract(n["variable"], rf"\.({D.TOKEN})$", 1))
-        return (F.when(n["operation"].isin("function_argument", "keyword_argument") & (function != ""),
-                       T.classify_sink(function, n["line"], n["snippet"]))
-                .when((n["operation"] == "dict_value") & key.isin(C.AUTH_KEYS),
-                      T.sink(C.AUTH, "HIGH", n["variable"], n["line"], n["snippet"],
+def fact_sinks(facts: Column) -> Column:
+    """For each fact the sink that a node of it is: arguments by function name, dict entries by authentication key."""
+    def of(x: Column) -> Column:
+        f = x["f"]
+        function = F.regexp_extract(f["pre"], rf"^({D.TOKEN}(?:\.{D.TOKEN})*)\(", 1)
+        key = F.lower(F.regexp_extract(f["pre"], rf"\.({D.TOKEN})$", 1))
+        return (F.when(f["op"].isin("function_argument", "keyword_argument") & (function != ""), T.classify_sink(function, f["line"], f["snippet"]))
+                .when((f["op"] == "dict_value") & key.isin(C.AUTH_KEYS),
+                      T.sink(C.AUTH, "HIGH", f["pre"], f["line"], f["snippet"],
                              F.concat(F.lit("Secret assigned to authentication-related key '"), key, F.lit("'")))))
-    return _known(F.transform(nodes, of))
+    return F.transform(facts, of).cast(SINKS)
 
 
-def statement_sinks(facts: Column, variable: Column) -> Column:
-    """Sinks found by the wider walk over Python statements."""
-    def found(acc: Column) -> Column:
-        def of(x: Column) -> Column:
-            f = x["f"]
-            auth = T.sink(C.AUTH, "HIGH", F.concat(F.lit("dict['"), f["pre"], F.lit("']")), f["line"], f["snippet"],
-                          F.concat(F.lit("Secret placed in authentication field '"), f["pre"], F.lit("'")))
-            return F.when(f["op"] == "auth", auth).otherwise(T.classify_sink(f["pre"], f["line"], f["snippet"]))
-        return _known(F.transform(F.filter(facts, lambda x: (x["f"]["op"] != "mention") & D._fires(acc, x)), of))
-    return T.bind(D.taint(facts, variable, F.lit(0)), found)
+def walk_sinks(facts: Column) -> Column:
+    """For each fact of the wider walk over Python statements the sink that it is."""
+    def of(x: Column) -> Column:
+        f = x["f"]
+        auth = T.sink(C.AUTH, "HIGH", F.concat(F.lit("dict['"), f["pre"], F.lit("']")), f["line"], f["snippet"],
+                      F.concat(F.lit("Secret placed in authentication field '"), f["pre"], F.lit("'")))
+        return F.when(f["op"] == "auth", auth).when(f["op"] != "mention", T.classify_sink(f["pre"], f["line"], f["snippet"]))
+    return F.transform(facts, of).cast(SINKS)
 
 
-def line_sinks(table: Column, variable: Column) -> Column:
+def call_sinks(table: Column) -> Column:
+    """For each line and call on it the sink that it is."""
+    return F.transform(table, lambda t: F.transform(t["calls"], lambda c: T.classify_sink(c["func"], t["line"], t["snippet"]))).cast(f"array<{SINKS}>")
+
+
+def graph_sinks(reached: Column, by_fact: Column) -> Column:
+    """Sinks among the nodes of one seed."""
+    return _known(F.transform(reached, lambda r: F.get(by_fact, r["fact"])))
+
+
+def statement_sinks(walk: Column, by_fact: Column) -> Column:
+    """Sinks that one seed reaches in the wider walk; ``walk`` has the numbers of its facts."""
+    return _known(F.transform(walk, lambda k: F.get(by_fact, k)))
+
+
+def line_sinks(table: Column, by_call: Column, variable: Column, lines: Column) -> Column:
     """Calls and authentication fields that hold the variable itself on one line, in any language."""
-    def of(t: Column) -> Column:
-        call = T.bind(D.first_call(t, variable), lambda fn: F.when(
-            fn.isNotNull(), T.classify_sink(fn, t["line"], t["snippet"])))
-        key = F.lower(F.try_element_at(F.filter(t["pairs"], lambda q: q["name"] == variable), F.lit(1))["key"])
+    def of(x: Column) -> Column:
+        call = F.when(x["call"] >= 0, F.get(F.get(by_call, x["line"]), x["call"]))
+        t = F.get(table, x["line"])
+        key = F.when(x["pair"] >= 0, F.lower(F.get(t["pairs"], x["pair"])["key"]))
         field = F.when(key.isin(C.AUTH_KEYS), T.sink(
             C.AUTH, "HIGH", F.concat(F.lit("dict['"), key, F.lit("']")), t["line"], t["snippet"],
             F.concat(F.lit("Secret '"), variable, F.lit("' placed in authentication field '"), key, F.lit("'"))))
         return F.array(call, field)
-    return _known(F.coalesce(F.flatten(F.transform(table, of)), T.empty_array(SINKS)))
+    return _known(F.coalesce(F.flatten(F.transform(lines, of)), T.empty_array(SINKS)))
 
 
-def container_sinks(table: Column, variable: Column) -> Column:
+def container_sinks(by_call: Column, boxed: Column) -> Column:
     """Calls that get a one-line dict the variable was put into."""
-    holding = F.filter(table, lambda t: (t["container"] != "") & F.exists(t["pairs"], lambda q: q["name"] == variable))
-    containers = F.array_sort(F.array_distinct(F.transform(holding, lambda t: t["container"])))
-
-    def of(names: Column) -> Column:
-        return F.flatten(F.transform(table, lambda t: F.transform(names, lambda c: T.bind(
-            D.first_call(t, c), lambda fn: F.when(fn.isNotNull(), T.classify_sink(fn, t["line"], t["snippet"]))))))
-
-    return _known(F.coalesce(T.bind(containers, lambda names: F.when(F.size(names) > 0, of(names))),
-                             T.empty_array(SINKS)))
+    return _known(F.transform(boxed, lambda x: F.get(F.get(by_call, x["line"]), x["call"])))
 
 
 def unique_sinks(sinks: Column) -> Column:

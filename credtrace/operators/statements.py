@@ -4,7 +4,10 @@ A statement starts on a line where no bracket, string block or line continuation
 out of the lines; the text of a statement is then one slice. Strings, brackets and operands are recognised with
 possessive patterns, which the regex engine runs as loops, so long statements need no deep stack.
 
-Known limits: brackets nested deeper than forty-eight, several statements on one line, code behind a closing block string.
+Brackets may nest to any depth: what lies below ``LEVEL`` of them is set aside before the patterns look at a statement, and put
+back in the pieces that they find.
+
+Known limits: several statements on one line, code behind a closing block string.
 """
 
 from __future__ import annotations
@@ -30,11 +33,72 @@ def _balanced(depth: int) -> str:
     return group
 
 
-GROUP = _balanced(48)
+#: Levels of brackets that the patterns see; a statement with more has the rest set aside by ``folded``.
+LEVEL = 4
+GROUP = _balanced(LEVEL)
 ITEM = rf"(?:[^,()\[\]{{}}\"'`]++|{STRING}|{GROUP})++"
 OPERAND = rf"(?:[^+()\[\]{{}}\"'`]++|{STRING}|{GROUP})++"
 
-STATEMENT = "struct<line_no:int,snippet:string,text:string>"
+TOKEN = rf"{STRING}|[()\[\]{{}}]|[^()\[\]{{}}\"'`]++|[\"'`]"
+MARK = "\x01"
+BLOCK = 128
+
+
+def _depths(deltas: Column) -> Column:
+    """Running sums, by block sums and the sum within the block, so that no array grows step by step."""
+    def total(xs: Column) -> Column:
+        return F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+
+    sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(deltas) - 1) / BLOCK).cast("int")), lambda b: total(F.slice(deltas, b * BLOCK + 1, F.lit(BLOCK))))
+    before = T.bind(sums, lambda ss: F.transform(ss, lambda _, b: total(F.slice(ss, F.lit(1), b))))
+    return T.bind(before, lambda bs: F.transform(deltas, lambda _, i: F.get(bs, F.floor(i / BLOCK).cast("int")) + total(
+        F.slice(deltas, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK + 1))))
+
+
+def _set_aside(tokens: Column) -> Column:
+    """struct(text, deep): what each bracket of level ``LEVEL`` holds as ``deep``, its number between marks in the text."""
+    def with_depths(deltas: Column) -> Column:
+        def cut(depths: Column) -> Column:
+            places = F.sequence(F.lit(1), F.size(tokens))
+            opens = F.filter(places, lambda i: (F.element_at(deltas, i) == 1) & (F.element_at(depths, i) == LEVEL))
+            closes = F.filter(places, lambda i: (F.element_at(deltas, i) == -1) & (F.element_at(depths, i) == LEVEL - 1))
+
+            def build(x: Column) -> Column:
+                end = lambda k: F.coalesce(F.get(x["closes"], k), F.size(tokens) + 1)
+                start = lambda k: F.when(k == 0, 1).otherwise(end(k - 1))
+                piece = lambda a, b: F.array_join(F.slice(tokens, a, F.greatest(b - a, F.lit(0))), "")
+                kept = F.transform(x["opens"], lambda o, k: F.concat(piece(start(k), o + 1), F.lit(MARK), k.cast("string"), F.lit(MARK)))
+                return F.struct(
+                    F.concat(F.array_join(kept, ""), piece(start(F.size(x["opens"])), F.size(tokens) + 1)).alias("text"),
+                    F.transform(x["opens"], lambda o, k: piece(o + 1, end(k))).alias("deep"))
+            return T.bind(F.struct(opens.alias("opens"), closes.alias("closes")), build)
+        return T.bind(_depths(deltas), cut)
+
+    return T.bind(F.transform(tokens, lambda t: F.when(t.isin("(", "[", "{"), 1).when(t.isin(")", "]", "}"), -1).otherwise(0)), with_depths)
+
+
+def folded(text: Column) -> Column:
+    """struct(text, deep): a statement whose brackets nest no deeper than ``LEVEL``; ``deep`` is empty for most."""
+    brackets = F.regexp_replace(F.regexp_replace(text, STRING, ""), r"[^()\[\]{}]++", "")
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    deepest = F.aggregate(F.split(brackets, ""), zero, lambda a, b: T.bind(
+        a["now"] + F.when(b.isin("(", "[", "{"), 1).when(b == "", 0).otherwise(-1), lambda n: F.struct(n.alias("now"), F.greatest(a["most"], n).alias("most"))),
+        lambda a: a["most"])
+    plain = F.struct(text.alias("text"), T.empty_array("array<string>").alias("deep"))
+    clean = F.replace(text, F.lit(MARK), F.lit(" "))
+    return F.when(F.length(brackets) <= 2 * LEVEL, plain).when(deepest <= LEVEL, plain).otherwise(
+        T.bind(F.regexp_extract_all(clean, F.lit(TOKEN), F.lit(0)), _set_aside))
+
+
+def unfold(piece: Column, deep: Column) -> Column:
+    """A piece of a statement with what was set aside of it."""
+    marked = rf"{MARK}[0-9]+{MARK}"
+    tokens = F.regexp_extract_all(piece, F.lit(rf"{marked}|[^{MARK}]++|{MARK}"), F.lit(0))
+    return F.when(F.size(deep) > 0, F.array_join(F.transform(tokens, lambda t: F.when(
+        t.rlike(f"^{marked}$"), F.get(deep, F.replace(t, F.lit(MARK), F.lit("")).try_cast("int"))).otherwise(t)), "")).otherwise(piece)
+
+
+STATEMENT = "struct<line_no:int,snippet:string,text:string,deep:array<string>>"
 
 
 def is_python(language: Column) -> Column:
@@ -92,10 +156,9 @@ def statement_array(lines: Column, language: Column) -> Column:
                 texts = F.transform(F.slice(code, s, stop - s),
                                     lambda x: F.regexp_replace(T.strip(x["c"]["text"]), r"\\$", ""))
                 first = F.element_at(code, s)
-                return F.struct(first["n"].cast("int").alias("line_no"), T.strip(first["line"]).alias("snippet"),
-                                T.strip(F.regexp_replace(T.strip(F.array_join(texts, " ")),
-                                                         F.when(python, F.lit("$^")).otherwise(F.lit(";$")),
-                                                         F.lit(""))).alias("text"))
+                text = T.strip(F.regexp_replace(T.strip(F.array_join(texts, " ")), F.when(python, F.lit("$^")).otherwise(F.lit(";$")), F.lit("")))
+                return T.bind(T.bind(text, folded), lambda f: F.struct(
+                    first["n"].cast("int").alias("line_no"), T.strip(first["line"]).alias("snippet"), f["text"].alias("text"), f["deep"].alias("deep")))
             return F.transform(ss, one)
 
         return T.bind(starts, build)

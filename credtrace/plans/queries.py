@@ -12,7 +12,7 @@ from credtrace.functions import text as T
 from credtrace.operators import dataflow as D
 from credtrace.operators import detect, findings, reconstruct, sinks
 from credtrace.plans import pipeline as P
-from credtrace.plans import serving
+from credtrace.plans import serving, stores
 from credtrace.sources import corpus
 
 Q = {}
@@ -243,6 +243,27 @@ def assembled(spark: SparkSession, d: str) -> DataFrame:
 
 Q["r5_format_r6_join_r9_languages"] = lambda spark, d: reconstruct.reconstructions(assembled(spark, d)).select(
     "file_path", "target", "kind", "value", "status")
+def doubled(spark: SparkSession, d: str) -> DataFrame:
+    """One Python file per nation whose value doubles forty times, and one that decodes what it doubled twenty times."""
+    key = F.concat(F.lit("AKIA"), F.upper(F.substring(F.md5("n_name"), 1, 16)))
+    chain = [F.concat(F.lit('a0 = "'), key, F.lit('"')), *(F.lit(f"a{k} = a{k - 1} + a{k - 1}") for k in range(1, 41))]
+    coded = [F.concat(F.lit('b0 = "'), F.base64(F.concat(F.md5("n_name"), F.lit("!")).cast("binary")), F.lit('"')),
+             *(F.lit(f"b{k} = b{k - 1} + b{k - 1}") for k in range(1, 16)), F.lit("dec = base64.b64decode(b15).decode()"), F.lit('tail = dec + "?"')]
+    nations = corpus.read(spark, d, "nation").withColumn("c_custkey", F.col("n_nationkey"))
+    rows = corpus.dealt(nations).select(F.explode(F.array(
+        F.struct(F.concat(F.lit("chain"), F.col("n_nationkey").cast("string"), F.lit(".py")).alias("p"), F.concat_ws("\n", *chain).alias("t")),
+        F.struct(F.concat(F.lit("coded"), F.col("n_nationkey").cast("string"), F.lit(".py")).alias("p"), F.concat_ws("\n", *coded).alias("t")))).alias("f"))
+    return _made(rows.select("f.p", "f.t"), "doubled")
+
+
+@query("r3_r7_long_values")
+def _(spark, d):
+    """Length, entropy and type of values that double far beyond what any text could hold, and of a long decoded one."""
+    rows = reconstruct.reconstructions(doubled(spark, d)).filter("target IN ('a1', 'a17', 'a40', 'dec', 'tail')")
+    return rows.select("file_path", "target", "kind", "status", "length", F.round("entropy", 6).alias("entropy"),
+                       "secret_type", F.col("is_secret").cast("int").alias("is_secret"), "reason", F.md5("value").alias("shown_md5"))
+
+
 Q["r10_status_counts"] = lambda spark, d: reconstruct.reconstructions(rendered(spark, d)).groupBy("kind", "status").agg(
     F.count("*").alias("n"))
 Q["r11_fragments"] = lambda spark, d: reconstruct.reconstructions(rendered(spark, d)).select(
@@ -306,6 +327,24 @@ def _(spark, d):
                     "n.variable", "n.operation", "n.source", "n.target", "n.edge", "n.snippet"))
 
 
+def nested(spark: SparkSession, d: str) -> DataFrame:
+    """One Python file per customer that passes its secret below two hundred brackets, in an argument and in a sum."""
+    text = F.concat_ws("\n", F.concat(F.lit('api_key = "'), F.md5("c_name"), F.lit('"')),
+                       F.lit(f"send(1, {'(' * 100}{'[' * 100}api_key{']' * 100}{')' * 100}, x={'g(' * 200}api_key{')' * 200})"),
+                       F.lit(f"full = f({'(' * 200}0{')' * 200}) + api_key + h({'(' * 200}api_key{')' * 200})"))
+    rows = corpus.dealt(corpus.read(spark, d, "customer").select("c_custkey", "c_name"))
+    return _made(rows.select(F.concat(F.lit("n"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("p"), text.alias("t")), "nested")
+
+
+@query("d5_d6_nested_brackets")
+def _(spark, d):
+    flows = P.with_flows(P.with_facts(P.with_seeds(P.secret_files(nested(spark, d)))))
+    return (flows.select("file_path", F.explode_outer("flows").alias("x")).filter("x.variable = 'api_key'")
+            .select("file_path", F.posexplode("x.nodes").alias("ord", "n")).filter(F.col("n.source").isNotNull())
+            .select("file_path", F.col("ord").cast("bigint").alias("ord"), F.col("n.line").cast("bigint").alias("line"),
+                    "n.variable", "n.operation", "n.source", "n.target", "n.edge"))
+
+
 Q["d6_d8_argument_edges"] = lambda spark, d: _nodes(spark, d, "function_argument")
 Q["d7_keyword_edges"] = lambda spark, d: _nodes(spark, d, "keyword_argument")
 Q["d9_line_edges"] = lambda spark, d: _nodes(spark, d, python=False)
@@ -314,13 +353,9 @@ Q["d9_line_edges"] = lambda spark, d: _nodes(spark, d, python=False)
 @query("d10_taint_closure")
 def _(spark, d):
     """Every name a seed taints and the first moment it does."""
-    python = F.col("language") == "Python"
-    closure = F.transform("seeds", lambda s: F.struct(
-        s["variable"].alias("seed"), D.taint(F.col("facts"), s["variable"],
-                                             F.when(python, F.lit(0)).otherwise(s["line"])).alias("t")))
-    return (_analysed(spark, d).select(*KEY, F.explode_outer(closure).alias("c")).filter(F.col("c").isNotNull())
-            .select(*KEY, "c.seed", F.explode(F.arrays_zip("c.t.names", "c.t.times")).alias("z"))
-            .select(*KEY, "seed", F.col("z.names").alias("name")))
+    names = F.zip_with("seeds", "reach", lambda s, r: F.struct(s["variable"].alias("seed"), r["tainted"].alias("tainted")))
+    return (P.with_reach(_analysed(spark, d)).select(*KEY, F.explode_outer(names).alias("c")).filter(F.col("c").isNotNull())
+            .select(*KEY, "c.seed", F.explode("c.tainted").alias("z")).select(*KEY, "seed", F.col("z.name").alias("name")))
 
 
 Q["d11_paths"] = lambda spark, d: _flows(spark, d).select(
@@ -356,16 +391,18 @@ def _sinks(spark, d, field: str):
 Q["k3_graph_sinks"] = lambda spark, d: _sinks(spark, d, "from_graph")
 
 
-def _each_seed(spark, d, build):
-    rows = F.transform("seeds", lambda s: F.struct(s["variable"].alias("seed"), build(s["variable"]).alias("sinks")))
-    return (_analysed(spark, d).select(*KEY, F.explode_outer(rows).alias("r")).filter(F.col("r").isNotNull())
+def _each_seed(found, build):
+    """Sinks of every seed, from what it reaches."""
+    rows = F.zip_with("seeds", "reach", lambda s, r: F.struct(s["variable"].alias("seed"), build(s["variable"], r).alias("sinks")))
+    return (P.with_reach(found).select(*KEY, F.explode_outer(rows).alias("r")).filter(F.col("r").isNotNull())
             .select(*KEY, "r.seed", F.explode("r.sinks").alias("s"))
             .select(*KEY, "seed", "s.sink_type", "s.risk_level", "s.function",
                     F.col("s.line").cast("bigint").alias("line"), "s.code", "s.description"))
 
 
-Q["k4_statement_sinks"] = lambda spark, d: _each_seed(spark, d, lambda v: sinks.statement_sinks(F.col("walk"), v))
-Q["k5_line_sinks"] = lambda spark, d: _each_seed(spark, d, lambda v: sinks.line_sinks(F.col("table"), v))
+Q["k4_statement_sinks"] = lambda spark, d: _each_seed(_analysed(spark, d), lambda v, r: sinks.statement_sinks(r["walk"], F.col("sinks_of.walk")))
+Q["k5_line_sinks"] = lambda spark, d: _each_seed(_analysed(spark, d), lambda v, r: sinks.line_sinks(
+    F.col("table"), F.col("sinks_of.calls"), v, r["lines"]))
 Q["k7_direct_sinks"] = lambda spark, d: _sinks(spark, d, "direct")
 Q["k8_best_sink"] = lambda spark, d: _flows(spark, d).filter(F.col("sink").isNotNull()).select(
     *KEY, F.col("variable").alias("seed"), "sink.sink_type", "sink.risk_level", "sink.function",
@@ -385,11 +422,8 @@ def contained(spark: SparkSession, d: str) -> DataFrame:
 @query("k6_container_sinks")
 def _(spark, d):
     found = P.with_facts(P.with_seeds(P.secret_files(contained(spark, d))))
-    rows = F.transform("seeds", lambda s: F.struct(s["variable"].alias("seed"), sinks.container_sinks(
-        F.col("table"), s["variable"]).alias("sinks")))
-    return (found.select("file_path", F.explode_outer(rows).alias("r")).filter(F.col("r").isNotNull())
-            .select("file_path", "r.seed", F.explode("r.sinks").alias("s"))
-            .select("file_path", "seed", "s.sink_type", "s.function", F.col("s.line").cast("bigint").alias("line")))
+    return _each_seed(found, lambda v, r: sinks.container_sinks(F.col("sinks_of.calls"), r["boxed"])).select(
+        "file_path", "seed", "sink_type", "function", "line")
 
 
 # ---- findings ----
@@ -416,7 +450,7 @@ def _finding_columns(frame: DataFrame, *more) -> DataFrame:
 
 
 Q["a2_merged_findings"] = lambda spark, d: _finding_columns(
-    findings.merge_findings(P.raw_findings(P.analysed(rendered(spark, d)))), "group_key", "finding_id")
+    P.merged_findings(P.analysed(rendered(spark, d))), "group_key", "finding_id")
 SCORES = ["detection_score", "sensitivity_score", "exposure_score", "propagation_score", "risk_score", "severity",
           "explanation"]
 Q["a3_a8_full_scan"] = lambda spark, d: _finding_columns(_scored(spark, d), *SCORES)
@@ -427,7 +461,7 @@ Q["a10_a11_severity_counts"] = lambda spark, d: findings.severity_counts(_scored
 Q["a13_stage_counts"] = lambda spark, d: P.stage_counts(rendered(spark, d))
 Q["a14_baseline_scan"] = lambda spark, d: _finding_columns(P.baseline_scan(rendered(spark, d)), *SCORES)
 Q["a14_baseline_scan_documents"] = lambda spark, d: _finding_columns(P.baseline_scan(documents(spark, d)), *SCORES)
-Q["a15_ablation"] = lambda spark, d: P.compare_scans(_scored(spark, d), P.baseline_scan(rendered(spark, d)))
+Q["a15_ablation"] = lambda spark, d: P.ablation(rendered(spark, d))
 
 
 @query("labelled_documents")
@@ -496,8 +530,7 @@ def runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scans(spark, d):
-    files = rendered(spark, d)
-    return serving.scans(P.scan_summary(files, _scored(spark, d)), P.stage_counts(files), runs(spark, d))
+    return serving.scans(P.scan_figures(rendered(spark, d)), runs(spark, d))
 
 
 SCAN_COLUMNS = ["scan_id", "repository", "status", "files_scanned", "total_lines", "findings_count", "critical", "high",
@@ -523,16 +556,51 @@ Q["q10_advisory_worklist"] = lambda spark, d: serving.advisory_worklist(_safe(sp
     *KEY, "finding_id", "risk_score", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("q11_advisory_merge")
+def _stored(spark, d):
+    """The folder of a findings table: a first version of all scans with the lowest findings only, one that was never committed, then
+    the findings as they are. The corpus is scanned once, what is stored is read after that."""
+    folder = corpus.shared_folder(spark)
+    serving.write_findings(_safe(spark, d), f"{folder}/scanned")
+    safe = serving.read_findings(spark, f"{folder}/scanned")
+    serving.write_findings(safe.filter("severity = 'LOW'"), f"{folder}/findings", safe)
+    stores.prepare(safe.filter("severity = 'MEDIUM'"), f"{folder}/findings", safe)
+    serving.write_findings(safe, f"{folder}/findings", safe)
+    return f"{folder}/findings"
+
+
+@query("s11_findings_store")
+def _(spark, d):
+    """Findings after they were written, written again and read back."""
+    return serving.read_findings(spark, _stored(spark, d)).select(*KEY, "finding_id", "masked_secret", "risk_score", "severity", "ai_analysis_status")
+
+
+@query("s11_findings_of_scan_store")
+def _(spark, d):
+    """One scan of the stored findings; only its partition is read."""
+    return serving.read_findings(spark, _stored(spark, d), "scan-3").select(*KEY, "finding_id", "secret_type", "risk_score", "severity")
+
+
+@query("s12_scan_store")
 def _(spark, d):
-    """Answers for every work-list finding put back onto all findings."""
-    safe = _safe(spark, d)
-    answers = serving.advisory_worklist(safe).select("finding_id", F.concat(
+    """Scan rows after all were written as running and the finished ones once more."""
+    folder = f"{corpus.shared_folder(spark)}/scans"
+    scans = _scans(spark, d).drop("languages", *P.COMPARED)
+    serving.write_scans(runs(spark, d).withColumn("status", F.lit("running")), folder)
+    serving.write_scans(scans, folder)
+    return serving.read_scans(spark, folder).select(*SCAN_COLUMNS)
+
+
+def _advised(spark, d):
+    """Stored findings after the answers for every work-list finding were put back onto them."""
+    folder = _stored(spark, d)
+    answers = serving.advisory_worklist(serving.read_findings(spark, folder)).select("finding_id", F.concat(
         F.lit("EXPLANATION: "), F.col("secret_type"), F.lit("\nREMEDIATION: rotate")).alias("response"))
-    return serving.merge_advisories(safe, serving.split_response(answers)).select(
-        "finding_id", "ai_explanation", "ai_remediation", "ai_impact", "ai_analysis_status")
+    serving.store_advisories(spark, answers, folder)
+    return serving.read_findings(spark, folder)
 
 
+Q["q11_advisory_merge"] = lambda spark, d: _advised(spark, d).select(
+    "finding_id", "ai_explanation", "ai_remediation", "ai_impact", "ai_analysis_status")
 Q["q12_report_header"] = lambda spark, d: serving.report_header(_scans(spark, d))
 Q["s13_audit_events"] = lambda spark, d: serving.audit_events(_scans(spark, d)).select("action", "scan_id", "details")
 Q["s13_audit_counts"] = lambda spark, d: serving.audit_counts(corpus.read(spark, d, "events").select(

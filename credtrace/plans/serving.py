@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from credtrace.functions import catalog as C
 from credtrace.functions import text as T
+from credtrace.plans import stores
 
 ADVISORY_FIELDS = ["explanation", "impact", "remediation", "confidence_assessment", "executive_summary"]
 ARROW = " → "
@@ -25,11 +26,11 @@ def _safe_columns() -> list[Column]:
         n["snippet"].alias("code_snippet")))
     return [
         F.col("scan_id"), F.col("repository"), F.col("finding_id"), F.col("secret_type"), F.col("file_path"),
-        F.col("line_number"), F.col("code_context"), T.mask(F.col("secret")).alias("masked_secret"),
+        F.col("line_number"), F.col("code_context"), T.mask_value(F.col("secret"), F.col("extent")).alias("masked_secret"),
         F.col("methods").alias("detection_methods"), F.col("confidence"),
         F.bround("entropy_score", 3).alias("entropy_score"), F.col("status").alias("reconstruction_status"),
         F.coalesce(fragments, F.array()).alias("fragments"),
-        F.coalesce(T.mask(F.col("rebuilt_value")), F.lit("")).alias("reconstructed_value_masked"),
+        F.coalesce(T.mask_value(F.col("rebuilt_value"), F.col("rebuilt_extent")), F.lit("")).alias("reconstructed_value_masked"),
         F.coalesce("path", F.array()).alias("propagation_path"),
         F.when(F.col("nodes").isNotNull(), F.struct(nodes.alias("nodes"), edges.alias("edges")))
         .alias("propagation_graph"),
@@ -41,6 +42,10 @@ def _safe_columns() -> list[Column]:
             "severity", "explanation").alias("risk_breakdown"), F.col("severity"), F.col("ord")]
 
 
+def safe_columns() -> list[Column]:
+    return _safe_columns()
+
+
 def safe(scored: DataFrame) -> DataFrame:
     """Findings without raw values: the only form that may be written or shown."""
     return scored.select(*_safe_columns())
@@ -105,11 +110,9 @@ def merge_advisories(findings: DataFrame, sections: DataFrame) -> DataFrame:
 
 # ---- scans ----
 
-def scans(summary: DataFrame, counts: DataFrame, runs: DataFrame) -> DataFrame:
+def scans(figures: DataFrame, runs: DataFrame) -> DataFrame:
     """One row per scan from its figures and its run record (status, duration, created_at)."""
-    return (runs.join(summary, "scan_id").join(counts, "scan_id", "left")
-            .na.fill(0, ["candidates_found", "secrets_reconstructed"])
-            .withColumnRenamed("total_files", "files_scanned"))
+    return runs.join(figures, "scan_id").withColumnRenamed("total_files", "files_scanned")
 
 
 def list_scans(scan_table: DataFrame) -> DataFrame:
@@ -216,66 +219,61 @@ def report_rows(findings: DataFrame) -> DataFrame:
 
 # ---- sinks ----
 
-def _write_by_scan(rows: DataFrame, path: str) -> None:
-    """Replace the partitions of the scans that occur in the rows. Rows are gathered by scan first, a huge one split."""
-    (rows.hint("rebalance", "scan_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("scan_id").parquet(path))
+PENDING = {f"ai_{f}": "" for f in ADVISORY_FIELDS} | {"ai_analysis_status": "pending"}
 
 
 def write_findings(findings: DataFrame, path: str, covered: DataFrame | None = None) -> None:
-    """Write safe findings by scan; a scan written again replaces its own partition only.
+    """Commit safe findings by scan, their advisory texts pending; a scan written again replaces its own findings only.
 
-    ``covered`` has the scan_id of every scan that was run. Each leaves a row without a finding, so that a scan that finds
-    nothing any more clears what it found before; ``read_findings`` leaves these rows out.
+    ``covered`` has the scan_id of every scan that was run, so that one that finds nothing any more clears what it found before.
     """
-    leaked = {"secret", "rebuilt_value", "known"} & set(findings.columns)
+    leaked = {"secret", "rebuilt_value", "known", "extent", "rebuilt_extent"} & set(findings.columns)
     if leaked:
         raise ValueError(f"raw values must not be written: {sorted(leaked)}")
-    if covered is not None:
-        findings = findings.unionByName(covered.select("scan_id").distinct(), allowMissingColumns=True)
-    _write_by_scan(findings, path)
+    texts = {c: F.lit(v) for c, v in PENDING.items() if c not in findings.columns}
+    stores.write(findings.withColumns(texts), path, covered)
 
 
-def read_findings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).filter(F.col("finding_id").isNotNull())
+def read_findings(spark: SparkSession, path: str, scan_id: str | None = None) -> DataFrame:
+    return stores.read(spark, path, scan_id)
 
 
 def write_scans(scan_table: DataFrame, path: str) -> None:
-    _write_by_scan(scan_table, path)
+    stores.write(scan_table, path)
 
 
-def read_scans(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_scans(spark: SparkSession, path: str, scan_id: str | None = None) -> DataFrame:
+    return stores.read(spark, path, scan_id)
 
 
 def store_advisories(spark: SparkSession, responses: DataFrame, path: str) -> None:
-    """Put advisory responses (finding_id, response) onto the stored findings of their scans and write those scans back."""
-    stored = spark.read.parquet(path)
+    """Put advisory responses (finding_id, response) onto the stored findings of their scans, as a new version of these scans."""
+    stored = stores.read(spark, path)
     touched = stored.join(responses.select("finding_id"), "finding_id", "left_semi").select("scan_id").distinct()
-    rows = stored.drop(*[c for c in stored.columns if c.startswith("ai_")]).join(touched, "scan_id", "left_semi")
-    merged = merge_advisories(rows, split_response(responses))
-    _write_by_scan(merged, path)
+    rows = stored.join(touched, "scan_id", "left_semi")
+    texts = split_response(responses).select("finding_id", *[F.col(f).alias(f"new_{f}") for f in ADVISORY_FIELDS], F.lit("completed").alias("new_status"))
+    merged = rows.join(texts, "finding_id", "left").withColumns(
+        {f"ai_{f}": F.coalesce(f"new_{f}", f"ai_{f}") for f in ADVISORY_FIELDS} | {"ai_analysis_status": F.coalesce("new_status", "ai_analysis_status")})
+    stores.write(merged.select(*stored.columns), path)
 
 
 def audit_events(scan_table: DataFrame) -> DataFrame:
-    """A created event per scan and one for its end, with the error where it failed (column ``error``, if there is one)."""
-    error = F.coalesce(F.col("error"), F.lit("")) if "error" in scan_table.columns else F.lit("")
+    """A created event per scan and one for its completion; a failed scan carries its error on its own row (``scans``)."""
     created = scan_table.select(
-        F.lit("scan_created").alias("action"), "scan_id", F.concat(F.lit("Repository: "), F.col("repository")).alias("details"),
-        "created_at", F.lit("success").alias("status"), F.lit("").alias("error"))
+        F.lit("scan_created").alias("action"), "scan_id", F.concat(F.lit("Repository: "), F.col("repository")).alias("details"), "created_at")
     done = scan_table.filter(F.col("status") == "completed").select(
         F.lit("scan_completed").alias("action"), "scan_id",
-        F.concat(F.lit("Found "), F.col("findings_count").cast("string"), F.lit(" findings")).alias("details"),
-        "created_at", F.lit("success").alias("status"), F.lit("").alias("error"))
-    failed = scan_table.filter(F.col("status") == "failed").select(
-        F.lit("scan_failed").alias("action"), "scan_id", F.lit("Scan failed").alias("details"), "created_at",
-        F.lit("failed").alias("status"), error.alias("error"))
-    return created.unionByName(done).unionByName(failed)
+        F.concat(F.lit("Found "), F.col("findings_count").cast("string"), F.lit(" findings")).alias("details"), "created_at")
+    return created.unionByName(done).withColumns({"status": F.lit("success")})
 
 
 def write_audit(events: DataFrame, path: str) -> None:
-    """Write events by scan. A retry replaces the events of its scans, so none is there twice."""
-    _write_by_scan(events, path)
+    """Commit events by scan. A retry replaces the events of its scans, so none is there twice."""
+    stores.write(events, path)
+
+
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    return stores.read(spark, path)
 
 
 def audit_counts(events: DataFrame) -> DataFrame:

@@ -5,8 +5,12 @@ files(scan_id, repository, file_path, language, size, line_count, content)
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
+import tempfile
+import uuid
+from collections.abc import Iterator
 
 import pandas as pd
 from pyarrow import fs
@@ -19,6 +23,17 @@ from credtrace.functions import catalog as C
 KEY = ["scan_id", "file_path"]
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one that ``spark.checkpoint.dir`` names; on a single machine without that setting a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", "")
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = os.path.join(tempfile.gettempdir(), "checkpoints")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def basename(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"([^/]*)$", 1))
 
@@ -71,14 +86,16 @@ def is_minified(content: Column) -> Column:
     return (n >= C.MINIFIED_MIN_LINES) & (average > C.MINIFIED_AVERAGE)
 
 
+def passes(max_line_count: int = C.MAX_LINE_COUNT, max_file_size: int = C.MAX_FILE_SIZE) -> Column:
+    return (within_size(F.col("size"), max_file_size) & ~is_minified(F.col("content")) & (F.col("line_count") <= max_line_count))
+
+
 def gate(files: DataFrame, max_line_count: int = C.MAX_LINE_COUNT, max_file_size: int = C.MAX_FILE_SIZE) -> DataFrame:
     """Drop what the scanner does not read: empty, oversized, minified or overlong files.
 
     For sources of files: what a scan reads from a tree. Text tables are taken as they are.
     """
-    return files.filter(within_size(F.col("size"), max_file_size)
-                        & ~is_minified(F.col("content"))
-                        & (F.col("line_count") <= max_line_count))
+    return files.filter(passes(max_line_count, max_file_size))
 
 
 def settled(table: DataFrame) -> DataFrame:
@@ -86,102 +103,128 @@ def settled(table: DataFrame) -> DataFrame:
     return table.select(F.explode_outer(F.array(F.struct("*"))).alias("row")).select("row.*")
 
 
-LISTING = "path string, name string, is_dir boolean, size long"
+LISTING = "path string, name string, is_dir boolean, size long, error string"
 READ_BYTES = 128 << 20
+#: Entries of a directory that are handed on together.
+ENTRIES = 10000
 
 
 def is_uri(root: str) -> bool:
     return re.match(r"^[A-Za-z][A-Za-z0-9+.-]*://", root) is not None
 
 
-def _mounted(directory: str) -> list[tuple]:
+def _mounted(directory: str) -> Iterator[tuple]:
     with os.scandir(directory) as entries:
-        return [(e.path, e.name, e.is_dir(follow_symlinks=False),
-                 0 if e.is_dir() or not os.path.exists(e.path) else e.stat().st_size) for e in entries]
+        for e in entries:
+            yield e.path, e.name, e.is_dir(follow_symlinks=False), 0 if e.is_dir() or not os.path.exists(e.path) else e.stat().st_size, None
 
 
-def _stored(system: fs.FileSystem, directory: str) -> list[tuple]:
-    return [(e.path, e.base_name, e.type == fs.FileType.Directory, e.size or 0)
-            for e in system.get_file_info(fs.FileSelector(directory))]
+def _stored(system: fs.FileSystem, directory: str) -> Iterator[tuple]:
+    for e in system.get_file_info(fs.FileSelector(directory)):
+        yield e.path, e.base_name, e.type == fs.FileType.Directory, e.size or 0, None
 
 
 def _lister(root: str):
-    """Entries of every directory in a batch; directories that cannot be read have none."""
+    """Entries of every directory in a batch, some at a time; a directory that cannot be read gives a row that says why."""
+    columns = ["path", "name", "is_dir", "size", "error"]
+
     def batches_of(batches):
         system = fs.FileSystem.from_uri(root)[0] if is_uri(root) else None
         for batch in batches:
             for directory in batch["path"]:
-                try:
-                    rows = _stored(system, directory) if system else _mounted(directory)
-                except OSError:
-                    continue
-                yield pd.DataFrame(rows, columns=["path", "name", "is_dir", "size"])
+                entries = _stored(system, directory) if system else _mounted(directory)
+                while True:
+                    rows, failed = [], None
+                    try:
+                        rows.extend(itertools.islice(entries, ENTRIES))
+                    except OSError as error:
+                        failed = (directory, os.path.basename(directory), False, 0, str(error))
+                    if rows:
+                        yield pd.DataFrame(rows, columns=columns)
+                    if failed:
+                        yield pd.DataFrame([failed], columns=columns)
+                    if failed or len(rows) < ENTRIES:
+                        break
     return batches_of
 
 
 def _reader(root: str):
-    """Bytes of every file in a batch, a few files at a time; files that cannot be read are left out."""
+    """Bytes of every file in a batch, a few files at a time; of a file that cannot be read why."""
     def one(system, path):
         try:
             with (system.open_input_file(path) if system else open(path, "rb")) as f:
-                return f.read()
-        except OSError:
-            return None
+                return f.read(), None
+        except OSError as error:
+            return None, str(error)
 
     def batches_of(batches):
         system = fs.FileSystem.from_uri(root)[0] if is_uri(root) else None
         for batch in batches:
             for start in range(0, len(batch), 32):
                 part = batch.iloc[start:start + 32].copy()
-                part["content"] = [one(system, path) for path in part["path"]]
-                yield part[part["content"].notna()]
+                found = [one(system, path) for path in part["path"]]
+                part["content"], part["error"] = [c for c, _ in found], [e for _, e in found]
+                yield part[["path", "length", "content", "error"]]
     return batches_of
 
 
+def _kept(rows: DataFrame, folder: str) -> DataFrame:
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 def _tree(spark: SparkSession, root: str, base: str, skip_dirs: list[str], max_file_size: int) -> DataFrame:
-    """Files of a tree, listed level by level on the executors, mounted or in a store.
+    """(path, length, content, error) of the files of a tree, listed level by level on the executors, mounted or in a store.
 
     Spark's own reader leaves out names that start with a dot or an underscore, and with them ``.env`` files and
     ``__init__.py``, and lists on the driver. Each round lists one level in parallel, so a directory that holds much of
-    the tree does not become one task; skipped directories are not entered, and only kept files are read, about
-    READ_BYTES to a partition.
+    the tree does not become one task, and writes it to the shared folder, so that no level is kept in memory or listed twice;
+    skipped directories are not entered, and only kept files are read, about READ_BYTES to a partition. What cannot be
+    listed or read has a row with its error and no content.
     """
     share_package(spark)
     cores = spark.sparkContext.defaultParallelism
     skip = [d.lower() for d in C.SKIP_DIRECTORIES + list(skip_dirs)]
-    frontier = spark.createDataFrame([(base,)], "path string")
-    levels = []
+    frontier, folder, levels = spark.createDataFrame([(base,)], "path string"), shared_folder(spark), 0
     while True:
-        level = frontier.repartition(cores).mapInPandas(_lister(root), LISTING).persist()
-        levels.append(level.filter(~F.col("is_dir") & F.col("size").between(1, max_file_size)))
+        level = _kept(frontier.repartition(cores).mapInPandas(_lister(root), LISTING), f"{folder}/level={levels}")
+        levels += 1
         frontier = level.filter(F.col("is_dir") & ~F.lower("name").isin(skip)).select("path")
         if frontier.isEmpty():
             break
-    files = levels[0]
-    for level in levels[1:]:
-        files = files.unionByName(level)
-    kept = files.filter(is_supported(F.col("path"))).select("path", F.col("size").alias("length"))
+    listed = spark.read.schema(LISTING).parquet(*[f"{folder}/level={k}" for k in range(levels)])
+    kept = listed.filter(F.col("error").isNull() & ~F.col("is_dir") & F.col("size").between(1, max_file_size) & is_supported(F.col("path"))).select(
+        "path", F.col("size").alias("length"))
     total = kept.agg(F.sum("length")).first()[0] or 0
-    return kept.repartition(max(cores, -(-total // READ_BYTES))).mapInPandas(_reader(root), "path string, length long, content binary")
+    read = kept.repartition(max(cores, -(-total // READ_BYTES))).mapInPandas(_reader(root), "path string, length long, content binary, error string")
+    return read.unionByName(listed.filter(F.col("error").isNotNull()).select("path", F.col("size").alias("length"), F.lit(None).cast("binary").alias("content"),
+                                                                             "error"))
 
 
-def scan_directory(spark: SparkSession, root: str, scan_id: str, repository: str,
-                   skip_dirs: list[str] = (), max_file_size: int = C.MAX_FILE_SIZE,
-                   max_line_count: int = C.MAX_LINE_COUNT) -> DataFrame:
-    """Every readable source file below ``root``; path and size tests run before any content is read.
+def scan_tree(spark: SparkSession, root: str, scan_id: str, repository: str, skip_dirs: list[str] = (),
+              max_file_size: int = C.MAX_FILE_SIZE, max_line_count: int = C.MAX_LINE_COUNT) -> DataFrame:
+    """Every file below ``root`` that is read, and with an ``error`` and no content every one, or directory, that could not be.
 
-    A plain path is a tree that every executor has mounted; a URI is read through Arrow's file systems. The limits hold
-    for this source only: scans take what it gives whole.
+    A plain path is a tree that every executor has mounted; a URI is read through Arrow's file systems. Path and size tests run
+    before any content is read. The limits hold for this source only: scans take what it gives whole.
     """
     base = (fs.FileSystem.from_uri(root)[1] if is_uri(root) else os.path.abspath(root)).rstrip("/")
     raw = _tree(spark, root, base, list(skip_dirs), max_file_size)
-    kept = raw.withColumn("file_path", F.substring(F.col("path"), len(base) + 2, 1 << 20)).filter(
-        is_supported(F.col("file_path")) & ~in_skipped_directory(F.col("file_path"), list(skip_dirs))
-        & ~is_binary(F.col("content")))
-    text = settled(kept.select("file_path", "length", decode_text(F.col("content")).alias("content")))
-    return gate(text.select(F.lit(scan_id).alias("scan_id"), F.lit(repository).alias("repository"), "file_path",
-                            language_of(F.col("file_path")).alias("language"), F.col("length").alias("size"),
-                            line_count(F.col("content")).alias("line_count"), "content"), max_line_count, max_file_size)
+    failed = F.col("error").isNotNull()
+    kept = raw.withColumn("file_path", F.substring(F.col("path"), len(base) + 2, 1 << 20)).filter(failed | (
+        is_supported(F.col("file_path")) & ~in_skipped_directory(F.col("file_path"), list(skip_dirs)) & ~is_binary(F.col("content"))))
+    text = settled(kept.select("file_path", "length", "error", decode_text(F.col("content")).alias("content")))
+    return text.select(F.lit(scan_id).alias("scan_id"), F.lit(repository).alias("repository"), "file_path",
+                       language_of(F.col("file_path")).alias("language"), F.col("length").alias("size"),
+                       line_count(F.col("content")).alias("line_count"), "content", "error").filter(
+        failed | passes(max_line_count, max_file_size))
+
+
+def scan_directory(spark: SparkSession, root: str, scan_id: str, repository: str,
+                   skip_dirs: list[str] = (), max_file_size: int = C.MAX_FILE_SIZE,
+                   max_line_count: int = C.MAX_LINE_COUNT) -> DataFrame:
+    """Every readable source file below ``root`` (see ``scan_tree``)."""
+    return scan_tree(spark, root, scan_id, repository, skip_dirs, max_file_size, max_line_count).filter(F.col("error").isNull()).drop("error")
 
 
 def as_files(table: DataFrame, scan_id: Column, repository: Column, file_path: Column, content: Column) -> DataFrame:
@@ -197,8 +240,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def dealt(rows: DataFrame) -> DataFrame:
-    """Short rows from which files are rendered, hashed over the shuffle partitions."""
-    return rows.repartition("c_custkey")
+    """Short rows from which files are rendered, hashed over the shuffle partitions. With a count they stay apart: without one
+    adaptive execution would fold them into a single partition, as the rows are short."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

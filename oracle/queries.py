@@ -115,6 +115,23 @@ ORACLE["r10_status_counts"] = query("SELECT kind, status, count(*) AS n FROM rec
 ORACLE["r11_fragments"] = query(
     "SELECT f.scan_id, f.file_path, r.target, row_number() OVER (PARTITION BY f.scan_id, f.file_path, f.stmt_no ORDER BY pos) - 1 AS pos, variable, "
     "coalesce(f.value, '') AS value, f.line, resolved::INT AS resolved FROM fragments f JOIN recons r USING (scan_id, file_path, stmt_no)", "fragments")
+# Values that double: their unit, how often it stands in them, and what is behind it.
+_KEY, _UNIT = "('AKIA' || upper(left(md5(n_name), 16)))", "(md5(n_name) || '!')"
+_LONG = " UNION ALL ".join(
+    f"SELECT '{stem}' || n_nationkey || '.py' AS file_path, '{target}' AS target, '{kind}' AS kind, {unit} AS unit, {times}::BIGINT AS times, '{tail}' AS tail, "
+    f"'{type_}' AS secret_type FROM nation"
+    for stem, target, kind, unit, times, tail, type_ in (
+        ("chain", "a1", "concat", _KEY, 2, "", "AWS Access Key"), ("chain", "a17", "concat", _KEY, 2 ** 17, "", "AWS Access Key"),
+        ("chain", "a40", "concat", _KEY, 2 ** 40, "", "AWS Access Key"), ("coded", "dec", "decode", _UNIT, 2 ** 15, "", "API Key"),
+        ("coded", "tail", "concat", _UNIT, 2 ** 15, "?", "API Key")))
+ORACLE["r3_r7_long_values"] = (
+    f"WITH v AS ({_LONG}), n AS (SELECT *, len(unit) * times + len(tail) AS length FROM v), "
+    "c AS (SELECT file_path, target, c, sum(k)::DOUBLE AS k FROM (SELECT file_path, target, unnest(string_split(unit, '')) AS c, times AS k FROM n "
+    "UNION ALL SELECT file_path, target, tail, 1 FROM n WHERE tail <> '') GROUP BY ALL), "
+    "e AS (SELECT file_path, target, -sum(k / length * log2(k / length)) AS entropy FROM c JOIN n USING (file_path, target) GROUP BY ALL) "
+    f"SELECT file_path, target, kind, 'FULL' AS status, length, round(entropy, 6) AS entropy, secret_type, (entropy >= {C.RECONSTRUCTED_MIN_ENTROPY})::INT AS is_secret, "
+    f"CASE WHEN entropy < {C.RECONSTRUCTED_MIN_ENTROPY} THEN 'low entropy' ELSE '' END AS reason, "
+    f"md5(left(repeat(unit, least(times, {C.MAX_FILE_SIZE} // len(unit) + 1)) || tail, {C.MAX_FILE_SIZE})) AS shown_md5 FROM n JOIN e USING (file_path, target)")
 ORACLE["r12_validation"] = query(
     f"SELECT {REBUILT}, (reason = '')::INT AS is_secret, round(confidence, 6) AS confidence, secret_type, reason FROM checked", "checked")
 
@@ -173,6 +190,13 @@ ORACLE["d4_d5_woven_edges"] = " UNION ALL ".join(
     f"{lit(src)} AS source, {lit(tgt)} AS target, {lit(edge)} AS edge, {lit(code)} AS snippet FROM customer"
     for i, (_n, line, v, op, src, tgt, edge, code) in enumerate(_EDGES, 1))
 
+ORACLE["d5_d6_nested_brackets"] = " UNION ALL ".join(
+    f"SELECT 'n' || c_custkey || '.py' AS file_path, {i} AS ord, {line}::BIGINT AS line, '{v}' AS variable, '{op}' AS operation, 'api_key' AS source, "
+    f"'{tgt}' AS target, '{edge}' AS edge FROM customer"
+    for i, (line, v, op, tgt, edge) in enumerate((
+        (2, "send(api_key)", "function_argument", "send()", "parameter_pass"), (2, "send(x=api_key)", "keyword_argument", "send(x=)", "parameter_pass"),
+        (3, "full", "concatenation", "full", "concatenation")), 1))
+
 # ---- findings ----
 ORACLE["j2_j3_findings_with_flow"] = query(
     "SELECT scan_id, file_path, method, secret, line_number, variable, coalesce(array_to_string(path, ' → '), '') AS path, "
@@ -258,6 +282,10 @@ ORACLE["q10_advisory_worklist"] = query(f"SELECT scan_id, file_path, finding_id,
 ORACLE["q11_advisory_merge"] = query(
     f"SELECT s.finding_id, CASE WHEN w.finding_id IS NULL THEN '' ELSE s.secret_type || chr(10) || 'REMEDIATION: rotate' END AS ai_explanation, CASE WHEN w.finding_id IS NULL THEN '' ELSE 'rotate' END AS ai_remediation, "
     f"'' AS ai_impact, CASE WHEN w.finding_id IS NULL THEN 'pending' ELSE 'completed' END AS ai_analysis_status FROM (SELECT *, {ID} FROM scored) s LEFT JOIN ({WORKLIST}) w USING (finding_id)", "scored")
+ORACLE["s11_findings_store"] = query(
+    f"SELECT scan_id, file_path, {ID}, {O.mask('secret')} AS masked_secret, risk_score, severity, 'pending' AS ai_analysis_status FROM scored", "scored")
+ORACLE["s11_findings_of_scan_store"] = ORACLE["q3_findings_of_scan"]
+ORACLE["s12_scan_store"] = query(f"SELECT {SCAN} FROM scans", "scans")
 ORACLE["q12_report_header"] = query(
     "SELECT scan_id, repository, status, findings_count AS total_findings, printf('%.1f/100', risk_score) AS average_risk_score, files_scanned, total_lines AS lines_analyzed, "
     "CASE WHEN scan_duration > 0 THEN printf('%.2fs', scan_duration + 1e-9) ELSE 'N/A' END AS scan_duration, secrets_reconstructed, critical, high, medium, low FROM scans", "scans")

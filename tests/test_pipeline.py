@@ -2,13 +2,14 @@
 
 import ast
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from credtrace.functions import catalog as C
 from credtrace.functions import text as T
-from credtrace.operators import findings
+from credtrace.operators import dataflow as D
 from credtrace.plans import pipeline as P
 from credtrace.plans import serving
 from tests.cases import CASES, frame
@@ -121,7 +122,7 @@ def test_rewrite_replaces_only_its_scan(spark, scored, tmp_path):
     other = safe.withColumn("scan_id", F.lit("other")).limit(3)
     serving.write_findings(other, target)
     serving.write_findings(other, target)
-    counts = {r["scan_id"]: r["count"] for r in spark.read.parquet(target).groupBy("scan_id").count().collect()}
+    counts = {r["scan_id"]: r["count"] for r in serving.read_findings(spark, target).groupBy("scan_id").count().collect()}
     assert counts == {"s": safe.count(), "other": 3}
 
 
@@ -144,10 +145,52 @@ def test_advisory_sections(spark):
     assert rows["b"].explanation == "no headings here" and rows["b"].impact == ""
 
 
-def test_scan_is_one_shuffle(spark):
-    """Only findings are shuffled: a single exchange between the file scan and the scored findings."""
+def test_scan_shuffles_nothing(spark):
+    """Findings are merged in the row of their file: no exchange between the file scan and the scored findings."""
     plan = P.full_scan(frame(spark))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+    assert "Exchange hashpartitioning" not in plan
+
+
+def test_figures_are_one_pass(spark):
+    """The figures of scans come from one scan of the files, and two small exchanges of counters."""
+    for rows in (P.scan_figures(frame(spark)), P.ablation(frame(spark))):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and plan.count("Scan ExistingRDD") == 1 and plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_figures_against_the_findings(spark, scored):
+    files = frame(spark)
+    row = P.scan_figures(files).first().asDict()
+    want = P.scan_summary(files, scored).first().asDict() | P.stage_counts(files).first().asDict()
+    assert {k: row[k] for k in want} == want
+    compared = P.compare_scans(scored, P.baseline_scan(files)).first().asDict()
+    assert P.ablation(files).first().asDict() == compared
+
+
+def many_seeds(n):
+    """A file with n secrets, each with an alias and a call."""
+    lines = [x for k in range(n) for x in (f'api_key_{k} = "k3Jd92mxQp01LsTz7Bv{k + 45678}"', f"alias_{k} = api_key_{k}", f"send(alias_{k})")]
+    return "\n".join(lines)
+
+
+def test_seeds_of_a_file_are_followed_in_one_pass():
+    """Time for each seed stays flat from a thousand to ten thousand seeds in a file."""
+    spent = {}
+    for n in (1000, 10000):
+        facts = [x for k in range(n) for x in ((3 * k + 2, [f"s{k}"], [f"a{k}"]), (3 * k + 3, [f"a{k}"], []))]
+        started = time.time()
+        hits, tainted = D.spread(facts, [(f"s{k}", 0) for k in range(n)])
+        spent[n] = (time.time() - started) / n
+        assert all(len(h) == 2 for h in hits) and tainted[5] == {"s5": 0, "a5": 17}
+    assert spent[10000] < 3 * spent[1000]
+
+
+def test_many_seeds_in_a_file(spark):
+    rows = P.analysed(frame(spark, {"many.py": many_seeds(600)})).select(F.explode("flows").alias("x")).select("x.variable", "x.nodes", "x.sink").collect()
+    assert len(rows) == 600
+    for r in rows:
+        k = r.variable.removeprefix("api_key_")
+        assert [n.variable for n in r.nodes] == [f"api_key_{k}", f"alias_{k}", f"send(alias_{k})"]
 
 
 def brute_force_path(source: str, seed: str) -> list[str]:

@@ -1,7 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from credtrace.operators import detect
-from credtrace.plans import pipeline, queries, serving
+from credtrace.plans import pipeline, queries, serving, stores
 from tests.cases import frame
 
 SF = "/root/testdata/sf0.001"
@@ -17,17 +18,40 @@ def test_scan_rows_are_replaced_one_by_one(spark, tmp_path):
     scans, target = _scans(spark), str(tmp_path / "scans")
     serving.write_scans(scans, target)
     serving.write_scans(scans.filter("scan_id = 'scan-3'").withColumn("findings_count", F.lit(9)), target)
-    stored = {r.scan_id: r.findings_count for r in spark.read.parquet(target).collect()}
+    stored = {r.scan_id: r.findings_count for r in serving.read_scans(spark, target).collect()}
     assert len(stored) == scans.count() and stored["scan-3"] == 9 and stored["scan-4"] == 1
 
 
 def test_audit_is_not_doubled_by_a_retry(spark, tmp_path):
-    events, target = serving.audit_events(_scans(spark).withColumn("error", F.lit("disk full"))), str(tmp_path / "audit")
+    events, target = serving.audit_events(_scans(spark)), str(tmp_path / "audit")
     serving.write_audit(events, target)
     serving.write_audit(events.filter("scan_id = 'scan-3'"), target)
-    stored = spark.read.parquet(target)
-    assert {r.action: r.n for r in serving.audit_counts(stored).collect()} == {"scan_created": 25, "scan_completed": 22, "scan_failed": 3}
-    assert {(r.status, r.error) for r in stored.filter("action = 'scan_failed'").collect()} == {("failed", "disk full")}
+    assert {r.action: r.n for r in serving.audit_counts(serving.read_audit(spark, target)).collect()} == {"scan_created": 25, "scan_completed": 22}
+
+
+def test_a_write_that_ends_half_way_is_not_seen(spark, tmp_path):
+    target, scans = str(tmp_path / "scans"), _scans(spark)
+    with pytest.raises(FileNotFoundError):
+        serving.read_scans(spark, target)
+    serving.write_scans(scans, target)
+    fails = F.udf(lambda x: 1 // (x - x), "int")
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        serving.write_scans(scans.withColumn("findings_count", fails("findings_count")), target)
+    prepared = stores.prepare(scans.withColumn("findings_count", F.lit(7)), target)  # killed between its rows and its commit
+    assert {r.findings_count for r in serving.read_scans(spark, target).collect()} == {1}
+    stores.commit(spark, target, prepared)
+    assert {r.findings_count for r in serving.read_scans(spark, target).collect()} == {7}
+    assert stores.discard_superseded(spark, target) == 1 and serving.read_scans(spark, target).count() == 25
+
+
+def test_one_scan_is_read_from_its_partition(spark, tmp_path):
+    target = str(tmp_path / "scans")
+    scans = _scans(spark).withColumn("scan_id", F.format_string("%03d", F.substring("scan_id", 6, 9).cast("int")))
+    serving.write_scans(scans, target)
+    one = serving.read_scans(spark, target, "007")
+    assert [(r.scan_id, r.repository) for r in one.collect()] == [("007", "NATION_7")]
+    assert "PartitionFilters: [isnotnull(scan" in one._jdf.queryExecution().executedPlan().toString()
+    assert serving.read_scans(spark, target, "none").count() == 0
 
 
 def _findings(spark, text):
