@@ -84,6 +84,19 @@ def covered(intervals: Column) -> Column:
         (a["n"] + F.greatest(F.lit(0), x["start"] + x["span"] - F.greatest(a["end"], x["start"]))).alias("n")))["n"]
 
 
+def hits_of(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """(of_doc, of_text, places, item_ids) of the documents that hold a window; rows with equal id and text are one."""
+    short = [r[0] for r in items.where(F.size("w") < window).select(F.size("w")).distinct().collect()]
+    spans = [hits_of_span(docs, items.where(F.size("w") >= window), window)]
+    spans += [hits_of_span(docs, items.where(F.size("w") == n), n) for n in sorted(short)]
+    return reduce(DataFrame.unionByName, spans).groupBy("of_doc", "of_text").agg(
+        F.collect_set(F.struct("start", "span")).alias("places"), F.collect_set("item_id").alias("item_ids"))
+
+
+def items_of(bench: DataFrame) -> DataFrame:
+    return bench.select("item_id", item_words(F.col("text")).alias("w")).where(F.size("w") > 0)
+
+
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids.
 
@@ -95,13 +108,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> Da
     as an item; repeated items count once and repeated documents each get their row; no rows on either side give no
     hits; further columns are ignored.
     """
-    items = bench.select("item_id", item_words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    short = [r[0] for r in items.where(F.size("w") < window).select(F.size("w")).distinct().collect()]
     docs = docs.select("doc_id", "text")
-    spans = [hits_of_span(docs, items.where(F.size("w") >= window), window)]
-    spans += [hits_of_span(docs, items.where(F.size("w") == n), n) for n in sorted(short)]
-    hits = reduce(DataFrame.unionByName, spans).groupBy("of_doc", "of_text").agg(
-        F.collect_set(F.struct("start", "span")).alias("places"), F.collect_set("item_id").alias("item_ids"))
+    hits = hits_of(docs, items_of(bench), window)
     base = docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), F.size(item_words(F.col("text"))).alias("n_words"))
     ids = F.sort_array(F.transform(F.coalesce("item_ids", F.array().cast("array<bigint>")), lambda x: x.cast("string")))
     return base.join(hits, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_text")), "left").select(
@@ -113,8 +121,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> Da
 
 def clean(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that hold no window of the benchmark, columns unchanged. Rows with equal id and text go together."""
-    found = decontaminate(docs, bench, window).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    found = hits_of(docs.select("doc_id", "text"), items_of(bench), window).select("of_doc", "of_text")
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (text_hash(F.col("text")) == F.col("of_text")), "left_anti")
 
 
 SQL = f"""
