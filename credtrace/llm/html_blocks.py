@@ -11,15 +11,15 @@ _ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 _NAME_PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 
-#: Characters below which a page counts as emptied by names.
-SCANT = 140
-
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object canvas audio video select xmp noframes".split())
+#: Elements whose content is no markup: all up to their end tag, or to the end of the page, is passed over.
+RAW = frozenset("script style noscript template iframe textarea title xmp noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CONTAINERS = frozenset("html body main article section div td th blockquote figure details center".split())
 #: Elements that are never part of an article.
 OUTSIDE = frozenset("nav footer aside form button fieldset menu dialog head".split())
+#: Embedded content: not part of an article either. One that is left open ends where a block of the page begins.
+EMBEDDED = frozenset("svg math object canvas audio video select".split())
 #: Words of class, id and role values that name what is not the article.
 OUTSIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adv sponsor sponsored sponsors promo promos promotion promoted banner "
@@ -43,6 +43,7 @@ class Element:
     named: bool
     container: int
     last: int = -1
+    wraps: bool = False
 
 
 @dataclass
@@ -72,16 +73,18 @@ def names_outside(attributes: str, in_article: bool) -> bool:
 def read(page: str) -> tuple[list[Element], list[Block]]:
     """Elements in page order and the blocks of text that are not in an outside element.
 
-    Where the names leave next to nothing, they name the page's own frame: it is read by its tags alone.
+    An element that is named like something outside the article, but holds a main or article element, is the frame of the page
+    and not what its name says.
     """
-    elements, blocks, unnamed = parse(page, True)
-    if unnamed >= SCANT > sum(len(b.text) for b in blocks):
-        elements, blocks, _ = parse(page, False)
-    return elements, blocks
+    elements, blocks = parse(page)
+    gone = [False] * len(elements)
+    for k, e in enumerate(elements[1:], 1):
+        gone[k] = gone[e.parent] or (e.named and not e.wraps)
+    return elements, [b for b in blocks if not gone[b.element]]
 
 
-def parse(page: str, by_name: bool) -> tuple[list[Element], list[Block], int]:
-    """Elements, blocks and the characters that are left out for a name alone.
+def parse(page: str) -> tuple[list[Element], list[Block]]:
+    """Elements, and blocks that are not in an element that is outside by its tag.
 
     A block ends at every tag that is not inline. Unclosed paragraphs, list items and cells end where the next begins, and
     stray end tags are passed over. A path is a number for the sequence of tags from the root; inline tags are not part
@@ -89,7 +92,7 @@ def parse(page: str, by_name: bool) -> tuple[list[Element], list[Block], int]:
     """
     elements, blocks, paths = [Element("#", 0, -1, False, False, 0)], [], {}
     stack, open_tags, block, links = [0], {}, None, 0
-    at, size, unnamed = 0, len(page), 0
+    at, size = 0, len(page)
 
     def close_to(depth: int) -> None:
         nonlocal links
@@ -100,10 +103,8 @@ def parse(page: str, by_name: bool) -> tuple[list[Element], list[Block], int]:
             links -= element.tag == "a"
 
     def text(piece: str) -> None:
-        nonlocal block, unnamed
+        nonlocal block
         top = elements[stack[-1]]
-        if piece and top.outside and top.named:
-            unnamed += len(piece.strip())
         if piece and not top.outside:
             if block is None:
                 if piece.isspace():
@@ -140,6 +141,8 @@ def parse(page: str, by_name: bool) -> tuple[list[Element], list[Block], int]:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else size
             continue
+        if tag in _CLOSES_P and any(open_tags.get(x) for x in EMBEDDED):
+            close_to(min(k for k, n in enumerate(stack) if elements[n].tag in EMBEDDED))
         if tag in _CLOSES_P and open_tags.get("p"):
             depth = len(stack) - 1
             while elements[stack[depth]].tag not in CONTAINERS | {"p", "#"}:
@@ -157,11 +160,13 @@ def parse(page: str, by_name: bool) -> tuple[list[Element], list[Block], int]:
         parent = elements[stack[-1]]
         path = parent.path if tag in INLINE else paths.setdefault((parent.path, tag), len(paths) + 1)
         in_article = bool(open_tags.get("article") or open_tags.get("main"))
-        outside = parent.outside or tag in OUTSIDE or (tag == "header" and not in_article)
-        named = by_name and not outside and tag not in ("html", "body", "main", "article") and names_outside(m.group(3), in_article)
+        outside = parent.outside or tag in OUTSIDE or tag in EMBEDDED or (tag == "header" and not in_article)
+        named = not outside and tag not in ("html", "body", "main", "article") and names_outside(m.group(3), in_article)
+        if tag in ("main", "article") and not outside:
+            for k in stack:
+                elements[k].wraps = True
         number = len(elements)
-        elements.append(Element(tag, path, stack[-1], outside or named, named or (parent.named and tag not in OUTSIDE),
-                                number if tag in CONTAINERS else parent.container))
+        elements.append(Element(tag, path, stack[-1], outside, named, number if tag in CONTAINERS else parent.container))
         open_tags[tag] = open_tags.get(tag, 0) + 1
         links += tag == "a"
         stack.append(number)
@@ -171,4 +176,4 @@ def parse(page: str, by_name: bool) -> tuple[list[Element], list[Block], int]:
     elements[0].last = len(elements) - 1
     for b in blocks:
         b.text = " ".join(html.unescape("".join(b.parts)).split())
-    return elements, [b for b in blocks if b.text], unnamed
+    return elements, [b for b in blocks if b.text]
