@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credtrace.functions.text import bind
-from credtrace.llm.common import text_hash
+from credtrace.llm.common import text_hash, written
 
 # Notices as their licences ask for them.
 TEMPLATES = (
@@ -170,12 +170,15 @@ def statements(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATE
                         F.transform(blocks(lines), lambda b, k: unit(-2 - k, b["first"], b["end"], F.array_join(
                             F.slice(lines, b["first"] + 1, b["end"] - b["first"]), " "))))
 
-    found = docs.select("doc_id", "text", tokens(F.col("text")).alias("all")).where(may_match(F.col("all")) | may_be_text(F.col("all"))).select(
+    # The texts are read once: what may match is written with what it may match, then scored against both vocabularies.
+    units_of = docs.select("doc_id", "text", tokens(F.col("text")).alias("all")).where(may_match(F.col("all")) | may_be_text(F.col("all"))).select(
         F.col("doc_id").alias("of_doc"), text_hash(F.col("text")).alias("of_text"), F.size("all").alias("doc_tokens"),
         F.explode(bind(F.split("text", "\n"), units)).alias("u")).select(
         "of_doc", "of_text", "doc_tokens", "u.unit", "u.first", "u.end", tokens(F.col("u.body")).alias("tokens"))
-    noticed = scored(found.where(may_match(F.col("tokens"))).distinct(), rows, idf, unknown, threshold, False)
-    full = scored(found.where((F.col("unit") < 0) & may_be_text(F.col("tokens"))).distinct(), text_rows, text_idf, text_unknown, threshold, True)
+    found = written(units_of.withColumns({"notice": may_match(F.col("tokens")), "full": (F.col("unit") < 0) & may_be_text(F.col("tokens"))}).where(
+        "notice OR full"))
+    noticed = scored(found.where("notice").drop("notice", "full").distinct(), rows, idf, unknown, threshold, False)
+    full = scored(found.where("full").drop("notice", "full").distinct(), text_rows, text_idf, text_unknown, threshold, True)
     return noticed.withColumn("rank", F.lit(0)).unionByName(full.withColumn("rank", F.when(F.col("unit") == -1, 2).otherwise(1)))
 
 
