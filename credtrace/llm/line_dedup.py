@@ -11,7 +11,8 @@ from credtrace.functions.text import bind
 from credtrace.llm.common import text_hash, written
 from credtrace.llm.lines import line_rows
 
-MIN_SITES, MIN_WORDS, LG_K = 10, 3, 11
+#: Sites that make a line boilerplate: above the 2 to 3 of plain copies, so that a hot source, whose copies are one site, hides none.
+MIN_SITES, MIN_WORDS, LG_K = 4, 3, 11
 
 
 def spread(lines: DataFrame, min_sites: int, lg_k: int = LG_K) -> DataFrame:
@@ -40,13 +41,13 @@ def gone_mask(indices: Column) -> Column:
 
 
 def dedupe(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS,
-           lg_k: int = LG_K) -> DataFrame:
+           lg_k: int = LG_K, count: str | None = "n_removed") -> DataFrame:
     """The documents without their cross-site boilerplate.
 
     Lines are compared in lower case with white space collapsed. A line of at least ``min_words`` words that at least
     ``min_sites`` sites hold is removed everywhere but in the document with the smallest doc_id, so no content is lost
     altogether. Every document keeps its row and columns; ``text`` (and ``n_chars``, where it is a column) change, and
-    ``n_removed`` counts the removed lines.
+    the column ``count`` has the number of removed lines, in place of a column of that name; with None there is no count.
 
     Null text stays null; a null site is a site of its own; null doc_ids never hold a line's kept copy unless all do (and
     then all lose it); repeated rows are treated alike; a document all of whose lines go keeps an empty text; no rows
@@ -67,7 +68,9 @@ def dedupe(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, mi
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(
             F.length("__text").cast(docs.schema["n_chars"].dataType))
-    return joined.select(*[v.alias(c) for c, v in columns.items()], F.coalesce(F.size("__gone"), F.lit(0)).alias("n_removed"))
+    if count is not None:
+        columns[count] = F.coalesce(F.size("__gone"), F.lit(0))
+    return joined.select(*[v.alias(c) for c, v in columns.items()])
 
 
 SQL = f"""
