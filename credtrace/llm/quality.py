@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credtrace.functions.text import bind
-from credtrace.llm.common import WS, text_hash, words
+from credtrace.llm.common import WS, text_hash, words, written
 from credtrace.llm.lines import line_rows
 
 MIN_WORDS, MAX_REPEAT_PERCENT, MAX_REMOVED_PERCENT = 50, 50, 50
-#: A line is boilerplate in a host when more documents than this have it, and more than this share of the host.
-MIN_DOCS, MAX_DOCS_PERCENT = 10, 2
+#: A line is boilerplate in a host when more documents than this have it, and more than this share of the host. The share is 0:
+#: what is boilerplate does not depend on how large its host is.
+MIN_DOCS, MAX_DOCS_PERCENT = 3, 0
 
 
 def repeated_words(w: Column) -> Column:
@@ -46,6 +47,8 @@ def measures(text: Column) -> Column:
 def boilerplate(lines: DataFrame, docs: DataFrame, host: str, min_docs: int, max_docs_percent: int) -> DataFrame:
     """(host, hash) of the lines above the limits. Counts combine before the shuffle, however common a line or host is."""
     counts = lines.groupBy("host", "hash").agg(F.sum("first").alias("n_docs")).where(F.col("n_docs") > min_docs)
+    if not max_docs_percent:
+        return counts.select(F.col("host").alias("of_host"), F.col("hash").alias("of_hash"))
     sizes = docs.groupBy(F.col(host).alias("of_host")).agg(F.count(F.lit(1)).alias("host_docs"))
     return counts.join(sizes, F.col("host").eqNullSafe(F.col("of_host"))).where(
         F.col("n_docs") * 100 > F.col("host_docs") * max_docs_percent).select(
@@ -61,13 +64,14 @@ def judge(docs: DataFrame, host: str = "source", min_words: int = MIN_WORDS, max
     them in repeated windows. Lines that more than ``min_docs`` documents and ``max_docs_percent`` % of a host share are
     removed; a document that loses more than ``max_removed_percent`` % of its words so is rejected as depleted.
 
-    Texts stay where they are scanned: only line hashes are shuffled, and a very common line is split by the skew join.
+    Texts stay where they are scanned: only line hashes are shuffled, made once and written to the shared folder, and a very
+    common line is split by the skew join.
 
     Null text counts as no words; a null host is a host of its own; repeated rows are documents of their own in counts
     and each gets its row; no rows give no rows; further columns are ignored. Output: doc_id, n_words, word_chars,
     n_symbols, n_dup_lines, n_repeat_words, removed_words, base_failed, kept.
     """
-    lines = line_rows(docs, host)
+    lines = written(line_rows(docs, host))
     common = boilerplate(lines, docs, host, min_docs, max_docs_percent)
     hits = lines.join(common, F.col("host").eqNullSafe(F.col("of_host")) & (F.col("hash") == F.col("of_hash")))
     removed = hits.groupBy(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text"), F.col("host").alias("in_host")).agg(
