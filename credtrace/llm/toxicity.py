@@ -110,15 +110,34 @@ def fitted(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, truth: np.
     share = (weight * truth).sum() / weight.sum()
     w[n] = np.log(share / (1 - share))
     weight = weight / weight.sum()
+    parts = [slice(k, k + (1 << 18)) for k in range(0, len(rows), 1 << 18)]  # so that no step holds a second copy of all
     for t in range(1, steps + 1):
-        z = np.bincount(rows, values * w[columns], minlength=len(truth)) + w[n]
+        z = w[n] + sum((np.bincount(rows[p], values[p] * w[columns[p]], minlength=len(truth)) for p in parts), np.zeros(len(truth)))
         error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - truth) * weight
-        step = np.append(np.bincount(columns, values * error[rows], minlength=n) + penalty * w[:n], error.sum())
+        slope = sum((np.bincount(columns[p], values[p] * error[rows[p]], minlength=n) for p in parts), np.zeros(n))
+        step = np.append(slope + penalty * w[:n], error.sum())
         slow, fast = 0.9 * slow + 0.1 * step, 0.99 * fast + 0.01 * step * step
         w -= rate * (slow / (1 - 0.9 ** t)) / (np.sqrt(fast / (1 - 0.99 ** t)) + 1e-8)
     return w[:n], float(w[n])
 
 
+def numbered(sets: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(grams, places, starts): the n-grams that two sets or more hold, sorted; for all sets behind one another the place of each
+    n-gram among these or -1; where each set starts. Sets are looked at one by one, so little beside the places is held."""
+    views = lambda: (np.frombuffer(x.as_buffer(), np.int64) for x in sets)
+    starts = np.cumsum([0] + [len(v) for v in views()])
+    flat = np.concatenate([np.empty(0, np.int64), *views()])
+    flat.sort()
+    same = flat[1:] == flat[:-1]
+    grams = np.unique(flat[1:][same])
+    del flat, same
+    places = np.empty(starts[-1], np.int32)
+    for at, v in zip(starts, views()):
+        found = np.minimum(np.searchsorted(grams, v), max(len(grams) - 1, 0))
+        places[at: at + len(v)] = np.where(grams[found] == v, found, -1) if len(grams) else -1
+    return grams, places, starts
+
+
 def train(docs: DataFrame, labels: DataFrame, features: int = FEATURES, sample: int = SAMPLE) -> Model:
     """Ratios and features from all labelled documents, weights from up to ``sample`` of them a class.
 
@@ -141,21 +160,20 @@ def train(docs: DataFrame, labels: DataFrame, features: int = FEATURES, sample:
             found = [present(t.as_py() or "", shared.value).tobytes() for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(found, pa.binary())], ["doc_id", "toxic", "grams"])
 
-    picked = docs.join(F.broadcast(taken[0].unionByName(taken[1])), "doc_id").select("doc_id", "toxic", "text").mapInArrow(
-        batch, "doc_id long, toxic int, grams binary").toArrow().sort_by([("doc_id", "ascending"), ("grams", "ascending")])
-    sets = [np.frombuffer(g.as_py(), np.int64) for g in picked.column("grams")]
+    # Of documents that share an id one text is fitted on, so the sample is bounded in rows as well.
+    chosen = docs.join(F.broadcast(taken[0].unionByName(taken[1])), "doc_id").groupBy("doc_id", "toxic").agg(
+        F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("t")).select("doc_id", "toxic", "t.text")
+    picked = chosen.mapInArrow(batch, "doc_id long, toxic int, grams binary").toArrow().sort_by([("doc_id", "ascending"), ("grams", "ascending")])
+    shared.destroy()
     classes = picked.column("toxic").to_numpy()
-    del picked
-    grams, columns, support = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rows = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
-    del sets
-    common = support >= 2
-    place = np.cumsum(common) - 1
-    keep = common[columns]
-    grams, scale = grams[common], ratio[grams[common] .view(np.uint64) >> np.uint64(64 - BITS)]
-    rows, columns = rows[keep], place[columns[keep]].astype(np.int32)
+    grams, place, starts = numbered(picked.column("grams"))
+    rows = np.repeat(np.arange(len(classes), dtype=np.int32), np.diff(starts))
+    keep = place >= 0
+    rows, columns = rows[keep], place[keep]
+    del picked, place, keep
+    scale = ratio[grams.view(np.uint64) >> np.uint64(64 - BITS)]
     weight = np.where(classes == 1, sizes[1] / max((classes == 1).sum(), 1), sizes[0] / max((classes == 0).sum(), 1))
-    weights, intercept = fitted(rows, columns, scale[columns], classes, weight, len(grams))
+    weights, intercept = fitted(rows, columns, scale.astype(np.float32)[columns], classes, weight, len(grams))
     return Model(marks, grams, weights * scale, intercept)
 
 
