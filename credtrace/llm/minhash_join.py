@@ -27,6 +27,8 @@ SYMBOLS = CHUNKS * WIDTH
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
 #: Bits of the bitmap that tells keys of one class from shared ones; 2 MB at any size of the corpus.
 MAP_BITS = 24
+#: Signatures of one side of a task, 200 bytes each. Fewer, larger tasks name a possible link less often.
+TASK_SIGNATURES = 2048
 _MULTIPLIERS = (mixed(np.arange(1, 2 * SYMBOLS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -227,10 +229,10 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
         wanted = named.join(tasks.select("cid").distinct(), "cid", "left_semi").select("cid", "first_doc", "n_shingles", "one", "two")
         return tasks.join(sets_of(docs, written(wanted), size), "cid").select(*columns, "hashes")
 
-    stars = written(possible(with_signatures(star_tasks(members)), percent))
+    stars = written(possible(with_signatures(star_tasks(members, TASK_SIGNATURES)), percent))
     found = written(confirmed(with_sets(star_tasks(stars.select(F.least("a", "b").alias("pivot"), F.greatest("a", "b").alias("cid")))), percent))
     labels = components(found)
-    edges = possible(with_signatures(pair_tasks(open_groups(members, labels))), percent)
+    edges = possible(with_signatures(pair_tasks(open_groups(members, labels), TASK_SIGNATURES)), percent)
     more = written(confirmed(with_sets(pair_tasks(clusters(edges, labels))), percent))
     if not more.isEmpty():
         labels = components(found.unionByName(more))

@@ -178,10 +178,10 @@ def parts(count, size: int):
 SALTS = 64
 
 
-def star_tasks(members: DataFrame) -> DataFrame:
+def star_tasks(members: DataFrame, size: int = TASK_SETS) -> DataFrame:
     """Every member of a group against the smallest member of the group, which stands in each part of a large group."""
     pairs = members.where("cid <> pivot").select("pivot", "cid").distinct()
-    large = pairs.groupBy("pivot").agg(parts(F.count(F.lit(1)), TASK_SETS).alias("n_parts")).where("n_parts > 1")
+    large = pairs.groupBy("pivot").agg(parts(F.count(F.lit(1)), size).alias("n_parts")).where("n_parts > 1")
     salted = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     placed = pairs.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS)).cast("int")).join(salted, ["pivot", "salt"], "left").select(
         F.col("pivot").alias("block"), "cid", F.pmod(F.xxhash64("cid", F.lit(1)), F.coalesce("n_parts", F.lit(1))).cast("int").alias("left"),
@@ -211,11 +211,11 @@ def open_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(chosen.select("key"), "key")
 
 
-def pair_tasks(named: DataFrame) -> DataFrame:
+def pair_tasks(named: DataFrame, size: int = TASK_SETS) -> DataFrame:
     """Tasks in which the open members of each group of (key, cid, label, open) meet the settled ones and each other, part
     by part; settled ones do not meet again."""
     sizes = named.groupBy("key").agg(F.sum(1 - F.col("open")).alias("n_settled"), F.sum("open").alias("n_open")).where("n_open > 0")
-    rows = named.join(sizes, "key").withColumns({"s": parts(F.col("n_settled"), TASK_SETS), "o": parts(F.col("n_open"), TASK_SETS)})
+    rows = named.join(sizes, "key").withColumns({"s": parts(F.col("n_settled"), size), "o": parts(F.col("n_open"), size)})
     mine = F.xxhash64("cid")
     every = lambda n: F.sequence(F.lit(0), n - 1)
     settled = rows.where("open = 0").select("key", "cid", "label", F.pmod(mine, F.col("s")).cast("int").alias("left"),
