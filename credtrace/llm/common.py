@@ -32,8 +32,16 @@ def text_hash(text: Column) -> Column:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder of the session (set to a local one only where it is unset)."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or os.path.join(tempfile.gettempdir(), "checkpoints")
+    """A new folder below the shared checkpoint folder of the session.
+
+    A single machine may do without that setting and use its own folder; a cluster may not, as its executors would not see
+    each other's files.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", "")
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = os.path.join(tempfile.gettempdir(), "checkpoints")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
