@@ -2,11 +2,14 @@
 
 import collections
 import hashlib
+import math
 import re
+import unicodedata
 import zlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from credtrace.llm import decontaminate, language_id, licences, line_dedup, mixing, ngram_join, quality, queries, toxicity
 from tests.llm.cases import awkward, docs, sentence
@@ -108,8 +111,21 @@ def test_decontamination(spark, table):
     got = decontaminate.decontaminate(table, items).drop("item_ids").collect()
     assert multiset(got) == multiset(expected_hits(awkward(), bench))
     assert decontaminate.decontaminate(table, items.limit(0)).where("contaminated").isEmpty()
-    kept = {r[0] for r in decontaminate.clean(table, items).select("doc_id").collect()}
-    assert kept == {r[0] for r in expected_hits(awkward(), bench) if not r[5]} - {r[0] for r in expected_hits(awkward(), bench) if r[5]}
+    kept = decontaminate.clean(table, items)
+    assert kept.columns == table.columns
+    assert multiset(kept.select("doc_id", "text").collect()) == multiset(
+        (i, text) for (i, text, *_), r in zip(awkward(), expected_hits(awkward(), bench)) if not r[5])
+
+
+def test_decontamination_keeps_clean_rows_that_share_an_id(spark):
+    import random
+    rng = random.Random(6)
+    item, clean = sentence(rng, 12), [sentence(rng, 20) for _ in range(4)]
+    rows = [(None, item, "en", "a"), (None, clean[0], "en", "a"), (None, None, "en", "a"), (6, item + " more", "en", "a"), (6, clean[1], "en", "b"),
+            (6, clean[1], "en", "b"), (7, clean[2], "en", "a"), (8, item, "en", "a")]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontaminate.clean(docs(spark, rows), items).select("doc_id", "text").collect()
+    assert multiset(kept) == multiset([(None, clean[0]), (None, None), (6, clean[1]), (6, clean[1]), (7, clean[2])])
 
 
 def test_winnowing_finds_every_span(spark):
@@ -139,7 +155,7 @@ def test_line_dedup(spark, table):
                     first[norm(line)] = min(i, first.get(norm(line), i))
     wanted = []
     for i, text, _, s in awkward():
-        lines = None if text is None else [x for x in text.split("\n") if len(norm(x).split()) < 3 or len(sites[norm(x)]) < 10 or (
+        lines = None if text is None else [x for x in text.split("\n") if len(norm(x).split()) < 3 or len(sites[norm(x)]) < 4 or (
             i is not None and first[norm(x)] == i)]
         wanted.append((i, None if lines is None else "\n".join(lines)))
     got = line_dedup.dedupe(table)
@@ -149,11 +165,26 @@ def test_line_dedup(spark, table):
 
 
 def test_line_dedup_sketch_and_count_agree(spark):
-    rows = [(k * 100 + s, f"shared by {k} of the sites", "en", f"site{s}") for k in (3, 8, 9, 10, 11, 12, 40, 300) for s in range(k)]
+    rows = [(k * 100 + s, f"shared by {k} of the sites", "en", f"site{s}") for k in (2, 3, 4, 5, 9, 12, 40, 300) for s in range(k)]
     got = line_dedup.dedupe(docs(spark, rows), lg_k=4).where("n_removed > 0").select("text", "doc_id").collect()
+    assert len(got) == sum(k - 1 for k in (4, 5, 9, 12, 40, 300))
+
+
+def test_line_dedup_near_a_high_threshold(spark):
+    rows = [(k * 100 + s, f"shared by {k} of the sites", "en", f"site{s}") for k in (3, 8, 9, 10, 11, 12, 40, 300) for s in range(k)]
+    got = line_dedup.dedupe(docs(spark, rows), min_sites=10, lg_k=4).where("n_removed > 0").select("text", "doc_id").collect()
     assert len(got) == sum(k - 1 for k in (10, 11, 12, 40, 300))
 
 
+def test_line_dedup_leaves_a_column_of_its_own_name(spark):
+    rows = [(k, "a line that all the sites have", "en", f"s{k}") for k in range(6)]
+    table = docs(spark, rows).withColumn("n_removed", F.lit("mine"))
+    counted = line_dedup.dedupe(table)
+    assert counted.columns.count("n_removed") == 1 and {r[0] for r in counted.select("n_removed").collect()} == {0, 1}
+    plain = line_dedup.dedupe(table, count=None)
+    assert plain.columns == table.columns and {r[0] for r in plain.select("n_removed").collect()} == {"mine"}
+
+
 def test_quality(spark, table):
     counts, hosts = collections.Counter(), collections.Counter()
     for i, text, _, s in awkward():
@@ -175,6 +206,19 @@ def test_quality(spark, table):
     assert any(r["removed_words"] > 0 for r in got)
 
 
+def test_quality_rejects_depleted_documents_under_the_given_limits(spark):
+    """Documents that pass the base rules and share most of their words, line by line, with others of their host."""
+    import random
+    rng = random.Random(10)
+    shared = [sentence(rng, 20) for _ in range(4)]
+    rows = [(k, "\n".join([*shared, sentence(rng, 30)]), "en", "hot") for k in range(4)]
+    rows += [(10 + k, "\n".join([*shared, sentence(rng, 30)]), "en", "few") for k in range(3)]
+    rows += [(100 + k, sentence(rng, 90), "en", "hot") for k in range(600)]
+    got = {r["doc_id"]: r for r in quality.judge(docs(spark, rows)).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert {k for k, r in got.items() if not r["kept"]} == {0, 1, 2, 3} and got[0]["removed_words"] == 80
+
+
 def test_mixing(spark, table):
     got = mixing.mix(table).collect()
     sizes, total = collections.Counter(), 0
@@ -230,6 +274,98 @@ def test_languages(spark):
         assert r["lang_pred"] == ("und" if r["doc_id"] in (900, 901, 902) else truth.get(r["doc_id"], "de"))
 
 
+def plain_language_model(rows, orders=language_id.ORDERS, bits=language_id.BITS, alpha=language_id.ALPHA):
+    """Predictions of (text) by naive Bayes in dictionaries over the learned (text, lang) rows."""
+    mask = (1 << 64) - 1
+
+    def buckets(text):
+        points = [ord(c) for c in text.lower()]
+        for at in range(len(points)):
+            h = 1
+            for k in range(max(orders)):
+                if at + k >= len(points):
+                    break
+                h = ((h ^ points[at + k]) * 0x9E3779B97F4A7C15) & mask
+                h ^= h >> 29
+                if k + 1 in orders:
+                    yield ((h * 0xD6E8FEB86659FD93) & mask) >> (64 - bits)
+
+    counts, sizes = collections.defaultdict(collections.Counter), collections.Counter()
+    for text, lang in rows:
+        counts[lang].update(buckets(text or ""))
+        sizes[lang] += 1
+    totals = {lang: sum(c.values()) + alpha * (1 << bits) for lang, c in counts.items()}
+
+    def predict(text):
+        if not any(unicodedata.category(c).startswith("L") for c in text or ""):
+            return "und", 0.0
+        logs = {lang: math.log(n / sum(sizes.values())) for lang, n in sizes.items()}
+        for b, n in collections.Counter(buckets(text)).items():
+            for lang in logs:
+                logs[lang] += n * math.log((counts[lang][b] + alpha) / totals[lang])
+        best = min(logs, key=lambda x: (-logs[x], x))
+        return best, 1 / sum(math.exp(v - logs[best]) for v in logs.values())
+    return predict
+
+
+def test_languages_against_plain_naive_bayes(spark, monkeypatch):
+    """On given documents, many languages in several groups, signs that are no letters, and repeated rows."""
+    given = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in given] + [(5000 + k, f"wort{k} " * 9, f"x{k:02d}", "a") for k in range(12)]
+    rows += [(6000, "½ ² ⅓ Ⅷ ①", None, "a"), (6001, "½ é", None, "a"), *[(given[0]["doc_id"], given[0]["text"], given[0]["lang"], "a")] * 2]
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    predict = plain_language_model([(t, l) for i, t, l, _ in rows if l is not None and not held(i)])
+    want = collections.Counter((i, held(i), predict(t)[0]) for i, t, *_ in rows)
+    for group in (100, 5):
+        monkeypatch.setattr(language_id, "GROUP", group)
+        got = language_id.identify(docs(spark, rows)).collect()
+        assert collections.Counter((r["doc_id"], r["held_out"], r["lang_pred"]) for r in got) == want
+        scores = {i: predict(t)[1] for i, t, *_ in rows}
+        assert all(r["score"] == pytest.approx(scores[r["doc_id"]], abs=1e-3) for r in got)
+
+
+def test_held_out_accuracy_on_given_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").where("lang IS NOT NULL").collect()}
+    got = [r for r in queries.op6_language_id(spark, sf).where("held_out").collect() if r["doc_id"] in truth]
+    assert len(got) > 1000 and sum(r["lang_pred"] == truth[r["doc_id"]] for r in got) >= 0.97 * len(got)
+    toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic IS NOT NULL").collect()}
+    found = [(toxic[r["doc_id"]], r["predicted"]) for r in queries.op10_toxicity(spark, sf).where("held_out").collect() if r["doc_id"] in toxic]
+    hits = collections.Counter(found)
+    assert hits[1, 1] >= 0.8 * (hits[1, 1] + hits[1, 0]) and hits[0, 0] >= 0.97 * (hits[0, 0] + hits[0, 1])
+
+
+def test_toxicity_ratios_against_plain_counts(spark):
+    """Documents of each class that hold a bucket, counted text by text; repeated documents count each."""
+    rows = [(k, t, "en", "a") for k, t in enumerate(["bad word here", "good word here", "", "bad bad", "another good one"])]
+    rows += [rows[0]]
+    truth = {0: 1, 1: 0, 2: 0, 3: 1, 4: 0}
+    frame = docs(spark, rows).join(spark.createDataFrame(list(truth.items()), "doc_id long, toxic int"), "doc_id")
+    clean, toxic, sizes = toxicity.bucket_counts(frame)
+    want = [collections.Counter(), collections.Counter()]
+    for i, t, *_ in rows:
+        want[truth[i]].update({int(b) for _, buckets in toxicity.chunks_of(t) for b in buckets})
+    for vector, counter in zip((clean, toxic), want):
+        assert {int(b): int(vector[b]) for b in vector.nonzero()[0]} == counter
+    assert sizes.tolist() == [3, 3]
+
+
+def test_toxicity_fits_one_text_of_an_id(spark):
+    """An id that is repeated often is one row of the sample."""
+    rows = [(1, "vile thing", "en", "a")] * 300 + [(k, f"plain talk {k}", "en", "a") for k in range(3, 40)]
+    labels = spark.createDataFrame([(1, 1), *((k, 0) for k in range(3, 40))], "doc_id long, toxic int")
+    got = toxicity.classify(docs(spark, rows), labels).collect()
+    assert len(got) == len(rows) and len({r["score"] for r in got if r["doc_id"] == 1}) == 1
+
+
+def test_ngrams_of_a_sample_are_numbered():
+    import numpy as np
+    import pyarrow as pa
+    sets = [np.array(x, np.int64) for x in ([-5, 1, 7], [], [1, 9], [-5, 1])]
+    grams, places, starts = toxicity.numbered(pa.chunked_array([pa.array([s.tobytes() for s in sets], pa.binary())]))
+    assert grams.tolist() == [-5, 1] and places.tolist() == [0, 1, -1, 1, -1, 0, 1] and starts.tolist() == [0, 3, 3, 5, 7]
+
+
 def test_long_text_is_read_whole(spark):
     rows = [(1, "aaa bbb " * 300, "x", "a"), (3, "ccc ddd " * 300, "y", "a"), (4, "aaa bbb " * 10 + "ccc ddd " * 150000, None, "a")]
     assert {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs(spark, rows)).collect()}[4] == "y"

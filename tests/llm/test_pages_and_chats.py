@@ -1,6 +1,12 @@
+import collections
 import json
+import math
+import random
+import re
 
-from credtrace.llm import chat, html_text
+import pytest
+
+from credtrace.llm import chat, html_blocks, html_text
 
 PAGE = """<html><head><title>T</title><script>var a = "<p>no</p>";</script></head><body><header><h1>Site</h1></header>
 <nav><a href=1>Home</a></nav><div class="cookie-notice">We use cookies, sorry.</div><article><header><h1>Head line</h1></header>
@@ -22,6 +28,69 @@ def test_main_text(spark):
     assert html_text.extract(pages.limit(0)).isEmpty()
 
 
+ARTICLE = "<article><h1>Head</h1><p>Some text, rather long; it has commas, and full stops.</p></article>"
+COMMENTS = "".join(f"<p>Reader {k} writes a lot, and at length, about what was said above.</p>" for k in range(4))
+
+
+@pytest.mark.parametrize("page, want", [
+    # The length of what a name leaves out does not matter.
+    (f"<div><p>Short news, one line.</p></div><div class='comments'>{COMMENTS}</div>", "Short news, one line."),
+    (f"<div class='comments'>{COMMENTS}</div>", ""),
+    # A name on what wraps the article is the page's own.
+    (f"<div class='header-layout has-sidebar'>{ARTICLE}<div class='comments'>{COMMENTS}</div></div>",
+     "Head\nSome text, rather long; it has commas, and full stops."),
+    # Open embedded elements do not swallow the page; raw ones do.
+    *[(f"<article><p>Before, it begins.</p><{tag}><g>inner</g><p>After it, there is more; and more.</p></article>",
+       "Before, it begins.\nAfter it, there is more; and more.") for tag in ("svg", "object", "math", "video", "canvas", "select")],
+    ("<article><p>Before, it begins.</p><svg><text>drawn, words.</text></svg><p>After it, more.</p></article>", "Before, it begins.\nAfter it, more."),
+    ("<article><p>Before, it begins.</p><script>var a = 1; <p>After, all code.</p></article>", "Before, it begins."),
+    # Repeated and very long blocks stay.
+    ("<article>" + "<p>Same, again and again.</p>" * 3 + "</article>", "\n".join(["Same, again and again."] * 3)),
+    ("<article><p>" + "many words, in one. " * 60000 + "</p></article>", ("many words, in one. " * 60000).strip())])
+def test_what_belongs_to_an_article(page, want):
+    assert html_text.main_text(page) == want
+
+
+def plain_scores(paths, lengths, marks):
+    """Fused ratios by the formula, a loop for every sum."""
+    def smooth(ratio):
+        out = []
+        for k in range(len(ratio)):
+            weights = [(math.exp(-j * j / 2), ratio[min(max(k + j, 0), len(ratio) - 1)]) for j in range(-2, 3)]
+            out.append(sum(w * r for w, r in weights) / sum(w for w, _ in weights))
+        return [x / max(out) if max(out) else x for x in out]
+
+    def per_path(values):
+        own = collections.defaultdict(list)
+        for p, v in zip(paths, values):
+            own[p].append(v)
+        return [sum(own[p]) / len(own[p]) for p in paths]
+
+    return [math.sqrt(a * b) for a, b in zip(smooth(per_path(lengths)), smooth(per_path([m + 1 for m in marks])))]
+
+
+def test_path_ratios_against_the_formula():
+    rng = random.Random(3)
+    page = "".join(f"<{t}><p>{'words, and ' * rng.randint(0, 9)}end.</p></{t}><span>{'x' * rng.randint(1, 30)}</span>"
+                   for t in rng.choices(["div", "section", "blockquote", "td"], k=60))
+    _, blocks = html_blocks.read(page)
+    got = html_text.path_scores(blocks, 1.0)
+    want = plain_scores([b.path for b in blocks], [max(len(b.text) - b.linked, 0) for b in blocks], [len(re.findall(r"[.,]", b.text)) for b in blocks])
+    assert got.tolist() == pytest.approx(want) and len(blocks) > 100
+
+
+def test_arguments_that_are_no_json_are_kept(spark):
+    calls = [{"id": "a", "name": "add", "arguments": '{"x": 1, "x": 2}'}, {"id": "b", "name": "add", "arguments": "x=1"}, {"name": "add", "arguments": "{}"},
+             {"name": "add", "arguments": "{}"}]
+    rows = [(1, 0, "assistant", json.dumps({"tool_calls": calls}))] * 2 + [(2, 0, "user", "word " * 300000)]
+    got = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), chat.no_tools(spark)).collect()
+    by = collections.Counter((r["call_id"], r["json"], r["problems"]) for r in got if r["kind"] == "call")
+    assert by == {("a", '{"arguments_text":"{\\"x\\": 1, \\"x\\": 2}","id":"a","name":"add"}', "unknown tool; arguments are no JSON"): 2,
+                  ("b", '{"arguments_text":"x=1","id":"b","name":"add"}', "unknown tool; arguments are no JSON"): 2,
+                  (None, '{"arguments":{},"name":"add"}', "unknown tool"): 4}
+    assert [len(r["json"]) for r in got if r["conv_id"] == 2] == [1500000 + len('{"content":"","role":"user"}')]
+
+
 def test_links_and_validation(spark):
     call = lambda i, **a: {"id": i, "name": "add", "arguments": a}
     rows = [(1, 0, "user", "add 1 and 2"), (1, 1, "assistant", json.dumps({"content": "sure", "tool_calls": [call("c1", b=2, a=1), call("c2", a="x")]})),
