@@ -18,7 +18,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def cross_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their cross-site boilerplate lines; every document stays."""
-    return line_dedup.dedupe(docs, min_sites=LINE_SITES).drop("n_removed")
+    return line_dedup.dedupe(docs, min_sites=LINE_SITES, count=None)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
