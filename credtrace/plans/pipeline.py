@@ -113,7 +113,7 @@ def _look_up_given() -> Column:
     variables = F.concat(F.transform("secrets", lambda r: r["target"]), F.transform("candidates", lambda c: c["context_variable"]))
     fragments = F.transform("candidates", lambda c: F.when((c["secret_type"] == "High Entropy String") & (F.length(c["value"]) >= 8), c["value"])
                             .otherwise(""))
-    return F.struct(F.transform("seeds", lambda s: s["variable"]).alias("names"), variables.alias("wanted"), _group_heads().alias("texts"),
+    return F.struct(F.transform("seeds", lambda s: s["variable"]).alias("names"), variables.alias("wanted"), F.col("heads").alias("texts"),
                     fragments.alias("values"))
 
 
@@ -127,10 +127,11 @@ def _over_arrow(found: DataFrame, given: dict, functions: dict) -> DataFrame:
     return corpus.settled(ready.withColumns({name: function(F.col(of)) for name, (function, of) in functions.items()}).drop(*given))
 
 
-def with_reach(found: DataFrame) -> DataFrame:
-    """``reach``: what each seed reaches, in one pass for all; ``looked_up``: the flow of each secret and candidate and the rebuilt value
-    that holds it, by number; ``sinks_of``: the sink that each fact and call is, looked at once."""
-    return _over_arrow(found, {"reach_given": _reach_given(), "look_up_given": _look_up_given()},
+def with_reach(found: DataFrame, prefix: int = C.DEDUP_PREFIX) -> DataFrame:
+    """``reach``: what each seed reaches, in one pass for all; ``heads``: the first rebuilt value of each merge group; ``looked_up``: the
+    flow of each secret and candidate and the head that holds it, by number; ``sinks_of``: the sink that each fact and call is, looked
+    at once."""
+    return _over_arrow(found.withColumn("heads", _group_heads(prefix)), {"reach_given": _reach_given(), "look_up_given": _look_up_given()},
                        {"reach": (D.reach, "reach_given"), "looked_up": (matcher.look_ups, "look_up_given")}).withColumn("sinks_of", _sinks_of())
 
 
@@ -161,9 +162,9 @@ def _flows() -> Column:
     return F.zip_with("seeds", "reach", flow)
 
 
-def with_flows(found: DataFrame) -> DataFrame:
+def with_flows(found: DataFrame, prefix: int = C.DEDUP_PREFIX) -> DataFrame:
     """``flows``: per seed variable its graph nodes, its sinks and the sink that counts."""
-    return with_reach(found).withColumn("flows", _flows()).drop("facts", "walk", "table", "reach", "sinks_of")
+    return with_reach(found, prefix).withColumn("flows", _flows()).drop("facts", "walk", "table", "reach", "sinks_of")
 
 
 @T.cached
@@ -182,10 +183,10 @@ def with_redaction(found: DataFrame) -> DataFrame:
 
 
 @T.cached
-def _finding_rows() -> Column:
+def _finding_rows(prefix: int) -> Column:
     def row(i: Column, place: Column, held, value, line, kind, method, confidence, entropy, status, fragments, extent, variable, context):
         return T.bind(F.get("flows", F.get("looked_up.at", place)), lambda x: F.struct(
-            F.substring(F.coalesce(F.get("heads", held), value), 1, C.DEDUP_PREFIX).alias("group_key"),
+            F.substring(F.coalesce(F.get("heads", held), value), 1, prefix).alias("group_key"),
             i.cast("long").alias("ord"), value.alias("secret"), line.cast("int").alias("line_number"),
             kind.alias("secret_type"), method.alias("method"), confidence.alias("confidence"),
             entropy.alias("entropy_score"), status.alias("status"), fragments.cast(reconstruct.FRAGMENTS).alias("fragments"),
@@ -220,9 +221,9 @@ def _safe_code() -> list[Column]:
             T.line_window(clean, F.col("r.context_line")).alias("code_context")]
 
 
-def with_rows(found: DataFrame) -> DataFrame:
-    """``rows``: the rebuilt secrets and candidates of a file with their flow and merge group."""
-    return found.withColumn("heads", _group_heads()).withColumn("rows", _finding_rows()).drop("looked_up")
+def with_rows(found: DataFrame, prefix: int = C.DEDUP_PREFIX) -> DataFrame:
+    """``rows``: the rebuilt secrets and candidates of a file with their flow and merge group, the first ``prefix`` characters."""
+    return found.withColumn("rows", _finding_rows(prefix)).drop("looked_up", "heads")
 
 
 def _each(found: DataFrame, column: str) -> DataFrame:
@@ -247,34 +248,36 @@ def _merged_columns() -> list[Column]:
         *_safe_code(), F.transform("r.nodes", lambda n: n["variable"]).alias("path")]
 
 
-def merged_findings(found: DataFrame) -> DataFrame:
+def merged_findings(found: DataFrame, prefix: int = C.DEDUP_PREFIX) -> DataFrame:
     """One row per finding, merged within the file row."""
-    return _each(with_rows(found).withColumn("merged", _merged()), "merged").select(
+    return _each(with_rows(found, prefix).withColumn("merged", _merged()), "merged").select(
         "scan_id", "file_path", "repository", *_merged_columns()).withColumn("finding_id", findings.finding_id())
 
 
 @T.cached
-def _group_heads() -> Column:
+def _group_heads(prefix: int) -> Column:
     """The first rebuilt value of every merge group, in order; entropy fragments are looked up in these."""
     def firsts(values: Column) -> Column:
-        prefixes = F.transform(values, lambda v: F.substring(v, 1, C.DEDUP_PREFIX))
+        prefixes = F.transform(values, lambda v: F.substring(v, 1, prefix))
         return T.bind(prefixes, lambda ps: F.filter(
             values, lambda v, i: F.array_position(ps, F.element_at(ps, i + 1)) == i + 1))
     return T.bind(F.transform("secrets", lambda r: r["value"]), firsts)
 
 
-def flowing(files: DataFrame, rules=C.DETECTION_RULES, allow_test_files: bool = False, every: bool = False) -> DataFrame:
-    return with_flows(with_facts(with_seeds(secret_files(files, rules, allow_test_files, every))))
+def flowing(files: DataFrame, rules=C.DETECTION_RULES, allow_test_files: bool = False, every: bool = False,
+            prefix: int = C.DEDUP_PREFIX) -> DataFrame:
+    return with_flows(with_facts(with_seeds(secret_files(files, rules, allow_test_files, every))), prefix)
 
 
-def analysed(files: DataFrame, rules=C.DETECTION_RULES, allow_test_files: bool = False) -> DataFrame:
-    return with_redaction(flowing(files, rules, allow_test_files))
+def analysed(files: DataFrame, rules=C.DETECTION_RULES, allow_test_files: bool = False, prefix: int = C.DEDUP_PREFIX) -> DataFrame:
+    return with_redaction(flowing(files, rules, allow_test_files, prefix=prefix))
 
 
-def full_scan(files: DataFrame, rules=C.DETECTION_RULES, allow_test_files: bool = False) -> DataFrame:
+def full_scan(files: DataFrame, rules=C.DETECTION_RULES, allow_test_files: bool = False, prefix: int = C.DEDUP_PREFIX) -> DataFrame:
     """Scored findings of the full pipeline over all of ``files``; limits belong to the source. ``secret`` and ``rebuilt_value`` are
-    raw; see ``serving.safe``. A row of files is a file of its own."""
-    return findings.score_findings(merged_findings(analysed(files, rules, allow_test_files)))
+    raw; see ``serving.safe``. A row of files is a file of its own. Secrets of a file that share their first ``prefix`` characters are
+    one finding; a longer prefix tells apart what begins alike."""
+    return findings.score_findings(merged_findings(analysed(files, rules, allow_test_files, prefix), prefix))
 
 
 @T.cached
@@ -354,11 +357,11 @@ def summed(counters: DataFrame) -> DataFrame:
     return per_scan.withColumn("risk_score", mean).drop("risk_sum")
 
 
-def baseline_scan(files: DataFrame, rules=C.DETECTION_RULES) -> DataFrame:
-    """Rules and entropy only: distinct by (file, line, first ten characters), scored without sink or path."""
+def baseline_scan(files: DataFrame, rules=C.DETECTION_RULES, prefix: int = C.BASELINE_PREFIX) -> DataFrame:
+    """Rules and entropy only: distinct by (file, line, first ``prefix`` characters), scored without sink or path."""
     rows = detect.filtered(files, rules)
     key = ["scan_id", "file_path", "line_number", "prefix"]
-    picked = (rows.withColumn("prefix", F.substring("value", 1, C.BASELINE_PREFIX))
+    picked = (rows.withColumn("prefix", F.substring("value", 1, prefix))
               .groupBy(*key).agg(F.first("repository").alias("repository"), F.min_by(
                   F.struct("ord", "value", "secret_type", "detection_method", "confidence", "entropy_score",
                            "code_context"), "ord").alias("c")))

@@ -499,6 +499,7 @@ def _(spark, d):
         F.count("*").alias("findings"), F.count_if(F.contains("written", "secret")).alias("leaks"))
 
 
+Q["p22_redacted_context"] = lambda spark, d: _safe(spark, d).select(*KEY, "finding_id", "code_context")
 Q["p22_advisory_payload"] = lambda spark, d: serving.advisory_payload(_safe(spark, d)).select(
     "scan_id", "finding_id", F.length("payload").cast("bigint").alias("n"), F.regexp_replace(
         F.substring_index("payload", "Code context:", 1), r"\s+$", "").alias("head"))

@@ -234,6 +234,12 @@ ORACLE["p21_safe_findings"] = query(
     f"SELECT scan_id, file_path, {ID}, {O.mask('secret')} AS masked_secret, status AS reconstruction_status, coalesce({O.mask('rebuilt_value')}, '') AS reconstructed_value_masked, "
     f"round_even(entropy_score, 3) AS entropy_score, {SHOWN} AS fragments, coalesce(sink.sink_type, '') AS exposure_type, risk_score, severity FROM scored s", "scored")
 ORACLE["p21_no_raw_value_left"] = query("SELECT count(*) AS findings, 0 AS leaks FROM scored", "scored")
+_known = (
+    "SELECT scan_id, file_path, list(v ORDER BY len(v) DESC, v) AS vs FROM (SELECT scan_id, file_path, value AS v FROM raw UNION SELECT scan_id, file_path, value FROM secrets "
+    "UNION SELECT f.scan_id, f.file_path, f.value FROM fragments f JOIN secrets USING (scan_id, file_path, stmt_no) WHERE f.resolved AND len(f.value) >= 4) GROUP BY ALL")
+ORACLE["p22_redacted_context"] = query(
+    f"SELECT scan_id, file_path, {ID}, list_reduce([context] || vs, lambda t, v: replace(t, v, {O.mask('v')})) AS code_context FROM scored LEFT JOIN ({_known}) USING (scan_id, file_path)",
+    "scored")
 _path = "coalesce(array_to_string(path, ' → '), '')"
 _head = (
     "'- Secret Type: ' || secret_type || chr(10) || '- Severity: ' || severity || chr(10) || '- Risk Score: ' || printf('%.1f', risk_score) || '/100' || chr(10) || '- Masked Secret: ' || "

@@ -84,6 +84,11 @@ def test_merge(per_file):
     assert len(per_file["google.py"]) == 1 and per_file["google.py"][0].secret_type == "Google API Key"
 
 
+def test_a_longer_prefix_tells_apart_what_begins_alike(spark):
+    files = frame(spark, {"twice.py": CASES["twice.py"]})
+    assert P.full_scan(files).count() == 1 and P.full_scan(files, prefix=24).count() == 2
+
+
 def test_no_findings_in_clean_files(per_file):
     assert not {"clean.py", "benign.py", "place.py", "env.py", "comment.py"} & set(per_file)
 
