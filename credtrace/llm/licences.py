@@ -108,13 +108,23 @@ def blocks(lines: Column) -> Column:
         runs(k, lambda x: x == 1), runs(k, lambda x: x != 0), runs(k, lambda x: x != 2))))
 
 
+def counted(words: Column) -> Column:
+    """(token, n) of the distinct tokens: equal ones meet by sorting within the row, so that no shuffle is needed to count them."""
+    def runs(a: Column) -> Column:
+        starts = F.filter(F.transform(a, lambda t, i: F.when((i == 0) | (t != F.get(a, i - 1)), i)), lambda i: i.isNotNull())
+        return bind(starts, lambda s: F.transform(s, lambda i, k: F.struct(
+            F.get(a, i).alias("token"), (F.coalesce(F.get(s, k + 1), F.size(a)) - i).cast("long").alias("n"))))
+
+    return bind(F.sort_array(words), runs)
+
+
 def scored(found: DataFrame, vectors, idf, unknown: float, threshold: float, damped: bool) -> DataFrame:
     """The best template of each unit that reaches the threshold; dot products with unit vectors are summed by aggregation."""
     spark = found.sparkSession
     vectors = F.broadcast(spark.createDataFrame(vectors, "number int, licence string, token string, weight double"))
     weights = F.broadcast(spark.createDataFrame(sorted(idf.items()), "token string, idf double"))
     key = ["of_doc", "of_text", "doc_tokens", "unit", "first", "end"]
-    counts = found.select(*key, F.explode("tokens").alias("token")).groupBy(*key, "token").agg(F.count(F.lit(1)).alias("n"))
+    counts = found.select(*key, F.explode(counted(F.col("tokens"))).alias("c")).select(*key, "c.token", "c.n")
     times = F.lit(1.0) + F.log("n") if damped else F.col("n")
     valued = counts.join(weights, "token", "left").withColumn("value", times * F.coalesce("idf", F.lit(unknown)))
     lengths = valued.groupBy(*key).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"), F.sum("n").alias("n_tokens")).select(
@@ -176,9 +186,9 @@ def statements(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATE
         F.explode(bind(F.split("text", "\n"), units)).alias("u")).select(
         "of_doc", "of_text", "doc_tokens", "u.unit", "u.first", "u.end", tokens(F.col("u.body")).alias("tokens"))
     found = written(units_of.withColumns({"notice": may_match(F.col("tokens")), "full": (F.col("unit") < 0) & may_be_text(F.col("tokens"))}).where(
-        "notice OR full"))
-    noticed = scored(found.where("notice").drop("notice", "full").distinct(), rows, idf, unknown, threshold, False)
-    full = scored(found.where("full").drop("notice", "full").distinct(), text_rows, text_idf, text_unknown, threshold, True)
+        "notice OR full").distinct())
+    noticed = scored(found.where("notice"), rows, idf, unknown, threshold, False)
+    full = scored(found.where("full"), text_rows, text_idf, text_unknown, threshold, True)
     return noticed.withColumn("rank", F.lit(0)).unionByName(full.withColumn("rank", F.when(F.col("unit") == -1, 2).otherwise(1)))
 
 
