@@ -49,6 +49,14 @@ def contains_any(text: Column, words: list[str]) -> Column:
     return text.rlike(any_of(words))
 
 
+def count_of(text: Column, characters: str) -> Column:
+    """How many characters of a text are among the given ones."""
+    out = F.length(text) * len(characters)
+    for c in characters:
+        out = out - F.length(F.replace(text, F.lit(c), F.lit("")))
+    return out
+
+
 def empty_array(ddl: str) -> Column:
     return F.array().cast(ddl)
 
@@ -56,21 +64,12 @@ def empty_array(ddl: str) -> Column:
 def shannon_entropy(text: Column) -> Column:
     """Bits per character; 0 for the empty string."""
     def of(chars: Column) -> Column:
-        n = F.size(chars).cast("double")
-
-        def bits(acc: Column, ch: Column) -> Column:
-            p = F.size(F.filter(chars, lambda x: x == ch)) / n
-            return acc - p * F.log2(p)
-
-        return F.aggregate(F.array_distinct(chars), F.lit(0.0), bits)
-
-    def of_long(chars: Column) -> Column:
         n = F.length(text).cast("double")
-        return F.aggregate(chars, F.lit(0.0), lambda acc, ch: bind((n - F.length(F.replace(text, ch, F.lit("")))) / n, lambda p: acc - p * F.log2(p)))
+        # Every character is counted by what is left without it, not one by one.
+        shares = F.transform(chars, lambda ch: (n - F.length(F.replace(text, ch, F.lit("")))) / n)
+        return F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
 
-    # Of a long text every character is counted by what is left without it, not one by one.
-    return (F.when(F.length(text) == 0, F.lit(0.0)).when(F.length(text) > 1024, F.abs(bind(F.array_distinct(F.split(text, "")), of_long)))
-            .otherwise(F.abs(bind(F.split(text, ""), of))))
+    return F.when(F.length(text) == 0, F.lit(0.0)).otherwise(F.abs(of(F.array_distinct(F.split(text, "")))))
 
 
 def string_class(text: Column) -> Column:
@@ -201,26 +200,30 @@ def validate_reconstructed(value: Column, target: Column, statement: Column, sta
         return part if extent is None else F.when(extent.isNotNull(), whole).otherwise(part)
 
     word = lambda k: F.get(extent["words"], k)
-    kind = reconstructed_type(value if extent is None else F.when(word(0), F.concat(value, F.lit(" mongodb"))).otherwise(value))
-    known = kind.isin(C.PROVIDER_TYPES)
+    kinds = reconstructed_type(value if extent is None else F.when(word(0), F.concat(value, F.lit(" mongodb"))).otherwise(value))
     plain_url = value.rlike(r"(?i)^https?://") & ~value.rlike(r"^[a-zA-Z]+://[^/@]*:[^/@]*@")
     placeholder = of_all(is_placeholder(value), value.rlike(C.PLACEHOLDER_PREFIX) | (word(1) if extent is not None else F.lit(False)))
     white = of_all(value.rlike(C.WS), extent["white"] if extent is not None else None)
     entropy = of_all(shannon_entropy(value), extent["entropy"] if extent is not None else None)
-    reason = (F.when(is_environment_sourced(statement), "environment source")
-              .when(status == "UNRESOLVED", "unresolved")
-              .when(F.length(value) < C.RECONSTRUCTED_MIN_LENGTH, "too short")
-              .when(entropy < C.RECONSTRUCTED_MIN_ENTROPY, "low entropy")
-              .when(white & ~known, "prose")
-              .when(plain_url, "plain url")
-              .when(placeholder, "placeholder")
-              .otherwise(F.lit("")))
-    confidence = (F.when(known, F.lit(C.CONFIDENCE_PROVIDER))
-                  .when(target.rlike(C.CREDENTIAL_TARGET), F.lit(C.CONFIDENCE_TARGET))
-                  .otherwise(F.lit(C.CONFIDENCE_OTHER)))
-    confidence = F.when(status == "PARTIAL", confidence * F.lit(C.PARTIAL_FACTOR)).otherwise(confidence)
-    return F.struct((reason == "").alias("is_secret"), confidence.alias("confidence"), kind.alias("secret_type"),
-                    reason.alias("reason"))
+
+    def judged(kind: Column) -> Column:
+        known = kind.isin(C.PROVIDER_TYPES)
+        reason = (F.when(is_environment_sourced(statement), "environment source")
+                  .when(status == "UNRESOLVED", "unresolved")
+                  .when(F.length(value) < C.RECONSTRUCTED_MIN_LENGTH, "too short")
+                  .when(entropy < C.RECONSTRUCTED_MIN_ENTROPY, "low entropy")
+                  .when(white & ~known, "prose")
+                  .when(plain_url, "plain url")
+                  .when(placeholder, "placeholder")
+                  .otherwise(F.lit("")))
+        confidence = (F.when(known, F.lit(C.CONFIDENCE_PROVIDER))
+                      .when(target.rlike(C.CREDENTIAL_TARGET), F.lit(C.CONFIDENCE_TARGET))
+                      .otherwise(F.lit(C.CONFIDENCE_OTHER)))
+        confidence = F.when(status == "PARTIAL", confidence * F.lit(C.PARTIAL_FACTOR)).otherwise(confidence)
+        return bind(reason, lambda why: F.struct((why == "").alias("is_secret"), confidence.alias("confidence"), kind.alias("secret_type"),
+                                                 why.alias("reason")))
+
+    return bind(kinds, judged)
 
 
 def matches_sink(function: Column, names: list[str]) -> Column:

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from credtrace.functions import text as T
 from credtrace.operators import reconstruct
+from credtrace.operators import statements as S
 from credtrace.plans import pipeline as P
 from credtrace.plans import serving
 from tests.cases import frame
@@ -140,3 +141,12 @@ def test_a_long_deep_statement(spark):
     lines = ['api_key = "k3Jd92mxQp01LsTz7Bv5"', f"send({body})"]
     nodes = P.analysed(frame(spark, {"deep.py": "\n".join(lines)})).select(F.explode("flows").alias("x")).first().x.nodes
     assert [n.variable for n in nodes] == ["api_key", "send(api_key)"]
+
+
+def test_runs_of_brackets_are_single_tokens(spark):
+    text = f"full = f({'(' * 200}0{')' * 200}) + api_key + h({'[g(' * 300}api_key{')]' * 300}) + \"((\""
+    row = spark.range(1).select(F.lit(text).alias("t")).select(F.size(S._runs(F.col("t"))).alias("n"), S.folded(F.col("t")).alias("f")).select(
+        "n", "f.text", "f.deep", S.unfold(F.col("f.text"), F.col("f.deep")).alias("back")).first()
+    assert row["n"] < 12 and row["back"] == text
+    assert row["text"] == 'full = f((((\x010\x01)))) + api_key + h([g([\x011\x01])]) + "(("'
+    assert row["deep"] == [f"{'(' * 197}0{')' * 197}", f"g({'[g(' * 298}api_key{')]' * 298})"]
