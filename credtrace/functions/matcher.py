@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from credtrace.functions import batches
+
 #: Characters at each end of a value that its mask shows, where it is longer than both.
 VISIBLE = 4
 #: Longer values are few and are looked for one by one, so that the automaton stays small.
@@ -79,8 +81,11 @@ def holders(values: list[str], texts: list[str]) -> list[int | None]:
 def redacted(given: Column) -> Column:
     """The lines of a file with all known values masked, in one pass over its text; ``given`` is struct(lines, known)."""
     def run(files: pa.Array) -> pa.Array:
-        rows = ((r["known"], r["lines"]) for r in files.to_pylist())
-        return pa.array([lines and (masked(known, lines) if known else lines) for known, lines in rows], pa.list_(pa.string()))
+        out, kind = [], pa.list_(pa.string())
+        for part in batches.slices(files):
+            rows = zip(batches.plain_lists(part.field("known")), batches.plain_lists(part.field("lines")), part.field("lines").is_valid().to_pylist())
+            out.append(pa.array([(masked(known, lines) if known and lines else lines) if there else None for known, lines, there in rows], kind))
+        return batches.joined(out, kind)
 
     return F.arrow_udf(run, "array<string>")(given)
 
@@ -91,13 +96,16 @@ def look_ups(given: Column) -> Column:
     ``given`` is struct(names, wanted, texts, values).
     """
     def run(files: pa.Array) -> pa.Array:
-        out = []
-        for r in files.to_pylist():
-            place = {}
-            for k, name in enumerate(r["names"] or []):
-                place.setdefault(name, k)
-            out.append({"at": [place.get(x) for x in r["wanted"] or []], "held": holders(r["values"], r["texts"]) if r["values"] and r["texts"]
-                        else [None] * len(r["values"] or [])})
-        return pa.array(out, pa.struct([("at", pa.list_(pa.int32())), ("held", pa.list_(pa.int32()))]))
+        out, numbers = [], pa.list_(pa.int32())
+        for part in batches.slices(files):
+            at, held = [], []
+            for names, wanted, texts, values in zip(*(batches.plain_lists(part.field(c)) for c in ("names", "wanted", "texts", "values"))):
+                place = {}
+                for k, name in enumerate(names):
+                    place.setdefault(name, k)
+                at.append([place.get(x) for x in wanted])
+                held.append(holders(values, texts) if values and texts else [None] * len(values))
+            out.append(pa.StructArray.from_arrays([pa.array(at, numbers), pa.array(held, numbers)], names=["at", "held"]))
+        return batches.joined(out, pa.struct([("at", numbers), ("held", numbers)]))
 
     return F.arrow_udf(run, "struct<at:array<int>,held:array<int>>")(given)

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from credtrace.functions import batches
 from credtrace.functions import catalog as C
 from credtrace.functions import text as T
 from credtrace.operators import reconstruct as R
@@ -55,16 +56,21 @@ def parsed(statements: Column) -> Column:
     """Statements as struct(line, snippet, lefts, value, deep, call, entries): left sides, value, outermost call, dict."""
     def one(s: Column) -> Column:
         whole = rf"^((?:{LEFT_SIDE})+)(\S.*)$"
-        left = F.regexp_extract(s["text"], whole, 1)
-        value = S.unwrap(F.when(left != "", F.regexp_extract(s["text"], whole, 2)).otherwise(s["text"]))
-        lefts = F.filter(F.transform(F.split(left, "="), T.strip), lambda t: t != "")
+        left = F.when(F.contains(s["text"], F.lit("=")), F.regexp_extract(s["text"], whole, 1)).otherwise(F.lit(""))
+        value = lambda left: S.unwrap(F.when(left != "", F.regexp_extract(s["text"], whole, 2)).otherwise(s["text"]))
+        lefts = lambda left: F.when(left != "", F.filter(F.transform(F.split(left, "="), T.strip), lambda t: t != "")).otherwise(_no_names())
         names = lambda piece: S.names_in(S.unfold(piece, s["deep"]))
 
-        def more(v: Column) -> Column:
-            prefix = F.regexp_extract(v, CALL, 1)
-            is_call = v.rlike(CALL) & prefix.rlike(CHAIN)
-            owner = F.regexp_replace(prefix, r"\.$", "")
-            name = F.regexp_extract(v, CALL, 2)
+        def more(x: Column) -> Column:
+            v = x["value"]
+            called = F.when(F.contains(v, F.lit("(")) & F.contains(v, F.lit(")")) & v.rlike(CALL), F.regexp_extract(v, CALL, 1))
+            owned = lambda prefix: F.struct(prefix.rlike(CHAIN).alias("is_call"), F.regexp_replace(prefix, r"\.$", "").alias("owner"),
+                                            F.regexp_extract(v, CALL, 2).alias("name"))
+            nothing = F.struct(F.lit(False).alias("is_call"), F.lit("").alias("owner"), F.lit("").alias("name"))
+            return T.bind(T.bind(called, lambda p: F.when(p.isNotNull(), owned(p)).otherwise(nothing)), lambda c: of_call(x, c))
+
+        def of_call(x: Column, c: Column) -> Column:
+            v, is_call, owner, name = x["value"], c["is_call"], c["owner"], c["name"]
             dotted_owner = F.regexp_extract(owner, rf"(?:^|[)\]}}\"'`]\.)({S.NAME}(?:\.{S.NAME})*)$", 1)
             display = (F.when(owner == "", name)
                        .when(owner.rlike(rf"^{S.NAME}$"), F.concat(owner, F.lit("."), name))
@@ -80,12 +86,12 @@ def parsed(statements: Column) -> Column:
                 F.filter(S.split_items(F.substring(v, F.lit(2), F.length(v) - 2)), lambda t: t.rlike(ENTRY)),
                 lambda t: F.struct(_constant(F.regexp_extract(t, ENTRY, 1)).alias("key"),
                                    names(F.regexp_extract(t, ENTRY, 2)).alias("names"))))
-            return F.struct(s["line_no"].alias("line"), s["snippet"].alias("snippet"), lefts.alias("lefts"),
+            return F.struct(s["line_no"].alias("line"), s["snippet"].alias("snippet"), x["lefts"].alias("lefts"),
                             v.alias("value"), s["deep"].alias("deep"), is_call.alias("is_call"), display.alias("display"),
                             dotted.alias("dotted"), args.alias("args"),
                             F.coalesce(entries, F.array().cast("array<struct<key:string,names:array<string>>>"))
                             .alias("entries"))
-        return T.bind(value, more)
+        return T.bind(T.bind(left, lambda l: F.struct(value(l).alias("value"), lefts(l).alias("lefts"))), more)
     return F.transform(statements, one)
 
 
@@ -188,12 +194,17 @@ def line_table(lines: Column) -> Column:
         pairs = F.zip_with(F.regexp_extract_all(line, F.lit(LINE_PAIR), F.lit(1)),
                            F.regexp_extract_all(line, F.lit(LINE_PAIR), F.lit(2)),
                            lambda k, v: F.struct(k.alias("key"), v.alias("name")))
+        # A line without the sign that a pattern needs never meets it.
+        has = lambda sign: F.contains(line, F.lit(sign))
+        none = lambda fields: T.empty_array(f"array<struct<{fields}>>")
         return F.struct(
-            x["n"].alias("line"), T.strip(line).alias("snippet"), calls.alias("calls"), pairs.alias("pairs"),
-            F.regexp_extract(line, LINE_ASSIGN, 1).alias("assigned"),
-            F.array_distinct(F.regexp_extract_all(F.regexp_extract(line, LINE_ASSIGN, 2), F.lit(TOKEN), F.lit(0)))
-            .alias("reads"),
-            F.regexp_extract(line, LINE_CONTAINER, 1).alias("container"))
+            x["n"].alias("line"), T.strip(line).alias("snippet"),
+            F.when(has("(") & has(")"), calls).otherwise(none("func:string,names:array<string>")).alias("calls"),
+            F.when(has(":"), pairs).otherwise(none("key:string,name:string")).alias("pairs"),
+            F.when(has("="), F.regexp_extract(line, LINE_ASSIGN, 1)).otherwise(F.lit("")).alias("assigned"),
+            F.when(has("="), F.array_distinct(F.regexp_extract_all(F.regexp_extract(line, LINE_ASSIGN, 2), F.lit(TOKEN), F.lit(0))))
+            .otherwise(_no_names()).alias("reads"),
+            F.when(has("=") & has("{"), F.regexp_extract(line, LINE_CONTAINER, 1)).otherwise(F.lit("")).alias("container"))
 
     return F.filter(F.transform(numbered, one).cast(LINES), lambda t: (F.size(t["calls"]) > 0)
                     | (F.size(t["pairs"]) > 0) | (t["assigned"] != ""))
@@ -282,26 +293,44 @@ def in_lines(table: list, names: list[str]) -> tuple[list[list], list[list]]:
     return direct, boxed
 
 
-def reached_by_file(files):
+def _facts_of(facts: pa.Array) -> list[list]:
+    offsets, x = batches.items(facts)
+    return batches.cut(list(zip(batches.plain(x.field("pos")), batches.plain_lists(x.field("srcs")), batches.plain_lists(x.field("taints")))), offsets)
+
+
+def _reached(files: pa.Array) -> pa.Array:
+    at, s = batches.items(files.field("seeds"))
+    seeds = batches.cut(list(zip(batches.plain(s.field("variable")), batches.plain(s.field("start")))), at)
+    lines_at, t = batches.items(files.field("table"))
+    calls_at, calls = batches.items(t.field("calls"))
+    tables = batches.cut(list(zip(batches.cut(batches.plain_lists(calls), calls_at), batches.plain_lists(t.field("names")), batches.plain(t.field("container")))),
+                         lines_at)
+    hits, tainted, walks, lines, boxed = [], [], [], [], []
+    for own, facts, walk, table in zip(seeds, _facts_of(files.field("facts")), _facts_of(files.field("walk")), tables):
+        if own:
+            of_facts, names = spread(facts, own)
+            of_walk, _ = spread(walk, [(name, 0) for name, _ in own])
+            of_lines, of_boxes = in_lines(table, [name for name, _ in own])
+            hits += of_facts
+            tainted += [list(n.items()) for n in names]
+            walks += [[h[0] for h in w] for w in of_walk]
+            lines += of_lines
+            boxed += of_boxes
+    number, text = pa.int32(), pa.string()
+    return pa.ListArray.from_arrays(pa.array(at, number), pa.StructArray.from_arrays([
+        batches.as_lists(hits, {"fact": number, "source": text, "since": number}), batches.as_lists(tainted, {"name": text, "time": number}),
+        pa.ListArray.from_arrays(batches.offsets_of(walks), pa.array([k for w in walks for k in w], number)),
+        batches.as_lists(lines, {"line": number, "call": number, "pair": number}), batches.as_lists(boxed, {"line": number, "call": number})],
+        names=["hits", "tainted", "walk", "lines", "boxed"]))
+
+
+def reached_by_file(files: pa.Array) -> pa.Array:
     """An Arrow batch of (seeds, facts, walk, table) rows as REACH rows, a struct for each seed."""
-    out = []
-    for row in files.to_pylist():
-        seeds = [(s["variable"], s["start"]) for s in row["seeds"] or []]
-        if not seeds:
-            out.append([])
-            continue
-        as_facts = lambda xs: [(x["pos"], x["srcs"] or [], x["taints"] or []) for x in xs or []]
-        hits, tainted = spread(as_facts(row["facts"]), seeds)
-        walk, _ = spread(as_facts(row["walk"]), [(name, 0) for name, _ in seeds])
-        lines, boxed = in_lines([(t["calls"] or [], t["names"] or [], t["container"]) for t in row["table"] or []], [name for name, _ in seeds])
-        out.append([{"hits": [dict(zip(("fact", "source", "since"), h)) for h in hits[k]], "tainted": [{"name": n, "time": t} for n, t in tainted[k].items()],
-                     "walk": [h[0] for h in walk[k]], "lines": [dict(zip(("line", "call", "pair"), x)) for x in lines[k]],
-                     "boxed": [dict(zip(("line", "call"), x)) for x in boxed[k]]} for k in range(len(seeds))])
-    place = pa.struct([("line", pa.int32()), ("call", pa.int32())])
-    return pa.array(out, pa.list_(pa.struct([
-        ("hits", pa.list_(pa.struct([("fact", pa.int32()), ("source", pa.string()), ("since", pa.int32())]))),
-        ("tainted", pa.list_(pa.struct([("name", pa.string()), ("time", pa.int32())]))), ("walk", pa.list_(pa.int32())),
-        ("lines", pa.list_(pa.struct([*place, ("pair", pa.int32())]))), ("boxed", pa.list_(place))])))
+    number, text = pa.int32(), pa.string()
+    entries = lambda **fields: pa.list_(pa.struct(list(fields.items())))
+    return batches.joined([_reached(part) for part in batches.slices(files)], entries(
+        hits=entries(fact=number, source=text, since=number), tainted=entries(name=text, time=number), walk=pa.list_(number),
+        lines=entries(line=number, call=number, pair=number), boxed=entries(line=number, call=number)))
 
 
 def reach_given(seeds: Column, facts: Column, walk: Column, table: Column, by_line: Column) -> Column:

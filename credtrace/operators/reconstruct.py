@@ -101,7 +101,7 @@ def is_concat(value: Column) -> Column:
     def check(rest: Column) -> Column:
         return (F.contains(rest, F.lit("+")) & ~rest.rlike(r"[,<>=|&^?:;]|\b(?:if|or|and|not|in|is|lambda|else|await|yield)\b")
                 & ~rest.rlike(r"-[^+]*$"))
-    return T.bind(F.regexp_replace(value, f"{S.PREFIXED}|{S.GROUP}", " "), check)
+    return F.contains(value, F.lit("+")) & T.bind(F.regexp_replace(value, f"{S.PREFIXED}|{S.GROUP}", " "), check)
 
 
 def parse_value(value: Column, language: Column, deep: Column) -> Column:
@@ -119,9 +119,9 @@ def parse_value(value: Column, language: Column, deep: Column) -> Column:
             .when(~python & value.rlike(ticked) & F.contains(value, F.lit("${")),
                   made("template", _template(S.literal_value(value), True)))
             .when(value.rlike(LITERAL_ONLY), made("literal", F.array(_part("lit", S.literal_value(value), True))))
-            .when(value.rlike(rf"^[rRuU]?{S.STRING}\.format\(.*\)$"), made("format", _format(value, deep)))
-            .when(value.rlike(rf"^[rRuU]?{S.STRING}\.join\(\s*[(\[].*[)\]]\s*\)$"), made("join", _join(value, deep)))
-            .when(value.rlike(DECODE), made("decode", F.array(_operand(F.regexp_extract(value, DECODE, 1), deep))))
+            .when(F.contains(value, F.lit(".format(")) & value.rlike(rf"^[rRuU]?{S.STRING}\.format\(.*\)$"), made("format", _format(value, deep)))
+            .when(F.contains(value, F.lit(".join(")) & value.rlike(rf"^[rRuU]?{S.STRING}\.join\(\s*[(\[].*[)\]]\s*\)$"), made("join", _join(value, deep)))
+            .when(F.contains(value, F.lit("b64decode(")) & value.rlike(DECODE), made("decode", F.array(_operand(F.regexp_extract(value, DECODE, 1), deep))))
             .when(is_concat(value), made("concat", _concat_parts(value, deep)))
             .otherwise(made("dynamic", F.array())))
 
@@ -233,9 +233,9 @@ def checked_column() -> Column:
 
 
 def with_reconstructions(files: DataFrame) -> DataFrame:
-    """``files`` (with ``lines``) plus ``recons`` (all, with their check) and ``secrets`` (those accepted).
+    """``files`` (with ``lines``) plus ``recons`` (all, with their check), ``secrets`` (those accepted) and ``statements``.
 
-    Statements are only built for files whose text can assemble a value.
+    Statements are only built for files whose text can assemble a value; they are null for the others.
     """
     possible = F.col("content").rlike(ASSEMBLY) & F.contains(F.col("content"), F.lit("="))
     return (files.withColumn("statements", F.when(possible, statements_column()))
@@ -243,7 +243,7 @@ def with_reconstructions(files: DataFrame) -> DataFrame:
             .withColumn("recons", F.coalesce(resolved_column(False)["recons"], T.empty_array(f"array<{RECON}>")))
             .withColumn("recons", checked_column())
             .withColumn("secrets", F.filter("recons", lambda r: r["check"]["is_secret"]))
-            .drop("statements", "defs"))
+            .drop("defs"))
 
 
 def _with_lines(files: DataFrame) -> DataFrame:

@@ -35,10 +35,10 @@ def secret_files(files: DataFrame, rules=C.DETECTION_RULES, allow_test_files: bo
     detection and evaluate it twice.
     """
     scanned = reconstruct.with_reconstructions(detect.with_filtered(files, rules, allow_test_files))
-    row = F.struct("repository", "language", "lines", "candidates", "raw_values", "secrets")
+    row = F.struct("repository", "language", "lines", "statements", "candidates", "raw_values", "secrets")
     kept = F.when((F.size("candidates") > 0) | (F.size("secrets") > 0), F.array(row))
     if every:
-        rest = ["repository", "lines", "candidates", "raw_values", "secrets"]
+        rest = ["repository", "lines", "statements", "candidates", "raw_values", "secrets"]
         light = [*LIGHT, *(c for c in ("error",) if c in files.columns)]
         return scanned.select(*light, F.col("repository").alias("of"), F.explode_outer(kept).alias("f")).select(
             *light, F.col("of").alias("repository"), *[f"f.{c}" for c in rest[1:]])
@@ -75,7 +75,7 @@ def _table() -> Column:
 @T.cached
 def _parsed() -> Column:
     language = F.col("language")
-    return F.when((F.size("seeds") > 0) & S.is_python(language), D.parsed(S.statement_array(F.col("lines"), language)))
+    return F.when((F.size("seeds") > 0) & S.is_python(language), D.parsed(F.coalesce(F.col("statements"), S.statement_array(F.col("lines"), language))))
 
 
 @T.cached
@@ -94,7 +94,7 @@ def _walk() -> Column:
 def with_facts(found: DataFrame) -> DataFrame:
     """Facts of the files that have a seed: ``table`` for every language, statement facts for Python."""
     return (found.withColumn("table", _table()).withColumn("parsed", _parsed())
-            .withColumn("facts", _facts()).withColumn("walk", _walk()).drop("parsed"))
+            .withColumn("facts", _facts()).withColumn("walk", _walk()).drop("parsed", "statements"))
 
 
 @T.cached
