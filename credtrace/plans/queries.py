@@ -493,9 +493,8 @@ def _(spark, d):
 @query("p21_no_raw_value_left")
 def _(spark, d):
     """Findings whose written form still holds the raw value; there must be none, so the count is 0."""
-    scored = _scored(spark, d).select("finding_id", "secret")
-    text = _safe(spark, d).select("finding_id", F.to_json(F.struct("*")).alias("written"))
-    return scored.join(text, "finding_id").agg(
+    written = F.to_json(F.struct(*serving.safe_columns()))
+    return _scored(spark, d).select("secret", written.alias("written")).agg(
         F.count("*").alias("findings"), F.count_if(F.contains("written", "secret")).alias("leaks"))
 
 

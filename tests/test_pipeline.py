@@ -4,13 +4,16 @@ import ast
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from credtrace.functions import batches, matcher
 from credtrace.functions import catalog as C
 from credtrace.functions import text as T
 from credtrace.operators import dataflow as D
 from credtrace.plans import pipeline as P
+from credtrace.plans import queries as Q
 from credtrace.plans import serving
 from tests.cases import CASES, frame
 
@@ -224,3 +227,50 @@ def test_taint_against_brute_force(spark):
     assert len(rows) == len(cases)
     for r in rows:
         assert r.p == brute_force_path(cases[r.file_path.removeprefix("src/")], "api_key")
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan_of(rows) -> str:
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_leak_count_scans_once(spark):
+    rows = Q.Q["p21_no_raw_value_left"](spark, SF)
+    assert plan_of(rows).count("c_custkey#") and plan_of(rows).count("customer.parquet") == 1
+    assert rows.first()["leaks"] == 0
+
+
+def test_ranking_sorts_an_exchange(spark):
+    plan = plan_of(Q.Q["a9_ranked_findings"](spark, SF))
+    assert plan.index("Exchange rangepartitioning") < plan.index("Exchange hashpartitioning(scan_id")
+
+
+def test_audit_events_take_figures_once(spark):
+    assert plan_of(Q.Q["s13_audit_events"](spark, SF)).count("customer.parquet") == 1
+
+
+def test_statements_are_built_once(spark):
+    assert "statements" in P.secret_files(frame(spark)).columns
+
+
+def test_reach_reads_a_batch_by_parts(monkeypatch):
+    monkeypatch.setattr(batches, "ROWS", 3)
+    fact = lambda pos, srcs, taints: {"pos": pos, "srcs": srcs, "taints": taints}
+    rows = [None if k % 4 == 3 else k for k in range(11)]
+    given = [{"seeds": [{"variable": f"v{k}", "start": 0}, {"variable": "w", "start": 1}] if k is not None else None,
+              "facts": [fact(1, [f"v{k}"], ["w", "x"]), fact(2, ["x", None], [])] if k is not None else None, "walk": [fact(1, ["w"], ["y"])],
+              "table": [{"calls": [["a"], ["w", f"v{k}"]], "names": ["w"], "container": "box"}, {"calls": [["box"]], "names": [], "container": ""}]} for k in rows]
+    facts = pa.list_(pa.struct([("pos", pa.int32()), ("srcs", pa.list_(pa.string())), ("taints", pa.list_(pa.string()))]))
+    kind = pa.struct([("seeds", pa.list_(pa.struct([("variable", pa.string()), ("start", pa.int32())]))), ("facts", facts), ("walk", facts),
+                      ("table", pa.list_(pa.struct([("calls", pa.list_(pa.list_(pa.string()))), ("names", pa.list_(pa.string())), ("container", pa.string())])))])
+    got = D.reached_by_file(pa.array(given, kind)).to_pylist()
+    assert [len(x) for x in got] == [0 if k is None else 2 for k in rows]
+    for k, x in zip(rows, got):
+        if k is not None:
+            assert x[0]["hits"] == [{"fact": 0, "source": f"v{k}", "since": 0}, {"fact": 1, "source": "x", "since": 1}]
+            assert x[0]["tainted"] == [{"name": f"v{k}", "time": 0}, {"name": "w", "time": 1}, {"name": "x", "time": 1}]
+            assert x[0]["lines"] == [{"line": 0, "call": 1, "pair": -1}] and x[1]["lines"] == [{"line": 0, "call": 1, "pair": 0}]
+            assert x[1]["walk"] == [0] and x[1]["boxed"] == [{"line": 1, "call": 0}] and x[0]["boxed"] == []
+    assert D.reached_by_file(pa.array([], kind)).to_pylist() == []
