@@ -410,6 +410,7 @@ def stage_counts(files: DataFrame) -> DataFrame:
 def ranked(scored: DataFrame) -> DataFrame:
     """Findings of a scan by descending risk; ties by file and order within the file.
 
-    A range-partitioned sort, so one huge scan is spread over tasks; a rank window per scan would not be.
+    A range-partitioned sort, so one huge scan is spread over tasks; a rank window per scan would not be. The sort looks at its rows
+    twice, for the ranges and for the rows, so they are exchanged before: both looks read that exchange, the files are scanned once.
     """
-    return scored.orderBy("scan_id", F.col("risk_score").desc(), "file_path", "ord")
+    return scored.repartition("scan_id", "file_path").orderBy("scan_id", F.col("risk_score").desc(), "file_path", "ord")
