@@ -259,12 +259,13 @@ def store_advisories(spark: SparkSession, responses: DataFrame, path: str) -> No
 
 def audit_events(scan_table: DataFrame) -> DataFrame:
     """A created event per scan and one for its completion; a failed scan carries its error on its own row (``scans``)."""
-    created = scan_table.select(
-        F.lit("scan_created").alias("action"), "scan_id", F.concat(F.lit("Repository: "), F.col("repository")).alias("details"), "created_at")
-    done = scan_table.filter(F.col("status") == "completed").select(
-        F.lit("scan_completed").alias("action"), "scan_id",
-        F.concat(F.lit("Found "), F.col("findings_count").cast("string"), F.lit(" findings")).alias("details"), "created_at")
-    return created.unionByName(done).withColumns({"status": F.lit("success")})
+    event = lambda action, details: F.struct(F.lit(action).alias("action"), details.alias("details"))
+    created = event("scan_created", F.concat(F.lit("Repository: "), F.col("repository")))
+    done = event("scan_completed", F.concat(F.lit("Found "), F.col("findings_count").cast("string"), F.lit(" findings")))
+    # Both come from one row, so that the figures of scans are made once.
+    both = F.when(F.col("status") == "completed", F.array(created, done)).otherwise(F.array(created))
+    return scan_table.select("scan_id", "created_at", F.explode(both).alias("e")).select(
+        "e.action", "scan_id", "e.details", "created_at", F.lit("success").alias("status"))
 
 
 def write_audit(events: DataFrame, path: str) -> None:
