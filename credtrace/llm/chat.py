@@ -10,6 +10,9 @@ from credtrace.llm.common import written
 
 _MESSAGE = ("content string, tool_call_id string, tool_calls array<struct<id string, name string, arguments string, depends_on array<string>, "
             "function struct<name string, arguments string>>>")
+_SCHEMA = "struct<properties: map<string,struct<type: string>>, required: array<string>>"
+_DECLARED = f"tools array<struct<name: string, parameters: {_SCHEMA}, function: struct<name: string, parameters: {_SCHEMA}>>>"
+_KINDS = ["object", "array", "string", "boolean", "null", "integer", "number"]
 TOOLS = "name string, parameter string, type string, required boolean"
 
 
@@ -87,7 +90,12 @@ def ordered(pairs: DataFrame) -> DataFrame:
 
 def checked(pairs: DataFrame, tools: DataFrame) -> DataFrame:
     """Adds problems: what is wrong with a call's arguments under the tool's schema, sorted, empty for a valid call."""
-    schemas = tools.groupBy(F.col("name").alias("known_tool")).agg(F.collect_set(F.struct("parameter", "type", "required")).alias("schema"))
+    parameters = F.collect_set(F.when(F.col("parameter").isNotNull(), F.struct("parameter", "type", "required"))).alias("schema")
+    own = [F.col("conv_id").alias("known_conv")] if "conv_id" in tools.columns else []
+    schemas = tools.groupBy(F.col("name").alias("known_tool"), *own).agg(parameters)
+    same = F.col("tool") == F.col("known_tool")
+    if own:
+        same = same & F.col("conv_id").eqNullSafe(F.col("known_conv"))
     given = F.try_variant_get(variant(F.col("arguments")), "$", "map<string,variant>")
     kinds = F.transform_values(given, lambda k, v: F.schema_of_variant(v))
 
@@ -95,7 +103,7 @@ def checked(pairs: DataFrame, tools: DataFrame) -> DataFrame:
         return (F.when(of.startswith("OBJECT"), "object").when(of.startswith("ARRAY"), "array").when(of == "STRING", "string")
                 .when(of == "BOOLEAN", "boolean").when(of == "VOID", "null").when(of == "BIGINT", "integer").otherwise("number"))
 
-    joined = pairs.join(schemas, F.col("tool") == F.col("known_tool"), "left").withColumn("given", kinds)
+    joined = pairs.join(schemas, same, "left").drop("known_conv").withColumn("given", kinds)
     missing = F.transform(F.filter("schema", lambda p: p["required"] & ~F.array_contains(F.map_keys("given"), p["parameter"])),
                           lambda p: F.concat(F.lit("missing "), p["parameter"]))
     named = F.transform("schema", lambda p: p["parameter"])
@@ -112,6 +120,17 @@ def checked(pairs: DataFrame, tools: DataFrame) -> DataFrame:
         problems, F.lit("circular"))).otherwise(problems)).drop("given", "schema", "known_tool")
 
 
+def declared_tools(conversations: DataFrame) -> DataFrame:
+    """``TOOLS`` with the ``conv_id`` that each holds in: what system messages declare, JSON objects with ``tools`` whose parameters are
+    JSON schemas. A tool without parameters has one row without any; a type that is no single known one is not checked."""
+    body = F.from_json("text", _DECLARED)
+    declared = conversations.where((F.col("role") == "system") & F.ltrim("text").startswith("{")).select("conv_id", F.explode(body["tools"]).alias("t"))
+    named = declared.select("conv_id", F.coalesce("t.name", "t.function.name").alias("name"), F.coalesce("t.parameters", "t.function.parameters").alias("p"))
+    return named.where("name IS NOT NULL").select("conv_id", "name", "p.required", F.explode_outer("p.properties").alias("parameter", "of")).select(
+        "conv_id", "name", "parameter", F.when(F.col("of.type").isin(_KINDS), F.col("of.type")).alias("type"),
+        F.coalesce(F.array_contains("required", F.col("parameter")), F.lit(False)).alias("required"))
+
+
 def no_tools(spark) -> DataFrame:
     return spark.createDataFrame([], TOOLS)
 

@@ -38,7 +38,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chat(table(spark, sf_dir, "conversations"), chat.no_tools(spark))
+    talks = table(spark, sf_dir, "conversations")
+    return chat.format_chat(talks, chat.declared_tools(talks))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from credtrace.llm import queries as llm_queries
 from credtrace.llm import chat, html_blocks, html_text
 
 PAGE = """<html><head><title>T</title><script>var a = "<p>no</p>";</script></head><body><header><h1>Site</h1></header>
@@ -114,3 +115,18 @@ def test_links_and_validation(spark):
     assert messages == [(0, 0, '{"content":"{broken","role":"user"}'), (1, 0, '{"content":"add 1 and 2","role":"user"}'),
                         (1, 1, '{"content":"sure","role":"assistant"}'), (2, 0, '{"role":"user"}'), (2, 1, '{"content":""}')]
     assert chat.format_chat(talks.limit(0), tools).isEmpty()
+
+
+def test_tools_that_a_conversation_declares(spark, tmp_path):
+    schema = {"type": "object", "properties": {"a": {"type": "number"}, "b": {"type": "string"}, "c": {"type": ["string", "null"]}}, "required": ["a"]}
+    declared = json.dumps({"tools": [{"type": "function", "function": {"name": "add", "parameters": schema}}, {"name": "now"}]})
+    calls = json.dumps({"tool_calls": [{"id": "x", "name": "add", "arguments": {"a": 1, "c": 2}}, {"id": "y", "name": "add", "arguments": {"b": 3}},
+                                       {"id": "z", "name": "now", "arguments": {}}]})
+    rows = [(1, 0, "system", declared), (1, 1, "assistant", calls), (2, 0, "system", "be kind"), (2, 1, "assistant", calls), (None, 0, "system", declared),
+            (None, 1, "assistant", calls)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = llm_queries.op8_chat(spark, str(tmp_path)).collect()
+    said = {(r["conv_id"], r["call_id"]): r["problems"] for r in got if r["kind"] == "call"}
+    for conversation in (1, None):
+        assert [said[conversation, c] for c in "xyz"] == ["", "missing a; type of b", ""]
+    assert {said[2, c] for c in "xyz"} == {"unknown tool"} and sum(r["kind"] == "message" for r in got) == 3
